@@ -6,9 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.confusables import canonical_form, look_alike_pairs
+from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
 from millrace.plans.session import load
 
 
+def _restated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = load(spark, d, "retrieved_items").select(F.col("retrieval_id").alias("id"), "statement", "quote")
+    return near_duplicates(rows, F.concat_ws(" ", "statement", "quote"), similarity=0.7, shingle_words=1)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = expand_pairs(*_restated(spark, d))
+    return pairs.select(F.col("id_a").alias("retrieval_id_a"), F.col("id_b").alias("retrieval_id_b"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with words and its group, named by the smallest retrieval_id in it."""
+    return groups(*_restated(spark, d)).select(F.col("id").alias("retrieval_id"), "group_id")
+
+
 def _look_alike_texts(spark: SparkSession, d: str) -> DataFrame:
     return (
         load(spark, d, "retrieved_items").select(F.lit("retrieved_items").alias("table_name"), F.col("retrieval_id").alias("id"), F.col("quote").alias("text"))
@@ -26,8 +42,21 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_canonical": p3_canonical}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical}
+
+
+_P1 = r"""
+WITH RECURSIVE w AS (SELECT retrieval_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', statement, quote)), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS word FROM retrieved_items),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common >= 0.7 * (x.n + y.n - common) - 1e-9)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _P1 + "SELECT a AS retrieval_id_a, b AS retrieval_id_b FROM p",
+        "p1_groups": _P1 + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT id AS retrieval_id, min(other) AS group_id FROM r GROUP BY id""",
+    }
