@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.confusables import canonical_form, look_alike_pairs
+from millrace.llm.leaks import leaked_items
 from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
 from millrace.plans.session import load
 
@@ -41,8 +42,17 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_form(_look_alike_texts(spark, d)).select("table_name", "id", "canonical", "changed")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).filter("exact").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and slightly altered stretches of the items' passages, with their similarity."""
+    return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_found": p8_found, "p8_leaks": p8_leaks}
 
 
 _P1 = r"""
@@ -53,10 +63,19 @@ p AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common
 """
 
 
+_P8 = r"""
+WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(passage), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT a AS retrieval_id_a, b AS retrieval_id_b FROM p",
         "p1_groups": _P1 + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT id AS retrieval_id, min(other) AS group_id FROM r GROUP BY id""",
+        "p8_found": _P8,
     }
