@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.confusables import canonical_form, look_alike_pairs
+from millrace.llm.language import document_languages, language_stretches
 from millrace.llm.leaks import leaked_items
 from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
 from millrace.plans.session import load
@@ -51,8 +52,19 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = document_languages(language_stretches(load(spark, d, "documents")))
+    unnamed = (F.col("lang") != "und") & ~F.col("lang").eqNullSafe(F.col("named"))
+    return found.filter((F.col("n_letters") >= 150) & (F.col("share") >= 0.1) & unnamed).select("doc_id", "lang")
+
+
+def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's stretches of one language, with a confidence."""
+    return language_stretches(load(spark, d, "documents")).drop("named")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_found": p8_found, "p8_leaks": p8_leaks}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
 
 
 _P1 = r"""
