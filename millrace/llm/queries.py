@@ -9,6 +9,7 @@ from millrace.llm.confusables import canonical_form, look_alike_pairs
 from millrace.llm.language import document_languages, language_stretches
 from millrace.llm.leaks import leaked_items
 from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
+from millrace.llm.truncation import cut_share, cut_texts
 from millrace.plans.session import load
 
 
@@ -43,6 +44,28 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_form(_look_alike_texts(spark, d)).select("table_name", "id", "canonical", "changed")
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        load(spark, d, "narrative_summaries").select(F.lit("narrative_summaries").alias("table_name"), F.col("summary_id").alias("id"), F.col("model").alias("source"), "text", F.lit(False).alias("structured"), "entry_id")
+        .unionAll(load(spark, d, "extraction_runs").select(F.lit("extraction_runs"), "run_id", "model", "response", F.lit(True), "entry_id"))
+    )
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts(_answers(spark, d)).filter("cut").select("table_name", F.col("id").alias("row_id"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut rows per model and per channel; a row whose entry isn't there has a null channel."""
+    rows = _answers(spark, d)
+    cut = cut_texts(rows)
+    channels = load(spark, d, "entries").groupBy("entry_id").agg(F.min("source.channel").alias("channel"))
+    of = rows.select("table_name", "id", "entry_id").join(channels, "entry_id", "left").select("table_name", "id", "channel")
+    model = cut_share(cut, "source").select("table_name", F.lit("model").alias("kind"), F.col("source").alias("value"), "n_rows", "n_cut", "share")
+    channel = cut_share(cut.join(of, ["table_name", "id"]), "channel").select("table_name", F.lit("channel").alias("kind"), F.col("channel").alias("value"), "n_rows", "n_cut", "share")
+    return model.unionAll(channel)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).filter("exact").select("doc_id", "item_id")
 
@@ -64,7 +87,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
 
 
 _P1 = r"""
