@@ -10,6 +10,7 @@ from millrace.llm.language import document_languages, language_stretches
 from millrace.llm.leaks import leaked_items
 from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
 from millrace.llm.truncation import cut_share, cut_texts
+from millrace.llm.turns import calibrated_pause, speaker_turns
 from millrace.plans.session import load
 
 
@@ -28,6 +29,17 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_restated(spark, d)).select(F.col("id").alias("retrieval_id"), "group_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    turns = speaker_turns(load(spark, d, "segments"), load(spark, d, "speakers"), with_text=False)
+    return turns.select("entry_id", "first_segment_id", "last_segment_id", "speaker_id")
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with clean text, also split at pauses that are long for these transcripts."""
+    segments = load(spark, d, "segments")
+    return speaker_turns(segments, load(spark, d, "speakers"), pause=calibrated_pause(segments))
+
+
 def _look_alike_texts(spark: SparkSession, d: str) -> DataFrame:
     return (
         load(spark, d, "retrieved_items").select(F.lit("retrieved_items").alias("table_name"), F.col("retrieval_id").alias("id"), F.col("quote").alias("text"))
@@ -87,7 +99,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
 
 
 _P1 = r"""
