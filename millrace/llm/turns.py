@@ -101,7 +101,10 @@ class Roster:
     def _find(self, name: str) -> str | None:
         if not name or len(name) > 80:
             return None
-        if (hit := self.exact.get(name)) is not None:
+        hit = self.exact.get(name)
+        if hit is None and " " in name:  # "co-host", "Speaker4"
+            hit = self.exact.get(name.replace(" ", ""))
+        if hit is not None:
             return next(iter(hit)) if len(hit) == 1 else None
         if " " in name and len(name) >= 7:
             for most in (1, 2):
