@@ -9,6 +9,7 @@ from millrace.llm.confusables import canonical_form, look_alike_pairs
 from millrace.llm.language import document_languages, language_stretches
 from millrace.llm.leaks import leaked_items
 from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
+from millrace.llm.splitting import split_items, too_small_counts, transcript_lengths, transcript_pieces
 from millrace.llm.truncation import cut_share, cut_texts
 from millrace.llm.turns import calibrated_pause, speaker_turns
 from millrace.plans.session import load
@@ -56,6 +57,26 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_form(_look_alike_texts(spark, d)).select("table_name", "id", "canonical", "changed")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    segments = load(spark, d, "segments")
+    lengths = transcript_lengths(segments)
+    record = lambda kind, key: [F.lit(kind).alias("record_kind"), F.col(key).alias("record_id")]
+    long = split_items(segments, ["segment_id"], with_text=False).filter("piece = 1").select(*record("segment", "segment_id"))
+    runs = too_small_counts(load(spark, d, "extraction_runs").select("run_id", "entry_id", "chunk_count"), lengths).select(*record("extraction", "run_id"))
+    summaries = too_small_counts(load(spark, d, "narrative_summaries").select("summary_id", "entry_id", "chunk_count"), lengths).select(*record("summary", "summary_id"))
+    return long.unionAll(runs).unionAll(summaries)
+
+
+def p4_segment_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every segment."""
+    return split_items(load(spark, d, "segments"), ["segment_id"])
+
+
+def p4_transcript_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every entry's full transcript."""
+    return transcript_pieces(load(spark, d, "segments"))
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     return (
         load(spark, d, "narrative_summaries").select(F.lit("narrative_summaries").alias("table_name"), F.col("summary_id").alias("id"), F.col("model").alias("source"), "text", F.lit(False).alias("structured"), "entry_id")
@@ -99,7 +120,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_segment_pieces": p4_segment_pieces, "p4_transcript_pieces": p4_transcript_pieces, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
 
 
 _P1 = r"""
@@ -118,11 +139,20 @@ dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
 
 
+_P4 = r"""
+WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1)::BIGINT AS no, arg_min(coalesce(text, ''), segment_id) AS text FROM segments GROUP BY ALL),
+t AS (SELECT entry_id, sum(length(text)) + count(*) - 1 AS n FROM k GROUP BY entry_id)
+SELECT 'segment' AS record_kind, segment_id AS record_id FROM segments WHERE length(text) > 12000
+UNION ALL SELECT 'extraction', run_id FROM extraction_runs JOIN t USING (entry_id) WHERE n > 12000 * chunk_count
+UNION ALL SELECT 'summary', summary_id FROM narrative_summaries JOIN t USING (entry_id) WHERE n > 12000 * chunk_count"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT a AS retrieval_id_a, b AS retrieval_id_b FROM p",
         "p1_groups": _P1 + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT id AS retrieval_id, min(other) AS group_id FROM r GROUP BY id""",
+        "p4_found": _P4,
         "p8_found": _P8,
     }
