@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.confusables import canonical_form, look_alike_pairs
 from millrace.llm.language import document_languages, language_stretches
 from millrace.llm.leaks import leaked_items
+from millrace.llm.packing import fill_report, packed
 from millrace.llm.probminhash import expand_pairs, groups, near_duplicates
 from millrace.llm.splitting import split_items, too_small_counts, transcript_lengths, transcript_pieces
 from millrace.llm.truncation import cut_share, cut_texts
@@ -99,6 +100,15 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return model.unionAll(channel)
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packed(load(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(packed(load(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).filter("exact").select("doc_id", "item_id")
 
@@ -120,7 +130,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_segment_pieces": p4_segment_pieces, "p4_transcript_pieces": p4_transcript_pieces, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_segment_pieces": p4_segment_pieces, "p4_transcript_pieces": p4_transcript_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
 
 
 _P1 = r"""
