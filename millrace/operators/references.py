@@ -14,19 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.times import utc_timestamp
 from millrace.plans.session import cut_lineage
 
 _PARENT, _DELETED, _PROBE = 0, 1, 2
 
 
-def utc_timestamp(iso: Column) -> Column:
-    """ISO-8601 text as a timestamp; a time without an offset is UTC, and what is no time becomes null."""
-    text = F.trim(iso)
-    clock = text.rlike(r"[T ]\d")
-    zoned = F.when(clock & text.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$"), text).otherwise(F.concat(text, F.when(clock, F.lit("Z")).otherwise(F.lit("T00:00:00Z"))))
-    return F.try_to_timestamp(zoned)
-
-
 def _keys(strings: pa.Array) -> np.ndarray:
     """Fixed-width byte keys in the order of code points; the last byte keeps trailing NULs significant."""
     return np.array([x.encode() + b"\x01" for x in strings.to_pylist()], dtype="S") if len(strings) else np.empty(0, "S1")

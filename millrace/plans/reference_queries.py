@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.references import orphan_references, orphan_report, references_of, utc_timestamp
+from millrace.functions.times import utc_timestamp
+from millrace.operators.references import orphan_references, orphan_report, references_of
 from millrace.plans.session import load
 
 
