@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,18 @@ def bow_cells(text: Column, dim: int = 64) -> Column:
 
 def bow_embedding(text: Column, dim: int = 64) -> Column:
     """Hashed signed bag of words of unit length; zeros for a text without words."""
-    cells = bow_cells(text, dim)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.when(c["idx"] == i, c["sign"]).otherwise(0.0)))
-    return unit(raw)
+    # Bound by a lambda, the cells are made once a row and not once for every position.
+    raw = bound(
+        bow_cells(text, dim),
+        lambda cells: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.when(c["idx"] == i, c["sign"]).otherwise(0.0))),
+    )
+    return bound(raw, unit)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is used several times and must be evaluated once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
 def unit(vector: Column) -> Column:
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+    return bound(F.struct(vector.alias("v"), F.sqrt(dot(vector, vector)).alias("n")), lambda x: F.when(x["n"] > 0, F.transform(x["v"], lambda y: y / x["n"])).otherwise(x["v"]))
