@@ -114,7 +114,7 @@ def orphan_references(references: DataFrame, entries: DataFrame, deletions: Data
         .join(gone, entry_key == F.col("gone"), "left_anti")
         .select("table_name", "row_key", F.lit("item_id").alias("field"), F.lit("missing").alias("kind"), "own_time")
     )
-    month = F.date_format(F.col("own_time"), "yyyy-MM")
+    month = F.date_format(F.to_utc_timestamp("own_time", F.current_timezone()), "yyyy-MM")
     return of_entry.unionAll(of_item).select("table_name", "row_key", "field", "kind", month.alias("period")).distinct()
 
 

@@ -33,18 +33,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for checkpoints and tables between stages.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder is made; on a cluster without the setting this raises instead of using a local disk.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary folder is
+    made; on a cluster without the setting this raises instead of using a local disk.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that losing an executor doesn't repeat what led to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
