@@ -47,7 +47,7 @@ def _table() -> dict[int, str | None]:
         elif kind[0] in "LN" and (form := unicodedata.decomposition(ch)).startswith(("<wide>", "<narrow>", "<font>", "<compat>")):
             plain = unicodedata.normalize("NFKD", ch)
             if plain.isalnum() and (len(plain) == 1 or 0xFB00 <= c <= 0xFB06):
-                table[c] = plain
+                table[c] = "".join(LOOK_ALIKES.get(x, x) for x in plain)
     for c in range(0xE0100, 0xE01F0):
         table[c] = None
     for ch, to in LOOK_ALIKES.items():

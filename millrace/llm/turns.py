@@ -35,6 +35,7 @@ _TIME = re.compile(rf"[<\[({{]\s*{_CLOCK}(?:\s*-->\s*{_CLOCK})?\s*[>\])}}]\s*(?:
 _BRACKET = re.compile(r"<v(?:\.[\w.]+)?\s+([^<>]{1,80})>|\[([^\[\]]{1,80})\]|\{([^{}]{1,80})\}|<(/?[^<>]{1,80})>|\(([^()]{1,80})\)|\*([^*\n]{1,60})\*|♪[^♪]*♪|[♪♫]+")
 #: Where a label may stand: at the start, on a new line, or after a sentence or an annotation.
 _PLAIN = re.compile(r"(?:^|(?<=[.!?…:\"”)\]>}*♪]\s)|(?<=\n)|(?<=\x00))[ \t]*(?:>>+[ \t]*|[-–—][ \t]+)?([^\W_](?:[\w.'’#-]|[ \t](?=[\w#])){0,50}?)[ \t]*(:|[ \t][-–—])(?=\s|$|\x00)")
+_SENTENCE = re.compile(r"[.!?…][\"”)\]]*\s+(?=\S)")
 _ARROWS = re.compile(r">>+\s*")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -144,7 +145,9 @@ def read_segment(text: str | None, roster: Roster) -> list[tuple[str | None, int
     def plain(m: re.Match) -> str:
         who = roster.find(m[1])
         if not who:
-            return m[0]
+            # A short sentence before the label may have been taken for a part of it.
+            end = _SENTENCE.search(m[0])
+            return m[0] if not end else m[0][: end.end()] + _PLAIN.sub(plain, m[0][end.end() :])
         labels.append(who)
         return f"\x01{len(labels) - 1}\x01"
 
