@@ -284,7 +284,7 @@ def fit_models(documents: DataFrame, rows_per_language: int = 300, chars_per_lan
         loss = lambda t: -np.log(np.maximum(_softmax(score / t)[np.arange(len(held)), label], 1e-12)).mean()
         models.temperature = float(min(np.geomspace(0.5, 20, 24), key=loss))
         entropy = -score[np.arange(len(held)), label] / np.array([sum(map(len, w)) + len(w) for _, w in held])
-        models.reject = float(entropy.max() * 1.25 + 0.5)
+        models.reject = float(np.quantile(entropy, 0.995) * 1.25 + 0.5)
     return models
 
 
