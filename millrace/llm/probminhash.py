@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import mix, words
-from millrace.plans.session import cut_lineage
+from millrace.plans.session import cut_lineage, written
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,28 +33,33 @@ def signatures(offsets: np.ndarray, shingles: np.ndarray, weights: np.ndarray, r
     who = np.zeros(n * registers, np.uint64)
     item = shingles.astype(np.uint64)
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    rate = weights.astype(np.float64)
-    at = np.zeros(len(item))
+    base = owner * registers
+    # The process of a shingle at unit rate is the same in every set: it is drawn once for each distinct shingle.
+    distinct, which = np.unique(item, return_inverse=True)
+    seed, clock = mix(distinct), np.zeros(len(distinct))
+    pace = 1.0 / weights.astype(np.float64)
+    steady = bool(len(pace)) and bool((pace == pace[0]).all())
     live = np.arange(len(item))
-    seed = mix(item)
     last = np.full(n, np.inf)
     k = 0
     while len(live):
         k += 1
         with np.errstate(over="ignore"):
-            draw = mix(seed[live] + np.uint64(k) * _GOLDEN)
-        u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        at[live] -= np.log1p(-u) / rate[live]
-        live = live[at[live] < last[owner[live]]]
-        if not len(live):
-            break
-        with np.errstate(over="ignore"):
-            register = (mix(seed[live] + np.uint64(k) * _GOLDEN + np.uint64(1)) % np.uint64(registers)).astype(np.int64)
-        slot = owner[live] * registers + register
-        np.minimum.at(first, slot, at[live])
-        won = first[slot] == at[live]
+            draw = mix(seed + np.uint64(k) * _GOLDEN)
+            register = (mix(draw + np.uint64(1)) % np.uint64(registers)).astype(np.int64)
+        clock -= np.log1p(-((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53))
+        kind = which[live]
+        at = clock[kind] * (pace[0] if steady else pace[live])
+        if k > 8:
+            stay = at < last[owner[live]]
+            live, kind, at = live[stay], kind[stay], at[stay]
+            if not len(live):
+                break
+        slot = base[live] + register[kind]
+        np.minimum.at(first, slot, at)
+        won = np.flatnonzero(first[slot] == at)
         who[slot[won]] = item[live[won]]
-        if k % 8 == 0:  # the bound may be stale: it only falls
+        if k >= 8 and k % 4 == 0:  # the bound may be stale: it only falls
             last = first.reshape(n, registers).max(axis=1)
     return who.reshape(n, registers)
 
@@ -72,48 +77,135 @@ def _bander(bands: int, rows: int):
                 sets = batch.column("shingles")
                 offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
                 items = sets.flatten().to_numpy().view(np.uint64)
-                weights = batch.column("weights").flatten().to_numpy()
                 n = batch.num_rows
-                table = signatures(offsets, items, weights, bands * rows).reshape(n, bands, rows)
+                table = signatures(offsets, items, np.ones(len(items)), bands * rows).reshape(n, bands, rows)
                 key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
-                for r in range(rows):
-                    key = mix(key * np.uint64(31) + table[:, :, r])
+                with np.errstate(over="ignore"):
+                    for r in range(rows):
+                        key = mix(key * np.uint64(31) + table[:, :, r])
                 # A bitmap of the shingles: two sets differ in at least as many elements as their bitmaps do in bits.
-                bit = mix(items ^ np.uint64(0xABCDEF)) & np.uint64(255)
-                bitmap = np.zeros((n, 4), np.uint64)
+                bit = mix(items ^ np.uint64(0xABCDEF)) & np.uint64(127)
+                bitmap = np.zeros((n, 2), np.uint64)
                 np.bitwise_or.at(bitmap, (np.repeat(np.arange(n), np.diff(offsets)), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
                 size = np.diff(offsets).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), bands)), pa.array(np.repeat(size, bands))]
-                    + [pa.array(np.repeat(bitmap[:, i], bands).view(np.int64)) for i in range(4)],
-                    names=["band", "id", "size", "b0", "b1", "b2", "b3"],
+                    + [pa.array(np.repeat(bitmap[:, i], bands).view(np.int64)) for i in range(2)],
+                    names=["band", "id", "size", "b0", "b1"],
                 )
 
     return run
 
 
+#: Sets of one band that are compared in one task; the pairs of more crowded bands come from a salted join.
+CROWD = 8_192
+_BAND = ["band", "id", "size", "b0", "b1"]
+
+
+def _pairer(similarity: float, crowd: int):
+    """Over rows sorted by band: pairs of sets that share a band and can reach the similarity, and crowded bands' rows."""
+
+    def near(group: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, ids, size, b0, b1 = group
+        # Of signed numbers NumPy counts the bits of the absolute value.
+        differ = np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
+        total = size[i] + size[j]
+        ok = (total - differ) >= (total + differ) * (similarity - 1e-9)
+        a, b = ids[i[ok]], ids[j[ok]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        n = np.diff(np.r_[start, len(rows[0])])
+        crowded = np.repeat(n > crowd, n)
+        if crowded.any():
+            kept = [c[crowded] for c in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept] + [pa.nulls(len(kept[0]), pa.int64())] * 2, names=[*_BAND, "id_a", "id_b"])
+        # The d-th neighbour of every row inside its band, for all bands at once: no pair is made twice.
+        end = np.repeat(start + n, n)
+        live = np.flatnonzero(~crowded)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        d = 1
+        while len(live := live[live + d < end[live]]):
+            found.append(near(rows, live, live + d))
+            d += 1
+        if found:
+            a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            both = np.unique(np.stack([a, b]), axis=1)
+            if both.shape[1]:
+                none = [pa.nulls(both.shape[1], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(both[0]), pa.array(both[1])], names=[*_BAND, "id_a", "id_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in _BAND]
+            columns[2] = columns[2].astype(np.int32)
+            waiting.append(columns)
+            held += batch.num_rows
+            if held >= 200_000:
+                rows = [np.concatenate(c) for c in zip(*waiting)]
+                # The last band may go on in the next batch. One that fills everything is crowded: its rows go out as they come.
+                cut = int(np.searchsorted(rows[0] == rows[0][-1], True)) if rows[0][0] != rows[0][-1] else 0
+                if cut:
+                    yield from pairs([c[:cut] for c in rows])
+                    rows = [c[cut:] for c in rows]
+                waiting, held = [rows], len(rows[0])
+                if held >= 200_000:
+                    band = rows[0][0]
+                    for kept in rows_of_one_band(batches, rows, band):
+                        if isinstance(kept, pa.RecordBatch):
+                            yield kept
+                        else:
+                            waiting, held = ([kept], len(kept[0])) if len(kept[0]) else ([], 0)
+        if held:
+            yield from pairs([np.concatenate(c) for c in zip(*waiting)])
+
+    def rows_of_one_band(batches: Iterator[pa.RecordBatch], rows: list[np.ndarray], band: int) -> Iterator[pa.RecordBatch | list[np.ndarray]]:
+        """Give out the rows of a very crowded band without holding them, then what follows it."""
+        while True:
+            mine = int((rows[0] == band).sum())
+            if mine:
+                yield pa.RecordBatch.from_arrays([pa.array(c[:mine]) for c in rows] + [pa.nulls(mine, pa.int64())] * 2, names=[*_BAND, "id_a", "id_b"])
+            if mine < len(rows[0]):
+                yield [c[mine:] for c in rows]
+                return
+            batch = next(batches, None)
+            if batch is None:
+                yield [c[mine:] for c in rows]
+                return
+            rows = [batch.column(c).to_numpy() for c in _BAND]
+            rows[2] = rows[2].astype(np.int32)
+
+    return run
+
+
 def similar_sets(sets: DataFrame, similarity: float, miss: float = 2e-4, rows: int = 5) -> DataFrame:
     """Pairs (id_a, id_b, similarity), id_a < id_b, of sets with at least the given Jaccard similarity.
 
     sets: id BIGINT unique, shingles ARRAY<BIGINT> distinct hashes. A pair is found through ProbMinHash bands with
-    probability 1 - ``miss`` at the threshold and more above it. Empty sets are in no pair. A band's sets are joined
-    on the band and compared by a bitmap first, whose bound on the similarity is safe, so only pairs that can reach
-    the threshold leave the join; a band that very many different sets share is split by a salt.
+    probability 1 - ``miss`` at the threshold and more above it. Empty sets are in no pair. The bands are shuffled once;
+    the sets of a band are compared by size and bitmap, whose bound on the similarity is safe, so only pairs that can
+    reach the threshold leave the task. A band that very many different sets share leaves it too and is joined with
+    itself on a salt, so no task compares a crowd.
     """
-    bands, rows = choose_bands(similarity, miss, rows)
-    weighted = sets.filter(F.size("shingles") > 0).withColumn("weights", F.transform("shingles", lambda _: F.lit(1.0)))
-    keyed = weighted.select("id", "shingles", "weights").mapInArrow(_bander(bands, rows), "band long, id long, size int, b0 long, b1 long, b2 long, b3 long")
-    # Bands of one set alone go before the join; crowded ones get a salt for each 4,096 sets.
-    crowd = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / 4096).cast("int").alias("salts"))
-    shared = keyed.join(crowd, "band")
+    bands, size = choose_bands(similarity, miss, rows)
+    keyed = sets.select("id", "shingles").filter(F.size("shingles") > 0).mapInArrow(_bander(bands, size), "band long, id long, size int, b0 long, b1 long")
+    met = written(keyed.repartition("band").sortWithinPartitions("band").mapInArrow(_pairer(similarity, CROWD), "band long, id long, size int, b0 long, b1 long, id_a long, id_b long"))
+    crowd = met.filter("band is not null").select(*_BAND)
+    salts = crowd.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("salts"))
+    shared = crowd.join(salts, "band")
     left = shared.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     right = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    differ = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(4)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(2)), F.lit(0))
     total = F.col("a.size") + F.col("b.size")
-    candidates = (
-        left.alias("a").join(right.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") < F.col("b.id")) & ((total - differ) >= (total + differ) * F.lit(similarity - 1e-9)))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    )
+    salted = left.alias("a").join(
+        right.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") < F.col("b.id")) & ((total - differ) >= (total + differ) * F.lit(similarity - 1e-9))
+    ).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    candidates = met.filter("id_a is not null").select("id_a", "id_b").unionAll(salted).distinct()
     one = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col("shingles").alias(f"s_{s}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     score = common / (F.size("s_a") + F.size("s_b") - common)
@@ -161,6 +253,7 @@ def groups(members: DataFrame, pairs: DataFrame, max_rounds: int = 30) -> DataFr
     Each round takes every set's smallest label among its neighbours and then jumps along labels, so a chain of n links
     takes about log n rounds; the rounds stop when nothing changes. Labels never leave the cluster.
     """
+    pairs = cut_lineage(pairs)
     edges = cut_lineage(pairs.select(F.col("set_a").alias("u"), F.col("set_b").alias("v")).unionAll(pairs.select("set_b", "set_a")).distinct())
     labels = cut_lineage(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     for _ in range(max_rounds):

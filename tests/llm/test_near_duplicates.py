@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.llm import probminhash
 from millrace.llm.probminhash import choose_bands, expand_pairs, groups, near_duplicates, signatures
 
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -78,3 +79,30 @@ def test_signatures_estimate_weighted_similarity():
 def test_bands_keep_the_miss_rate():
     bands, size = choose_bands(0.7, 1e-3, 5)
     assert (1 - 0.7**size) ** bands <= 1e-3 < (1 - 0.7**size) ** (bands - 1)
+
+
+def test_crowded_bands_lose_nothing(spark):
+    # Many different sets that share nearly everything: bands are crowded, and every pair is a pair.
+    common = " ".join(VOCABULARY[:60])
+    data = [(i, f"{common} own{i}") for i in range(90)]
+    old = probminhash.CROWD
+    try:
+        for probminhash.CROWD in (4, 40):
+            members, pairs = near_duplicates(rows(spark, data), F.col("text"), 0.7, 1)
+            assert pairs.count() == 90 * 89 // 2 and expand_pairs(members, pairs).count() == 90 * 89 // 2
+    finally:
+        probminhash.CROWD = old
+
+
+def test_pairer_streams_a_band_larger_than_its_buffer():
+    import pyarrow as pa
+
+    def batch(band, ids):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([band] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array([5] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64())], names=["band", "id", "size", "b0", "b1"])
+
+    batches = [batch(1, [1, 2])] + [batch(2, list(range(k, k + 50_000))) for k in range(0, 450_000, 50_000)] + [batch(3, [7, 8, 9]), batch(4, [1]), batch(5, [3, 4])]
+    out = list(probminhash._pairer(0.7, 8_192)(iter(batches)))
+    crowd = [x for b in out for x in b.column("band").to_pylist() if x is not None]
+    found = {(x, y) for b in out for x, y in zip(b.column("id_a").to_pylist(), b.column("id_b").to_pylist()) if x is not None}
+    assert crowd == [2] * 450_000 and found == {(1, 2), (7, 8), (7, 9), (8, 9), (3, 4)}
