@@ -231,11 +231,12 @@ def near_duplicates(rows: DataFrame, text: Column, similarity: float = 0.8, shin
     Rows with equal shingle sets are one set, named by its smallest id, so a text copied a million times is compared
     once. Rows without words are members of no set. Repeated ids, ties and nulls are defined as in ``word_sets``.
     """
-    keyed = cut_lineage(word_sets(rows, text, shingle_words).filter(F.size("shingles") > 0))
+    # Filtered behind the table: before it, the filter would make every text's shingles a second time.
+    keyed = written(word_sets(rows, text, shingle_words)).filter(F.size("shingles") > 0)
     representatives = keyed.groupBy("set_key").agg(F.min("id").alias("set_id"))
     members = keyed.select("id", "set_key").join(representatives, "set_key").select("id", "set_id")
     sets = keyed.join(representatives.select(F.col("set_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "shingles")
-    pairs = similar_sets(cut_lineage(sets), similarity)
+    pairs = similar_sets(written(sets), similarity)
     return members, pairs.select(F.col("id_a").alias("set_a"), F.col("id_b").alias("set_b"), "similarity")
 
 
