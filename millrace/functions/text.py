@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,18 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is used several times and must be evaluated once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def split_words(text: Column) -> Column:
     """Words between white space; empty for a blank text."""
     return F.filter(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " "), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(split_words(F.coalesce(text, F.lit(""))))
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
 
 
 def first_words(text: Column, n: int) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import word_tokens
+from millrace.functions.text import bound, word_tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,10 +40,5 @@ def bow_embedding(text: Column, dim: int = 64) -> Column:
     return bound(raw, unit)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression of a value that is used several times and must be evaluated once."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
-
-
 def unit(vector: Column) -> Column:
     return bound(F.struct(vector.alias("v"), F.sqrt(dot(vector, vector)).alias("n")), lambda x: F.when(x["n"] > 0, F.transform(x["v"], lambda y: y / x["n"])).otherwise(x["v"]))

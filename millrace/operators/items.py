@@ -119,31 +119,25 @@ def merged_repeats(items: DataFrame) -> DataFrame:
 
 
 def _similar_in_block(ratio: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        left = rows[rows["side"] != 1][["pos", "norm"]].drop_duplicates("pos").values.tolist()
-        right = rows[rows["side"] != 0][["pos", "norm"]].drop_duplicates("pos").values.tolist()
-        out = []
+    def match(group: str, early: list, late: list, out: list) -> None:
+        """Pairs whose later member stands in ``late``; the earlier text is prepared once for all it is held against."""
         matcher = SequenceMatcher(None)
-        for earlier, text in right:
-            matcher.set_seq2(text)
-            for later, key in left:
-                if later <= earlier:
-                    continue
-                if 2 * min(len(key), len(text)) < ratio * (len(key) + len(text)):
-                    continue
-                matcher.set_seq1(key)
-                if matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
-                    out.append((rows["group_id"].iloc[0], earlier, later))
-        # A pair within one chunk or across two: both directions are covered by the two orders of the sides.
-        for earlier, text in left if rows["side"].nunique() > 1 else []:
+        for earlier, text in early:
             matcher.set_seq2(text)
-            for later, key in right:
+            for later, key in late:
                 if later <= earlier or 2 * min(len(key), len(text)) < ratio * (len(key) + len(text)):
                     continue
                 matcher.set_seq1(key)
                 if matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
-                    out.append((rows["group_id"].iloc[0], earlier, later))
+                    out.append((group, earlier, later))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for (group, _, _), block in rows.groupby(["group_id", "lo", "hi"], dropna=False, sort=False):
+            side = {s: block.loc[block["side"] == s, ["pos", "norm"]].values.tolist() for s in (0, 1, 2)}
+            match(group, side[2], side[2], out)
+            match(group, side[0], side[1], out)
+            match(group, side[1], side[0], out)
         return pd.DataFrame(out, columns=["group_id", "earlier", "later"])
 
     return run
@@ -161,9 +155,12 @@ def fuzzy_leaders(items: DataFrame, ratio: float = 0.85, chunk: int = 512, max_r
     sizes = rows.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     placed = rows.join(sizes, "group_id").withColumn("c", F.pmod(F.xxhash64("pos"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    blocks = placed.withColumn("o", other).select("group_id", "pos", "norm", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).alias("side"))
-    # A block of two different chunks gets each of them whole; a block of one gets its rows once, on both sides.
-    pairs = cut_lineage(blocks.groupBy("group_id", "lo", "hi").applyInPandas(_similar_in_block(ratio), "group_id string, earlier long, later long").distinct())
+    blocks = placed.withColumn("o", other).select("group_id", "pos", "norm", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).alias("side"), "chunks")
+    # Small groups share a task call, about 4 * chunk rows of them; a block of a large group has one of its own.
+    calls = F.when(F.col("lo") == F.col("hi"), F.pmod(F.xxhash64("group_id"), F.lit(max(1, -(-rows.count() // (4 * chunk)))))).otherwise(F.lit(-1))
+    alone = F.when((F.col("lo") < F.col("hi")) | (F.col("chunks") > 1), F.col("group_id"))
+    called = blocks.withColumns({"call": calls, "alone": alone, "alone_lo": F.when(alone.isNotNull(), F.col("lo")), "alone_hi": F.when(alone.isNotNull(), F.col("hi"))}).drop("chunks")
+    pairs = cut_lineage(called.groupBy("call", "alone", "alone_lo", "alone_hi").applyInPandas(_similar_in_block(ratio), "group_id string, earlier long, later long").distinct())
     state = cut_lineage(rows.select("group_id", "pos").join(pairs.select("group_id", F.col("later").alias("pos")).distinct().withColumn("open", F.lit(True)), ["group_id", "pos"], "left").select("group_id", "pos", F.when(F.col("open").isNull(), F.col("pos")).alias("leader")))
     for _ in range(max_rounds):
         if state.filter("leader is null").isEmpty():
