@@ -37,3 +37,8 @@ def video_id(url: Column) -> Column:
 def watch_url(url: Column, hosts: tuple[str, ...] = VIDEO_HOSTS) -> Column:
     """The one form of a video's address, without tracking and offsets; null for other hosts or without an id."""
     return F.when(is_allowed_host(url, hosts), F.concat(F.lit("https://www.youtube.com/watch?v="), video_id(url)))
+
+
+def playlist_id(url: Column) -> Column:
+    """The list id of a playlist's address, or null."""
+    return F.nullif(F.regexp_extract(F.concat(F.lit("&"), F.coalesce(F.try_parse_url(_full(url), F.lit("QUERY")), F.lit(""))), r"&list=([^&#]*)", 1), F.lit(""))

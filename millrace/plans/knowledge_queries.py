@@ -294,6 +294,8 @@ SELECT DISTINCT a.query_id, source, target FROM e JOIN f a ON a.entry_id = sourc
         "entry_slugs": w + _SLUGS + " SELECT entry_id, slug FROM sl",
         "source_pages": w + "en AS (SELECT DISTINCT * FROM entries), " + _SLUGS + ", " + _PAGES.replace("\\\\", "\\") + " SELECT 'sources' AS dir, slug, body FROM pg",
         "index_lines": w + _SLUGS + " SELECT slug, '- [' || coalesce(nullif(e.t, ''), slug) || '](' || slug || '.md)' AS line FROM sl JOIN (SELECT DISTINCT entry_id, source.title AS t FROM entries) e USING (entry_id)",
+        "page_lint": w + _SLUGS + """ SELECT DISTINCT 'E4' AS code, 'sources/' || slug AS page, '' AS detail FROM sl UNION ALL SELECT DISTINCT 'E3', 'sources/' || slug, '' FROM sl WHERE entry_id NOT IN (SELECT entry_id FROM entry_index)
+UNION ALL SELECT DISTINCT 'E2', 'sources/' || slug, r.target || '.md' FROM (SELECT entry_id, unnest(related_entries) AS r FROM entries) JOIN sl USING (entry_id) WHERE r.target NOT IN (SELECT entry_id FROM entries)""",
         "citations": w + _ITEMS + ", " + _PARTS + ", " + _SLUGS + """, c AS (SELECT entry_id, pos, x.text AS t, x.item_ids AS ids FROM pt WHERE x.section = 'key_points'), u AS (SELECT entry_id, pos, t, generate_subscripts(ids, 1) AS k, unnest(ids) AS item_id FROM c),
 d AS (SELECT entry_id, pos, t, item_id, min(k) AS k FROM u GROUP BY ALL) SELECT d.entry_id, d.pos, trim(t) || ' ' || string_agg('[' || slug || coalesce(' @ ' || i.provenance.timestamp, '') || ']', '' ORDER BY k) AS text
 FROM d JOIN it ON it.entry_id = d.entry_id AND i.item_id = d.item_id JOIN sl ON sl.entry_id = d.entry_id GROUP BY d.entry_id, d.pos, t""",

@@ -163,6 +163,15 @@ _CHUNKS = r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(str
 f(doc_id, l, i, chunk, cur) AS (SELECT doc_id, l, 1, 0, l[1] FROM s WHERE len(l) > 0
  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN length(cur) + 1 + length(l[i + 1]) > 1000 THEN chunk + 1 ELSE chunk END, CASE WHEN length(cur) + 1 + length(l[i + 1]) > 1000 THEN l[i + 1] ELSE cur || ' ' || l[i + 1] END FROM f WHERE i < len(l)),
 c AS (SELECT doc_id, chunk, arg_max(cur, i) AS t FROM f GROUP BY ALL)"""
+_PARSED = r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda x: trim(x) <> '') AS l FROM documents),
+f AS (SELECT *, CASE WHEN len(l) = 0 THEN 'empty' WHEN len(list_filter(l, lambda x: regexp_matches(x, '^\s*(\d{1,2}:\d{2}:\d{2})(?:[.,]\d+)?\s+(.*)$'))) >= greatest(1, len(l) // 2) THEN 'inline'
+ WHEN len(list_filter(l, lambda x: regexp_matches(x, '^\s*(\d{1,2}:\d{2})[ \t]*(.*)$'))) >= greatest(1, len(l) // 2) THEN 'rolling' ELSE 'paragraphs' END AS format FROM b),
+s AS (SELECT doc_id, format, CASE WHEN format = 'inline' THEN list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^\s*(\d{1,2}:\d{2}:\d{2})(?:[.,]\d+)?\s+(.*)$') THEN struct_pack(ts := lpad(regexp_extract(x, '^\s*(\d{1,2}:\d{2}:\d{2})', 1), 8, '0'), t := trim(regexp_extract(x, '^\s*(\d{1,2}:\d{2}:\d{2})(?:[.,]\d+)?\s+(.*)$', 2))) ELSE struct_pack(ts := NULL, t := trim(x)) END)
+ WHEN format = 'rolling' AND len(list_filter(l, lambda x: NOT regexp_matches(x, '^\s*\d{1,2}:\d{2}'))) = 0 AND list_sort(list_transform(l, lambda x: regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT * 60 + regexp_extract(x, '^\s*\d{1,2}:(\d{2})', 1)::INT)) = list_transform(l, lambda x: regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT * 60 + regexp_extract(x, '^\s*\d{1,2}:(\d{2})', 1)::INT)
+ THEN list_transform(l, lambda x: struct_pack(ts := printf('%02d:%02d:%02d', regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT // 60, regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT % 60, regexp_extract(x, '^\s*\d{1,2}:(\d{2})', 1)::INT), t := trim(regexp_extract(x, '^\s*\d{1,2}:\d{2}[ \t]*(.*)$', 1))))
+ WHEN format = 'paragraphs' THEN list_transform(regexp_split_to_array(trim(t), '\n[ \t]*(?:\n[ \t]*)+'), lambda p: struct_pack(ts := NULL::VARCHAR, t := array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')), ' '))) END AS seg FROM f),
+k AS (SELECT doc_id, format, list_filter(seg, lambda x: x.t <> '') AS seg FROM s), n AS (SELECT *, coalesce(list_sum(list_transform(seg, lambda x: len(regexp_extract_all(x.t, '[^\s\x{00A0}\x{2007}\x{2009}\x{202F}]+')))), 0)::BIGINT AS n_words FROM k),
+r AS (SELECT *, CASE WHEN format = 'empty' THEN 'empty' WHEN seg IS NULL THEN 'bad captions' WHEN len(seg) = 0 THEN 'no segments' WHEN n_words < 50 THEN 'too short' END AS reason FROM n)"""
 _JOBS = "j AS (SELECT *, " + _UTC.format("updated_at") + " AS seen FROM jobs), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seen DESC, phase_index DESC NULLS LAST, status DESC) AS r FROM j) WHERE r = 1)"
 
 
@@ -180,6 +189,8 @@ def oracle_sql() -> dict[str, str]:
         "exact_duplicates": f"SELECT min(doc_id) AS doc_id, count(*) AS n, arg_min(title, doc_id) FILTER (title IS NOT NULL) AS title, count(DISTINCT source) AS n_sources FROM (SELECT *, {_NORM} AS k FROM documents) WHERE k <> '' GROUP BY k HAVING count(*) > 1",
         "chunk_documents": _CHUNKS + " SELECT doc_id, chunk::BIGINT AS chunk, t AS chunk_text FROM c",
         "chunk_context": _CHUNKS + ", b AS (SELECT doc_id, chunk, right(lag(t) OVER (PARTITION BY doc_id ORDER BY chunk), 120) AS tail FROM c) SELECT doc_id, chunk::BIGINT AS chunk, CASE WHEN strpos(tail, '. ') > 0 AND strpos(tail, '. ') < length(tail) - 1 THEN substr(tail, strpos(tail, '. ') + 2) ELSE tail END AS context FROM b",
+        "parsed_transcripts": _PARSED + ", u AS (SELECT doc_id, format, generate_subscripts(seg, 1) - 1 AS no, unnest(seg) AS x FROM r WHERE reason IS NULL) SELECT doc_id, format, no, 'seg:' || no AS locator, x.ts AS ts, x.t AS text FROM u",
+        "rejected_transcripts": _PARSED + " SELECT doc_id, format, n_words, reason FROM r WHERE reason IS NOT NULL",
         "segment_clocks": r"""WITH p AS (SELECT segment_id, string_split(regexp_replace(ts, '[.,]\d+$', ''), ':') AS p FROM segments WHERE ts IS NOT NULL), s AS (SELECT segment_id, CASE WHEN len(p) = 2 THEN p[1]::BIGINT * 60 + p[2]::BIGINT ELSE p[1]::BIGINT * 3600 + p[2]::BIGINT * 60 + p[3]::BIGINT END AS s FROM p)
 SELECT segment_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS hms, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS padded, printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS spoken FROM s""",
         "parsed_subtitles": r"""WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1)::BIGINT AS no, arg_min(struct_pack(t := text, ts := ts), segment_id) AS r FROM segments GROUP BY ALL),
