@@ -28,9 +28,9 @@ def document_words(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose normalised texts are equal: the first one, how many there are, and the first known title."""
-    rows = load(spark, d, "documents").withColumn("key", T.normalize_text(F.col("text"))).filter("key <> ''")
-    groups = rows.groupBy(F.md5("key").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("doc_id"))).alias("title"), F.countDistinct("source").alias("n_sources"))
-    return groups.filter("n > 1").select("doc_id", "n", "title", "n_sources")
+    rows = load(spark, d, "documents").filter("text is not null").withColumn("key", F.md5(T.normalize_text(F.col("text"))))
+    groups = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("doc_id"))).alias("title"), F.countDistinct("source").alias("n_sources"))
+    return groups.filter((F.col("n") > 1) & (F.col("key") != F.md5(F.lit("")))).select("doc_id", "n", "title", "n_sources")
 
 
 def chunk_documents(spark: SparkSession, d: str, target: int = 1_000) -> DataFrame:
