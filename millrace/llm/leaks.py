@@ -187,7 +187,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, radius
     over the documents. Documents are not shuffled.
     """
     hashed = items.select(F.col("item_id").cast("long").alias("id"), word_hashes(F.col("passage")).alias("words")).filter(F.size("words") >= width)
-    docs = documents.select(F.col("doc_id").cast("long").alias("id"), word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= width)
+    docs = documents.select(F.col("doc_id").cast("long").alias("id"), word_hashes(F.col("text")).alias("words"))
     blocks: list[list[tuple[int, np.ndarray]]] = []
     room = 0
     for r in hashed.toLocalIterator():
