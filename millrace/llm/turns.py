@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.confusables import skeleton
+from millrace.plans.session import written
 
 UNKNOWN = "unknown"
 # Hesitation sounds (stretched ones too) and words that tell a bracketed sound annotation.
@@ -321,7 +322,8 @@ def speaker_turns(segments: DataFrame, speakers: DataFrame, pause: float | None
     a turn. ``pause`` ends a turn at a longer silence in seconds too (see ``calibrated_pause``); None: never. Null
     entry_ids are one transcript, unknown channels have no labels. A turn's text is one value, whatever its length.
     """
-    runs = _ordered(segments, speakers, with_text).mapInArrow(_sweeper(pause), _RUN)
+    # Both parts must come from one and the same partitioning, so it is made once, as a table.
+    runs = written(_ordered(segments, speakers, with_text).mapInArrow(_sweeper(pause), _RUN))
     done = runs.filter("not edge")
     stitched = runs.filter("edge").groupBy("entry_id").applyInPandas(_stitcher(pause), _RUN)
     return done.unionAll(stitched).select("entry_id", "first_segment_id", "last_segment_id", F.col("who").alias("speaker_id"), "start", "end", "n_words", "text")

@@ -70,14 +70,16 @@ def test_sweep_over_many_partitions_against_one_pass(spark):
                     want.append(current)
     shuffled = segments[:]
     rng.shuffle(shuffled)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "13")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        assert found(spark, shuffled, with_text=False) == sorted(map(tuple, want))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for partitions, coalesce, advisory in (("13", "false", "64m"), ("40", "true", "3k"), ("5", "true", "64m")):
+        conf = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory, "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+        old = {k: spark.conf.get(k, None) for k in conf}
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        try:
+            assert found(spark, shuffled, with_text=False) == sorted(map(tuple, want))
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_pauses_and_rolling_captions(spark):
