@@ -129,7 +129,8 @@ def read_segment(text: str | None, roster: Roster) -> list[tuple[str | None, int
     if not text:
         return []
     t = text if text.isascii() else unicodedata.normalize("NFC", skeleton(text))
-    t = _TIME.sub("\x00", t)
+    if ":" in t:
+        t = _TIME.sub("\x00", t)
     labels: list[str] = []
 
     def bracket(m: re.Match) -> str:
@@ -179,14 +180,20 @@ def locator_number(locator: Column) -> Column:
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.list_(pa.struct([("who", pa.string()), ("n", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         keep = batch.column("with_text")[0].as_py() if batch.num_rows else False
-        parts = [
-            [{"who": who, "n": n, "text": clean if keep else None} for who, n, clean in read_segment(text, _roster(members))]
-            for text, members in zip(batch.column("text").to_pylist(), batch.column("members").to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("entry_id", "place", "segment_id", "sec")] + [pa.array(parts, kinds)], names=["entry_id", "place", "segment_id", "sec", "parts"])
+        members = batch.column("members").dictionary_encode()
+        rosters = [_roster(m) for m in members.dictionary.to_pylist()]
+        offsets, who, n, text = [0], [], [], []
+        for t, i in zip(batch.column("text").to_pylist(), members.indices.to_pylist()):
+            for label, k, clean in read_segment(t, rosters[i] if i is not None else _roster(None)):
+                who.append(label)
+                n.append(k)
+                text.append(clean if keep else None)
+            offsets.append(len(who))
+        parts = pa.StructArray.from_arrays([pa.array(who, pa.string()), pa.array(n, pa.int32()), pa.array(text, pa.string())], names=["who", "n", "text"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("entry_id", "place", "segment_id", "sec")] + [lists], names=["entry_id", "place", "segment_id", "sec", "parts"])
 
 
 def overlap(before: list[str], after: list[str], least: int = 3) -> int:
@@ -242,25 +249,29 @@ def _sweeper(pause: float | None):
 
         entry_rows = False
         for batch in batches:
-            for e, segment, sec, parts in zip(*(batch.column(c).to_pylist() for c in ("entry_id", "segment_id", "sec", "parts"))):
+            lists = batch.column("parts")
+            at = lists.offsets.to_pylist()
+            flat = lists.values
+            who, n, text = (flat.field(c).to_pylist() for c in ("who", "n", "text"))
+            for row, (e, segment, sec) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("entry_id", "segment_id", "sec")))):
                 if not entry_rows or e != entry:
                     if entry_rows:
                         yield from close(False)
                         head = False
                     # Only the partition's first entry can go on from the partition before.
                     entry, runs, label, last, entry_rows = e, [], None if head else UNKNOWN, None, True
-                for p in parts or ():
-                    if p["who"]:
-                        label = p["who"]
-                    if not p["n"]:
+                for p in range(at[row], at[row + 1]):
+                    if who[p]:
+                        label = who[p]
+                    if not n[p]:
                         continue
                     paused = pause is not None and last is not None and sec is not None and sec - last > pause
                     if runs and runs[-1][3] == label and not paused:
                         r = runs[-1]
-                        r[5], r[8], r[9] = segment, r[8] + p["n"], join_captions(r[9], p["text"])
+                        r[5], r[8], r[9] = segment, r[8] + n[p], join_captions(r[9], text[p])
                         r[7] = sec if sec is not None else r[7]
                     else:
-                        runs.append([entry, part, len(runs), label, segment, segment, sec, sec, p["n"], p["text"], False, None])
+                        runs.append([entry, part, len(runs), label, segment, segment, sec, sec, n[p], text[p], False, None])
                     last = sec if sec is not None else last
                 if len(runs) > 5000:  # turns that are surely closed don't wait for the entry's end
                     done, runs[2:-2] = runs[2:-2], []
