@@ -215,13 +215,21 @@ def overlap(before: list[str], after: list[str], least: int = 3) -> int:
     return k if k >= least else 0
 
 
+def after_captions(tail: str, after: str) -> str:
+    """What a caption adds to a text that ends with ``tail``: nothing of what a rolling caption repeats."""
+    words = after.split(" ")
+    # An overlap holds the first three words, one after the other.
+    if len(words) < 3 or " ".join(words[:3]).casefold() not in tail.casefold():
+        return after
+    return " ".join(words[overlap(tail.rsplit(" ", 200)[-200:], words[:200]) :])
+
+
 def join_captions(before: str | None, after: str | None) -> str | None:
     """Two neighbouring captions as one text, what a rolling caption repeats only once."""
     if not before or not after:
         return before or after
-    rest = after.split(" ")
-    cut = overlap(before.rsplit(" ", 200)[-200:], rest[:200])
-    return " ".join([before, *rest[cut:]]) if cut < len(rest) else before
+    rest = after_captions(before[-4_000:], after)
+    return f"{before} {rest}" if rest else before
 
 
 _RUN = "entry_id string, part int, seq long, who string, first_segment_id long, last_segment_id long, start double, end double, n_words long, text string, edge boolean, label_after string"
@@ -233,7 +241,12 @@ def _sweeper(pause: float | None):
         names = [x.split(" ")[0] for x in _RUN.split(", ")]
         runs: list[list] = []
         entry = object()
-        head, label, last = True, None, None
+        head, label, last, tail = True, None, None, ""
+
+        def batch_of(rows: list[list]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            columns[9] = [" ".join(t) if t else None for t in columns[9]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=names)
 
         def close(tail: bool) -> Iterator[pa.RecordBatch]:
             """The runs of the entry that ends; those that a neighbouring partition may continue are marked."""
@@ -243,9 +256,9 @@ def _sweeper(pause: float | None):
                         if 0 <= i < len(runs):
                             runs[i][10] = True
                     # The label in force at the end, for the partitions after this one.
-                    runs.append([entry, part, len(runs), None, None, None, None, None, 0, None, True, label])
+                    runs.append([entry, part, len(runs), None, None, None, None, None, 0, [], True, label])
                 if runs:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs), _TYPES)], names=names)
+                    yield batch_of(runs)
 
         entry_rows = False
         for batch in batches:
@@ -268,14 +281,18 @@ def _sweeper(pause: float | None):
                     paused = pause is not None and last is not None and sec is not None and sec - last > pause
                     if runs and runs[-1][3] == label and not paused:
                         r = runs[-1]
-                        r[5], r[8], r[9] = segment, r[8] + n[p], join_captions(r[9], text[p])
+                        r[5], r[8] = segment, r[8] + n[p]
+                        if text[p] and (rest := after_captions(tail, text[p]) if tail else text[p]):
+                            r[9].append(rest)
+                            tail = f"{tail} {rest}"[-4_000:]
                         r[7] = sec if sec is not None else r[7]
                     else:
-                        runs.append([entry, part, len(runs), label, segment, segment, sec, sec, n[p], text[p], False, None])
+                        runs.append([entry, part, len(runs), label, segment, segment, sec, sec, n[p], [text[p]] if text[p] else [], False, None])
+                        tail = (text[p] or "")[-4_000:]
                     last = sec if sec is not None else last
                 if len(runs) > 5000:  # turns that are surely closed don't wait for the entry's end
                     done, runs[2:-2] = runs[2:-2], []
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), _TYPES)], names=names)
+                    yield batch_of(done)
         if entry_rows:
             yield from close(True)
 
