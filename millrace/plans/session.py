@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,29 @@ def local_session(cpus: str | int = "*", app: str = "millrace", **conf: str) ->
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the library to the Python workers of a session, wherever they start: once for each application.
+
+    The archive is handed out by the driver itself; executors need not see its folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    digest = hashlib.sha256()
+    for file in sorted(root.rglob("*.py")):
+        digest.update(str(file.relative_to(root)).encode() + file.read_bytes())
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{root.name}-{digest.hexdigest()[:16]}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
