@@ -248,7 +248,7 @@ def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def groups(members: DataFrame, pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, group_id): connected components over the links between sets, a row's group named by its smallest member.
 
     Each round takes every set's smallest label among its neighbours and then jumps along labels, so a chain of n links
@@ -257,12 +257,12 @@ def groups(members: DataFrame, pairs: DataFrame, max_rounds: int = 30) -> DataFr
     pairs = cut_lineage(pairs)
     edges = cut_lineage(pairs.select(F.col("set_a").alias("u"), F.col("set_b").alias("v")).unionAll(pairs.select("set_b", "set_a")).distinct())
     labels = cut_lineage(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         seen = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         low = labels.join(seen, "u").select("u", F.least("label", "near").alias("low"))
         new = cut_lineage(low.join(labels.select(F.col("u").alias("low"), F.col("label").alias("jump")), "low", "left").select("u", F.least(F.col("low"), F.coalesce("jump", "low")).alias("label")))
-        if new.join(labels.withColumnRenamed("label", "old"), "u").filter("label <> old").isEmpty():
-            labels = new
-            break
+        settled = new.join(labels.withColumnRenamed("label", "old"), "u").filter("label <> old").isEmpty()
         labels = new
+        if settled:
+            break
     return members.join(labels.withColumnRenamed("u", "set_id"), "set_id", "left").select("id", F.coalesce("label", "set_id").alias("group_id"))

@@ -36,6 +36,7 @@ _TIME = re.compile(rf"[<\[({{]\s*{_CLOCK}(?:\s*-->\s*{_CLOCK})?\s*[>\])}}]\s*(?:
 _BRACKET = re.compile(r"<v(?:\.[\w.]+)?\s+([^<>]{1,80})>|\[([^\[\]]{1,80})\]|\{([^{}]{1,80})\}|<(/?[^<>]{1,80})>|\(([^()]{1,80})\)|\*([^*\n]{1,60})\*|♪[^♪]*♪|[♪♫]+")
 #: Where a label may stand: at the start, on a new line, or after a sentence or an annotation.
 _PLAIN = re.compile(r"(?:^|(?<=[.!?…:\"”)\]>}*♪]\s)|(?<=\n)|(?<=\x00))[ \t]*(?:>>+[ \t]*|[-–—][ \t]+)?([^\W_](?:[\w.'’#-]|[ \t](?=[\w#])){0,50}?)[ \t]*(:|[ \t][-–—])(?=\s|$|\x00)")
+_OPENERS = frozenset(".!?…:\"”)]>}*♪\n\x00")
 _SENTENCE = re.compile(r"[.!?…][\"”)\]]*\s+(?=\S)")
 _ARROWS = re.compile(r">>+\s*")
 _WORD = re.compile(r"[^\W_]+")
@@ -135,7 +136,9 @@ def read_segment(text: str | None, roster: Roster) -> list[tuple[str | None, int
 
     def bracket(m: re.Match) -> str:
         inner = next((g for g in m.groups() if g is not None), "")
-        who = roster.find(inner) if inner and m[6] is None and not any(c in ",;" for c in inner) else None
+        # Round brackets inside a sentence are an aside, not a label.
+        opens = m[5] is None or not (before := t[max(0, m.start() - 8) : m.start()].rstrip(" \t")) or before[-1] in _OPENERS
+        who = roster.find(inner) if inner and m[6] is None and opens and not any(c in ",;" for c in inner) else None
         if who:
             labels.append(who)
             return f"\x01{len(labels) - 1}\x01\x00"

@@ -29,6 +29,7 @@ def test_labels_in_every_writing():
 def test_what_is_no_label_and_no_word():
     assert read_segment("Note: keep this", ROSTER) == [(None, 3, "Note: keep this")]
     assert read_segment("see it (line 7, archive) there", ROSTER)[0][1] == 6
+    assert [p[0] for p in read_segment("we met her (Anna) there", ROSTER)] == [None] and [p[0] for p in read_segment("It ends. (Anna) Yes", ROSTER)] == [None, "s1"]
     for nothing in (None, "", "  ", "[music]", "(applause)", "*clears throat*", "<cough>", "{static}", "♪ ♪", "um, uh", "Uhm... hmm", "[00:00:10]", "00:10 -", "er"):
         assert not any(n for _, n, _ in read_segment(nothing, ROSTER)), nothing
     assert read_segment("Anna: [laughs]", ROSTER) == [("s1", 0, "")]
