@@ -143,7 +143,7 @@ def _similar_in_block(ratio: float):
     return run
 
 
-def fuzzy_leaders(items: DataFrame, ratio: float = 0.85, chunk: int = 512, max_rounds: int = 50) -> DataFrame:
+def fuzzy_leaders(items: DataFrame, ratio: float = 0.85, chunk: int = 512) -> DataFrame:
     """Greedy removal of restatements within a group: (group_id, pos, leader).
 
     items: group_id STRING, pos BIGINT, statement. In order of pos, an item joins the first kept one whose normalised
@@ -162,9 +162,7 @@ def fuzzy_leaders(items: DataFrame, ratio: float = 0.85, chunk: int = 512, max_r
     called = blocks.withColumns({"call": calls, "alone": alone, "alone_lo": F.when(alone.isNotNull(), F.col("lo")), "alone_hi": F.when(alone.isNotNull(), F.col("hi"))}).drop("chunks")
     pairs = cut_lineage(called.groupBy("call", "alone", "alone_lo", "alone_hi").applyInPandas(_similar_in_block(ratio), "group_id string, earlier long, later long").distinct())
     state = cut_lineage(rows.select("group_id", "pos").join(pairs.select("group_id", F.col("later").alias("pos")).distinct().withColumn("open", F.lit(True)), ["group_id", "pos"], "left").select("group_id", "pos", F.when(F.col("open").isNull(), F.col("pos")).alias("leader")))
-    for _ in range(max_rounds):
-        if state.filter("leader is null").isEmpty():
-            break
+    while not state.filter("leader is null").isEmpty():  # every round settles the first open item of each group at least
         seen = pairs.join(state.select("group_id", F.col("pos").alias("earlier"), F.col("leader").alias("of")), ["group_id", "earlier"])
         # The first earlier neighbour that leads; and whether an unsettled one stands before it.
         now = seen.groupBy("group_id", F.col("later").alias("pos")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ascii_tokens, title_key, topics_capped
-from millrace.functions.vectors import cosine
+from millrace.operators.retrieval import top_k
 
 SIM_FLOOR, EMBED_POOL, MAX_CANDIDATES, MAX_EDGES = 0.55, 8, 5, 3
 
@@ -43,19 +43,15 @@ def token_overlap(queries: DataFrame, groups: DataFrame) -> DataFrame:
     return q.join(g, "token").select("query_id", "group_id").distinct()
 
 
-def group_edges(group_vectors: DataFrame, floor: float = SIM_FLOOR, most: int = MAX_EDGES) -> DataFrame:
+def group_edges(group_vectors: DataFrame, floor: float = SIM_FLOOR, most: int = MAX_EDGES, touched: DataFrame | None = None) -> DataFrame:
     """The most similar other groups of each group above the floor: (source, target, similarity, rank).
 
-    group_vectors: group_id, vector; a group without a vector has no edges. Groups are the bounded side of this data
-    (tens to hundreds); the join is on a block number, so each task compares two blocks of them.
+    group_vectors: group_id BIGINT, vector; a group without a vector has no edges. ``touched`` (group_id) limits the
+    sources to the groups that changed; they are searched for in blocks against all groups.
     """
-    blocks = 16
-    rows = group_vectors.filter("vector is not null and size(vector) > 0").withColumn("b", F.pmod(F.xxhash64("group_id"), F.lit(blocks)).cast("int"))
-    left = rows.select(F.col("group_id").alias("source"), F.col("vector").alias("v"), F.col("b").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = rows.select(F.col("group_id").alias("target"), F.col("vector").alias("w"), "b")
-    near = left.join(right, "b").filter("source <> target").select("source", "target", cosine(F.col("v"), F.col("w")).alias("similarity")).filter(F.col("similarity") >= floor)
-    order = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    rows = group_vectors.filter("vector is not null and size(vector) > 0").select(F.col("group_id").alias("id"), "vector")
+    sources = rows if touched is None else rows.join(touched.select(F.col("group_id").alias("id")).distinct(), "id", "left_semi")
+    return top_k(sources, rows, most, floor).select(F.col("query_id").alias("source"), F.col("id").alias("target"), "similarity", "rank")
 
 
 def decided(answers: DataFrame, offered: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def source_pages(entries: DataFrame) -> DataFrame:
     )
     points = F.transform(F.coalesce(F.col("distilled_note.key_points"), F.array()), lambda p: F.concat(F.lit("- "), with_references(p["text"], p["item_ids"])))
     lines = F.flatten(F.array(
-        F.array(F.lit("---"), F.lit("type: source"), F.concat(F.lit("title: "), yaml_quoted(F.coalesce("source.title", F.lit("")))), F.concat(F.lit("distil_entry_id: "), F.col("entry_id")), F.concat(F.lit("topics: "), yaml_list(F.coalesce("tags.topics", F.array()))), F.concat(F.lit("date: "), F.substring("meta.created_at", 1, 10)), F.lit("---"), F.lit("")),
+        F.array(F.lit("---"), F.lit("type: source"), F.concat(F.lit("title: "), yaml_quoted(F.coalesce("source.title", F.lit("")))), F.concat(F.lit("entry_id: "), F.col("entry_id")), F.concat(F.lit("topics: "), yaml_list(F.coalesce("tags.topics", F.array()))), F.concat(F.lit("date: "), F.substring("meta.created_at", 1, 10)), F.lit("---"), F.lit("")),
         F.array(F.concat(F.lit("# "), F.coalesce("source.title", F.lit(""))), F.lit(""), F.coalesce(with_references(F.col("distilled_note.core_takeaway.text"), F.col("distilled_note.core_takeaway.item_ids")), F.lit("")), F.lit(""), F.lit("## Key points"), F.lit("")),
         points,
         F.when(F.col("related").isNull(), F.array()).otherwise(F.concat(F.array(F.lit(""), F.lit("## Related"), F.lit("")), F.col("related"))),

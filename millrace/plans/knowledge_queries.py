@@ -221,7 +221,7 @@ sl3 AS (SELECT *, row_number() OVER (PARTITION BY short ORDER BY nth, entry_id)
 sl AS (SELECT entry_id, CASE WHEN k = 1 THEN short ELSE base || '-' || trim(regexp_replace(lower(right(entry_id, (6 + (k - 1) * 2)::INT)), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM sl3)"""
 _PAGES = """rel AS (SELECT entry_id, list(line ORDER BY pos) AS lines FROM (SELECT r.entry_id, r.pos, '- ' || r.x.relation || ': [' || r.x.target || '](' || coalesce(sl.slug, r.x.target) || '.md)' AS line
  FROM (SELECT entry_id, generate_subscripts(related_entries, 1) AS pos, unnest(related_entries) AS x FROM en) r LEFT JOIN sl ON sl.entry_id = r.x.target) GROUP BY entry_id),
-pg AS (SELECT sl.slug, array_to_string(['---', 'type: source', 'title: "' || replace(replace(coalesce(e.source.title, ''), '\\', '\\\\'), '"', '\\"') || '"', 'distil_entry_id: ' || e.entry_id,
+pg AS (SELECT sl.slug, array_to_string(['---', 'type: source', 'title: "' || replace(replace(coalesce(e.source.title, ''), '\\', '\\\\'), '"', '\\"') || '"', 'entry_id: ' || e.entry_id,
  'topics: [' || coalesce(array_to_string(e.tags.topics, ', '), '') || ']', 'date: ' || left(e.meta.created_at, 10), '---', '', '# ' || coalesce(e.source.title, ''), '',
  coalesce(CASE WHEN len(e.distilled_note.core_takeaway.item_ids) > 0 THEN e.distilled_note.core_takeaway.text || ' (' || array_to_string(list_transform(e.distilled_note.core_takeaway.item_ids, lambda i: '`' || i || '`'), ', ') || ')' ELSE e.distilled_note.core_takeaway.text END, ''), '', '## Key points', '']
  || list_transform(coalesce(e.distilled_note.key_points, []), lambda p: '- ' || CASE WHEN len(p.item_ids) > 0 THEN p.text || ' (' || array_to_string(list_transform(p.item_ids, lambda i: '`' || i || '`'), ', ') || ')' ELSE p.text END)
