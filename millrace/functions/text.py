@@ -23,6 +23,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends; ``trim`` takes blanks only."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def split_words(text: Column) -> Column:
     """Words between white space; empty for a blank text."""
     return F.filter(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " "), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ascii_tokens, title_key, topics_capped
+from millrace.functions.text import ascii_tokens, strip, title_key, topics_capped
 from millrace.operators.retrieval import top_k
 
 SIM_FLOOR, EMBED_POOL, MAX_CANDIDATES, MAX_EDGES = 0.55, 8, 5, 3
@@ -82,8 +82,8 @@ def new_groups(named: DataFrame) -> DataFrame:
 def entity_mentions(items: DataFrame, kinds: tuple[str, ...] = ("tool", "person", "organization")) -> DataFrame:
     """(entry_id, item_id, pos, kind, name, quote): mentions with a known kind, a name and a quote."""
     each = items.select("entry_id", "item_id", F.col("pos").alias("item_pos"), F.posexplode("entity_mentions").alias("pos", "m"))
-    good = F.col("m.kind").isin(*kinds) & (F.trim(F.coalesce("m.name", F.lit(""))) != "") & (F.trim(F.coalesce("m.quote", F.lit(""))) != "")
-    return each.filter(good).select("entry_id", "item_id", (F.col("item_pos") * 1000 + F.col("pos")).alias("pos"), "m.kind", F.trim("m.name").alias("name"), F.trim("m.quote").alias("quote"))
+    good = F.col("m.kind").isin(*kinds) & (strip(F.coalesce("m.name", F.lit(""))) != "") & (strip(F.coalesce("m.quote", F.lit(""))) != "")
+    return each.filter(good).select("entry_id", "item_id", (F.col("item_pos") * 1000 + F.col("pos")).alias("pos"), "m.kind", strip(F.col("m.name")).alias("name"), strip(F.col("m.quote")).alias("quote"))
 
 
 def sharing_tags(queries: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
@@ -127,7 +127,7 @@ def grounded_parts(parts: DataFrame, items: DataFrame) -> DataFrame:
     known = items.groupBy("entry_id").agg(F.collect_set("item_id").alias("known"))
     none = F.expr("cast(array() as array<string>)")
     kept = parts.join(known, "entry_id", "left").withColumn("valid", valid_ids(F.col("item_ids"), F.coalesce("known", none)))
-    text = F.trim("text")
+    text = strip(F.col("text"))
     return kept.filter((text != "") & (F.size("valid") > 0)).select(
         "entry_id", "section", "pos", text.alias("text"), F.col("valid").alias("item_ids"),
         (F.size(F.array_distinct("item_ids")) - F.size("valid")).alias("dropped"), F.forall("item_ids", lambda i: F.array_contains("known", i)).alias("all_valid"),
@@ -136,7 +136,7 @@ def grounded_parts(parts: DataFrame, items: DataFrame) -> DataFrame:
 
 def item_contexts(parts: DataFrame) -> DataFrame:
     """(entry_id, item_id, context): the distinct texts of the parts that cite an item, in order, as one text."""
-    each = parts.select("entry_id", "pos", F.trim("text").alias("text"), F.explode(F.array_distinct("item_ids")).alias("item_id")).filter("text <> ''")
+    each = parts.select("entry_id", "pos", strip(F.col("text")).alias("text"), F.explode(F.array_distinct("item_ids")).alias("item_id")).filter("text <> ''")
     once = each.groupBy("entry_id", "item_id", "text").agg(F.min("pos").alias("pos"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     return once.groupBy("entry_id", "item_id").agg(F.array_join(texts, " ").alias("context"))

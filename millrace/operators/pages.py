@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import front_matter, front_matter_field, links_of, slugify, with_references, yaml_list, yaml_quoted
+from millrace.functions.text import front_matter, front_matter_field, links_of, slugify, strip, with_references, yaml_list, yaml_quoted
 
 
 def entry_slugs(entries: DataFrame) -> DataFrame:
@@ -115,4 +115,4 @@ def rendered_citations(parts: DataFrame, items: DataFrame, slugs: DataFrame) ->
     place = cited.join(items.select("entry_id", "item_id", F.col("provenance.timestamp").alias("ts")), ["entry_id", "item_id"]).join(slugs, "entry_id")
     mark = F.concat(F.lit("["), F.col("slug"), F.when(F.col("ts").isNotNull(), F.concat(F.lit(" @ "), F.col("ts"))).otherwise(F.lit("")), F.lit("]"))
     marks = place.groupBy("entry_id", "pos").agg(F.max("text").alias("text"), F.array_sort(F.collect_list(F.struct("k", mark.alias("mark")))).alias("marks"))
-    return marks.select("entry_id", "pos", F.concat_ws(" ", F.trim("text"), F.array_join(F.transform("marks", lambda m: m["mark"]), "")).alias("text"))
+    return marks.select("entry_id", "pos", F.concat_ws(" ", strip(F.col("text")), F.array_join(F.transform("marks", lambda m: m["mark"]), "")).alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import seams
 from millrace.functions.jsonx import read_items
-from millrace.functions.text import display_title, first_words, front_matter_field, humanize_tag, links_of, normalize_text, sentences, slugify, title_from_filename, topics_capped, without_citations, without_fence, yaml_quoted
+from millrace.functions.text import display_title, first_words, front_matter_field, humanize_tag, links_of, normalize_text, sentences, slugify, strip, title_from_filename, topics_capped, without_citations, without_fence, yaml_quoted
 from millrace.functions.times import clock, feedback_factor, recency_factor
 from millrace.functions.urls import video_id, watch_url
 from millrace.functions.vectors import bow_embedding, cosine
@@ -30,6 +30,7 @@ def text(spark, make, value):
 
 def test_text_functions(spark):
     assert text(spark, normalize_text, "  It’s 5-TIMES\n better! ") == "it s 5 times better" and text(spark, normalize_text, None) is None and text(spark, normalize_text, "—") == ""
+    assert text(spark, strip, " \u2007a b\u00a0\n") == "a b" and text(spark, strip, None) is None
     assert text(spark, slugify, " Héllo, World -- 2! ") == "h-llo-world-2" and text(spark, slugify, "语") == ""
     assert text(spark, humanize_tag, "llm_agents-and ui") == "LLM Agents And UI"
     assert text(spark, title_from_filename, "/a/b/My_talk [v2] (final).SRT") == "My talk" and text(spark, title_from_filename, "  ") == "Pasted transcript" and text(spark, title_from_filename, None) == "Pasted transcript"
