@@ -136,7 +136,7 @@ def composite_rank(spark: SparkSession, d: str) -> DataFrame:
     """The recorded retrievals ranked again for each question: best six by score, then the gate on similarity."""
     from pyspark.sql import Window
 
-    rows = load(spark, d, "retrieved_items").filter("question_id % 20 = 0").select(F.col("question_id").alias("query_id"), "retrieval_id", "similarity", "score")
+    rows = load(spark, d, "retrieved_items").select(F.col("question_id").alias("query_id"), "retrieval_id", "similarity", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "retrieval_id")
     best = rows.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 6")
     return S.gate(best, 0.35)
