@@ -52,7 +52,8 @@ def knn_composite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstention_gate(spark: SparkSession, d: str) -> DataFrame:
-    return S.answered(_queries(_vectors(spark, d)), S.gate(_ranked(spark, d), 0.45))
+    """A query is answered if one of its items or one of its concepts clears the gate."""
+    return S.answered(_queries(_vectors(spark, d)), S.gate(_ranked(spark, d), 0.45), S.gate(_concepts(spark, d), 0.45))
 
 
 def concept_centroids(spark: SparkSession, d: str) -> DataFrame:

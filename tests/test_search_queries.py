@@ -1,3 +1,4 @@
+from millrace.operators import retrieval as S  # noqa: N812
 from millrace.plans import search_queries as Q  # noqa: N812
 
 RETRIEVED = "question_id long, retrieval_id long, similarity double, score double"
@@ -11,3 +12,11 @@ def test_every_question_is_ranked(spark, tmp_path):
         best = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1]))[:6]
         want += [(q, r[1], n) for n, r in enumerate(best, 1) if r[2] >= 0.35]
     assert sorted(tuple(r) for r in Q.composite_rank(spark, str(tmp_path)).select("query_id", "retrieval_id", "rank").collect()) == sorted(want)
+
+
+def test_a_concept_that_clears_the_gate_answers_the_query(spark, tmp_path):
+    # Item 31 is near the query but weighs least (score 1); six others weigh more and lie below the gate.
+    rows = [(20, [1.0, 0.0], 9), (31, [0.46, 0.888], 1)] + [(i, [0.44, 0.898], 2) for i in (5, 17, 23, 29, 35, 41)] + [(40, [0.0, 0.0], 9), (43, [-2.0, 0.0], 9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert not S.gate(Q._ranked(spark, str(tmp_path)), 0.45).count()
+    assert sorted(tuple(r) for r in Q.abstention_gate(spark, str(tmp_path)).collect()) == [(20, True), (40, False)]
