@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Queries in one block; more queries take further passes over the vectors.
 QUERIES_PER_BLOCK = 2_000
+#: Similarities of groups to queries that a task keeps before it hands them on.
+CELLS_PER_TASK = 4_000_000
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -66,6 +69,14 @@ def _searcher(ids: list[int], units: np.ndarray, k: int, floor: float | None):
     return run
 
 
+def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Ids and unit vectors of the queries, block by block."""
+    rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator()
+    while block := list(islice(rows, QUERIES_PER_BLOCK)):
+        dim = max((len(v) for _, v in block if v is not None), default=0) or 1
+        yield [i for i, _ in block], _matrix(pa.array([v if v is not None else [] for _, v in block], pa.list_(pa.float64())), dim)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, floor: float | None = None) -> DataFrame:
     """The k best vectors of each query: (query_id, id, similarity, score, rank).
 
@@ -76,20 +87,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, floor: float | Non
     spark = vectors.sparkSession
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in vectors.columns else F.lit(1.0)).alias("weight"))
     schema = "query_id long, id long, similarity double, score double"
-    parts, block = [], []
-
-    def search(block: list) -> DataFrame:
-        dim = max((len(v) for _, v in block if v is not None), default=0) or 1
-        units = _matrix(pa.array([v if v is not None else [] for _, v in block], pa.list_(pa.float64())), dim)
-        return rows.mapInArrow(_searcher([i for i, _ in block], units, k, floor), schema)
-
-    for r in queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERIES_PER_BLOCK:
-            parts.append(search(block))
-            block = []
-    if block:
-        parts.append(search(block))
+    parts = [rows.mapInArrow(_searcher(ids, units, k, floor), schema) for ids, units in _blocks(queries)]
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")
     found = reduce(DataFrame.unionAll, parts)
@@ -97,6 +95,53 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, floor: float | Non
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _grouper(ids: list[int], units: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids = np.array(ids)
+        best: dict[int | None, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, similarity in best.items():
+                seen = similarity > -np.inf
+                n = int(seen.sum())
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[seen]), pa.array([group] * n, pa.int64()), pa.array(similarity[seen])], names=["query_id", "group_id", "similarity"])
+            best.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column("group_id").dictionary_encode(null_encoding="encode")
+            codes = groups.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            similarity = units @ _matrix(batch.column("vector"), units.shape[1])[order].T
+            similarity[query_ids[:, None] == batch.column("id").to_numpy()[order][None, :]] = -np.inf
+            # Every code of the dictionary occurs, so the segments are the groups in the dictionary's order.
+            top = np.maximum.reduceat(similarity, np.flatnonzero(np.diff(codes[order], prepend=-1)), axis=1)
+            for group, x in zip(groups.dictionary.to_pylist(), top.T):
+                best[group] = np.maximum(best[group], x) if group in best else x.copy()
+            if len(best) * len(ids) > CELLS_PER_TASK:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def best_members(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """Similarity of each query to the nearest member of each group: (query_id, group_id, similarity).
+
+    queries: id, vector; members: id, vector, group_id BIGINT. Every member counts, but a query isn't its own member.
+    Each task finds the maxima of its rows, and only those are shuffled. Null, zero and unequally long vectors have
+    similarity 0.
+    """
+    rows = members.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("group_id").cast("long").alias("group_id"))
+    schema = "query_id long, group_id long, similarity double"
+    parts = [rows.mapInArrow(_grouper(ids, units), schema) for ids, units in _blocks(queries)]
+    if not parts:
+        return members.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, parts).groupBy("query_id", "group_id").agg(F.max("similarity").alias("similarity"))
+
+
 def gate(ranked: DataFrame, threshold: float = 0.35) -> DataFrame:
     """The ranked rows whose similarity clears the threshold: the cut to k comes first, the gate second."""
     return ranked.filter(F.col("similarity") >= threshold)

@@ -72,12 +72,11 @@ def _centroid_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    near = S.top_k(_queries(v), v, 20).join(v.select("id", "group_id"), "id").select("query_id", "group_id", "similarity")
-    return S.group_scores(_centroid_hits(spark, d), near)
+    return S.group_scores(_centroid_hits(spark, d), S.best_members(_queries(v), v))
 
 
 def concept_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts by centroid or best member among the 20 nearest items."""
+    """Concepts by the larger of the centroid's and the best member's similarity."""
     return _shaped(_concepts(spark, d), "query_id", "group_id")
 
 
