@@ -1,14 +1,19 @@
 """Evaluation texts leaking into training text.
 
-Every window of consecutive words of an evaluation passage gets a SimHash fingerprint, and so does every window of a
-document. A multi-index over blocks of the fingerprint's bits returns every pair of fingerprints within a Hamming
-radius, by the pigeonhole principle. Candidate windows are verified by their exact weighted-shingle similarity.
+Two windows of words that reach a similarity can differ in a few neighbouring pairs of words only. Every window gets
+keys made of its pairs such that any two windows with so many common pairs have a key in common, so that no window at
+or above the similarity is missed. Candidate windows are verified by their exact weighted-shingle similarity.
+
+SimHash fingerprints and their multi-index find windows within a Hamming radius. ``leaked_items`` doesn't use them: one
+replaced word of ten moves about 8 of the 64 bits, too many for an index by blocks of bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +24,8 @@ from millrace.llm.words import mix, word_hashes
 
 #: Passage windows in one block of the item set; a larger set takes further passes over the documents.
 WINDOWS_PER_BLOCK = 400_000
+#: Keys of a window; a key holds as many pairs of words as that number allows.
+MOST_KEYS = 20
 
 
 def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
@@ -107,13 +114,77 @@ class MultiIndex:
         return np.concatenate(rows), np.concatenate(items)
 
 
+def word_pairs(x: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, along the last axis."""
+    with np.errstate(over="ignore"):
+        return mix(x[..., :-1].astype(np.uint64) * np.uint64(3) + x[..., 1:].astype(np.uint64))
+
+
+def lost_pairs(width: int, similarity: float) -> int:
+    """How many of its ``width - 1`` pairs a window may lack in another at a weighted-shingle similarity, at most."""
+    weight = 3 * width - 2
+    return (weight - ceil(2 * weight * similarity / (1 + similarity) - 1e-9)) // 2
+
+
+class SharedPairs:
+    """Windows by keys of their pairs of words: two that lack at most ``lost`` pairs of each other share a key at least.
+
+    Of two sorted windows with all but ``lost`` pairs in common, the first k common pairs are among the first
+    ``lost + k`` of each. The keys are the sums of every k of these.
+    """
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, width: int, lost: int):
+        self.n, self.lost = width - 1, lost
+        self.k = max((k for k in range(1, self.n - lost + 1) if comb(lost + k, lost) <= MOST_KEYS), default=1)
+        keys = [x[at] for x in self._keys(words)]
+        item = np.tile(np.arange(len(at)), len(keys))
+        key = np.concatenate(keys)
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (item[1:] != item[:-1])]
+        self.size, self.key, self.item = len(at), key[fresh], item[fresh].astype(np.int32)
+        bits = min(max(len(self.key).bit_length() + 3, 12), 24)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.key >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.filled = np.diff(self.starts) > 0
+
+    def _keys(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """Each key of every window of consecutive words."""
+        pairs = word_pairs(words)
+        n, m = len(pairs) - self.n + 1, self.lost + self.k
+        if n <= 0:
+            return
+        if m == self.n:
+            parts = [pairs[i : i + n] for i in range(m)]
+        else:
+            parts = list(np.sort(np.lib.stride_tricks.sliding_window_view(pairs, self.n), axis=1)[:, :m].T.copy())
+        total = reduce(np.add, parts)
+        for left_out in combinations(parts, self.lost):
+            yield reduce(np.subtract, left_out, total)
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window of the words, indexed window) positions with a key in common, each once."""
+        found = [np.empty(0, np.int64)]
+        for key in self._keys(words):
+            bucket = (key >> self.shift).astype(np.int32)
+            hit = np.flatnonzero(self.filled[bucket])
+            if not len(hit):
+                continue
+            first = self.starts[bucket[hit]]
+            n = self.starts[bucket[hit] + 1] - first
+            row = np.repeat(hit, n)
+            place = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            same = self.key[place] == key[row]
+            found.append(row[same] * self.size + self.item[place[same]])
+        both = np.unique(np.concatenate(found))
+        return both // self.size, both % self.size
+
+
 def weighted_shingle_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity, row by row, of windows (rows, width) of word hashes.
 
     Shingles are words and pairs of neighbouring words, weighted by how often they occur; a pair weighs double.
     """
-    with np.errstate(over="ignore"):
-        pair = lambda x: mix(x[:, :-1].astype(np.uint64) * np.uint64(3) + x[:, 1:].astype(np.uint64))
 
     def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         # The size of the multiset intersection: the k-th copy of a value on one side meets the k-th on the other.
@@ -128,17 +199,17 @@ def weighted_shingle_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((u[:, :, None] == v[:, None, :]) & (i[:, :, None] == j[:, None, :])).sum((1, 2))
 
     w = a.shape[1]
-    shared = common(a, b) + 2 * common(pair(a), pair(b))
+    shared = common(a, b) + 2 * common(word_pairs(a), word_pairs(b))
     return shared / (2 * (w + 2 * (w - 1)) - shared)
 
 
-def _finder(passages: list[tuple[int, np.ndarray]], width: int, radius: int, similarity: float):
+def _finder(passages: list[tuple[int, np.ndarray]], width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate([w for _, w in passages])
         starts = np.cumsum([0] + [len(w) for _, w in passages])
         at = np.concatenate([np.arange(s, s + len(w) - width + 1) for s, (_, w) in zip(starts, passages)])
         item_of = np.repeat(np.array([i for i, _ in passages], np.int64), [len(w) - width + 1 for _, w in passages])
-        index = MultiIndex(simhash_windows(words, width)[at], radius)
+        index = SharedPairs(words, at, width, lost_pairs(width, similarity))
         step = np.arange(width)
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
@@ -146,8 +217,7 @@ def _finder(passages: list[tuple[int, np.ndarray]], width: int, radius: int, sim
                 lists = batch.column("words")
                 offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 flat = lists.flatten().to_numpy()
-                prints = simhash_windows(flat, width)
-                row, item = index.within(prints)
+                row, item = index.candidates(flat)
                 owner = np.searchsorted(offsets, row, side="right") - 1
                 inside = row + width <= offsets[owner + 1]  # a window does not run into the next document
                 row, item, owner = row[inside], item[inside], owner[inside]
@@ -174,18 +244,20 @@ def _finder(passages: list[tuple[int, np.ndarray]], width: int, radius: int, sim
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, similarity: float = 0.8) -> DataFrame:
     """Documents with a stretch of an item's passage: (doc_id, item_id, similarity, exact).
 
-    documents: doc_id BIGINT, text; items: item_id BIGINT, passage. A stretch is ``width`` consecutive words; a window
-    of the document is reported if its fingerprint is within ``radius`` of one of the passage's and its weighted-shingle
-    similarity to that window is at least ``similarity``. ``exact`` says that a stretch occurs word by word; such
-    windows have equal fingerprints, so every one is found. Null and empty texts and passages shorter than ``width``
+    documents: doc_id BIGINT, text; items: item_id BIGINT, passage. A stretch is ``width`` consecutive words; every
+    window of the document whose weighted-shingle similarity to one of the passage's is at least ``similarity`` is
+    found. ``exact`` says that a stretch occurs word by word. A similarity so low that windows without a common pair of
+    words reach it is a ValueError. Null and empty texts and passages shorter than ``width``
     words match nothing. Repeated document ids give one row per pair; a whole text is read whatever its length.
 
     The items are the query set: they go to the tasks in blocks of ``WINDOWS_PER_BLOCK`` windows, each block one pass
     over the documents. Documents are not shuffled.
     """
+    if not 0 <= lost_pairs(width, similarity) < width - 1:
+        raise ValueError("windows of this width need no pair of words in common to reach the similarity")
     hashed = items.select(F.col("item_id").cast("long").alias("id"), word_hashes(F.col("passage")).alias("words")).filter(F.size("words") >= width)
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), word_hashes(F.col("text")).alias("words"))
     blocks: list[list[tuple[int, np.ndarray]]] = []
@@ -203,5 +275,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, radius
     schema = "doc_id long, item_id long, similarity double, exact boolean"
     if not blocks:
         return documents.sparkSession.createDataFrame([], schema)
-    found = reduce(DataFrame.unionAll, [docs.mapInArrow(_finder(b, width, radius, similarity), schema) for b in blocks])
+    found = reduce(DataFrame.unionAll, [docs.mapInArrow(_finder(b, width, similarity), schema) for b in blocks])
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from millrace.llm import leaks
 from millrace.llm.leaks import MultiIndex, leaked_items, simhash_windows, weighted_shingle_similarity
@@ -83,3 +85,47 @@ def test_edges(spark):
 def test_windows_do_not_span_documents(spark):
     p = WORDS[:10]
     assert exact(spark, [(1, " ".join(["y"] * 10 + p[:5])), (2, " ".join(p[5:] + ["z"] * 10))], [(1, " ".join(p))]) == []
+
+
+def altered(rng, words):
+    """A passage with a word in every ten changed, two neighbours swapped, a word put in, or one dropped."""
+    words, kind = list(words), rng.randrange(4)
+    for i in range(rng.randrange(10), len(words), 10):
+        if kind == 0:
+            words[i] = "other"
+        elif kind == 1:
+            words[i : i + 2] = words[i : i + 2][::-1]
+        else:
+            words[i : i + 1] = [words[i], "more"] if kind == 2 else []
+    return words
+
+
+@pytest.mark.parametrize("width, similarity", [(10, 0.8), (10, 0.6), (4, 0.5), (16, 0.75)])
+def test_altered_stretches_against_brute_force(spark, width, similarity):
+    rng = random.Random(8)
+    passages = [rng.choices(WORDS if i % 3 else WORDS[:3], k=rng.choice([width, 24])) for i in range(16)]
+    docs = [rng.choices(WORDS, k=3) + altered(rng, rng.choice(passages)) + rng.choices(WORDS, k=3) for _ in range(60)]
+
+    def windows(w):
+        return {(g, frozenset(c.items())) for g in (tuple(w[i : i + width]) for i in range(len(w) - width + 1)) for c in [Counter(g) + Counter(zip(g, g[1:])) + Counter(zip(g, g[1:]))]}
+
+    def score(a, b):
+        a, b = dict(a), dict(b)
+        shared = sum(min(n, b.get(k, 0)) for k, n in a.items())
+        return shared / (2 * (3 * width - 2) - shared)
+
+    split, want = [windows(p) for p in passages], {}
+    for d, doc in enumerate(docs):
+        own = windows(doc)
+        for i, p in enumerate(split):
+            best = max((score(a, b) for _, a in own for _, b in p), default=0.0)
+            if best >= similarity:
+                want[d, i] = round(best, 9)
+    rows = found(spark, [(d, " ".join(w)) for d, w in enumerate(docs)], [(i, " ".join(w)) for i, w in enumerate(passages)], width=width, similarity=similarity).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in rows} == want
+    assert sum(s < 1 for s in want.values()) > 10
+
+
+def test_too_low_a_similarity_is_refused(spark):
+    with pytest.raises(ValueError):
+        found(spark, [], [], similarity=0.05)
