@@ -218,20 +218,31 @@ def overlap(before: list[str], after: list[str], least: int = 3) -> int:
     return k if k >= least else 0
 
 
-def after_captions(tail: str, after: str) -> str:
-    """What a caption adds to a text that ends with ``tail``: nothing of what a rolling caption repeats."""
+def last_words(pieces: list[str], n: int) -> list[str]:
+    """The last n words of a text in pieces."""
+    found: list[list[str]] = []
+    for piece in reversed(pieces):
+        found.append(piece.rsplit(" ", n)[-n:])
+        n -= len(found[-1])
+        if n <= 0:
+            break
+    return [w for words in reversed(found) for w in words]
+
+
+def after_captions(pieces: list[str], after: str) -> str:
+    """What a caption adds to a text in pieces: nothing of what a rolling caption repeats, however long it is."""
     words = after.split(" ")
     # An overlap holds the first three words, one after the other.
-    if len(words) < 3 or " ".join(words[:3]).casefold() not in tail.casefold():
+    if len(words) < 3 or " ".join(words[:3]).casefold() not in " ".join(before := last_words(pieces, len(words))).casefold():
         return after
-    return " ".join(words[overlap(tail.rsplit(" ", 200)[-200:], words[:200]) :])
+    return " ".join(words[overlap(before, words) :])
 
 
 def join_captions(before: str | None, after: str | None) -> str | None:
     """Two neighbouring captions as one text, what a rolling caption repeats only once."""
     if not before or not after:
         return before or after
-    rest = after_captions(before[-4_000:], after)
+    rest = after_captions([before], after)
     return f"{before} {rest}" if rest else before
 
 
@@ -244,7 +255,7 @@ def _sweeper(pause: float | None):
         names = [x.split(" ")[0] for x in _RUN.split(", ")]
         runs: list[list] = []
         entry = object()
-        head, label, last, tail = True, None, None, ""
+        head, label, last = True, None, None
 
         def batch_of(rows: list[list]) -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -285,13 +296,11 @@ def _sweeper(pause: float | None):
                     if runs and runs[-1][3] == label and not paused:
                         r = runs[-1]
                         r[5], r[8] = segment, r[8] + n[p]
-                        if text[p] and (rest := after_captions(tail, text[p]) if tail else text[p]):
+                        if text[p] and (rest := after_captions(r[9], text[p])):
                             r[9].append(rest)
-                            tail = f"{tail} {rest}"[-4_000:]
                         r[7] = sec if sec is not None else r[7]
                     else:
                         runs.append([entry, part, len(runs), label, segment, segment, sec, sec, n[p], [text[p]] if text[p] else [], False, None])
-                        tail = (text[p] or "")[-4_000:]
                     last = sec if sec is not None else last
                 if len(runs) > 5000:  # turns that are surely closed don't wait for the entry's end
                     done, runs[2:-2] = runs[2:-2], []

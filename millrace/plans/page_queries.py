@@ -26,12 +26,11 @@ def first_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """The first five statements that name an entity, as one text."""
+    """All statements that name an entity, each once and in order, as one text."""
     m = _mentions(spark, d).select("kind", F.lower("name").alias("key"), "entry_id", "pos", "statement")
     once = m.groupBy("kind", "key", "statement").agg(F.min(F.struct("entry_id", "pos")).alias("at"))
-    first = once.withColumn("r", F.row_number().over(Window.partitionBy("kind", "key").orderBy("at", "statement"))).filter("r <= 5")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("r", "statement"))), lambda x: x["statement"])
-    return first.groupBy("kind", "key").agg(F.array_join(texts, " ").alias("evidence"), F.count(F.lit(1)).alias("n_statements"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "statement"))), lambda x: x["statement"])
+    return once.groupBy("kind", "key").agg(F.array_join(texts, " ").alias("evidence"), F.count(F.lit(1)).alias("n_statements"))
 
 
 def pending_entities(spark: SparkSession, d: str) -> DataFrame:

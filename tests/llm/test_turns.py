@@ -102,3 +102,10 @@ def test_times(spark):
 def test_very_long_text(spark):
     assert read_segment("word " * 200_000, ROSTER)[0][1] == 200_000
     assert found(spark, [(1, "e", "C", "Anna: " + "word " * 100_000, "seg:0", None)]) == [("e", 1, 1, "s1")]
+
+
+def test_rolling_captions_that_repeat_many_words(spark):
+    words = [f"word{i}" for i in range(900)]
+    segments = [(1, "e", "C", " ".join(words[:300]), "seg:0", None), (2, "e", "C", " ".join(words[300:600]), "seg:1", None), (3, "e", "C", " ".join(words[50:900]).upper(), "seg:2", None)]
+    assert [r["text"].casefold() for r in turns(spark, segments).collect()] == [" ".join(words)]
+    assert join_captions(" ".join(words[:600]), " ".join(words[100:])) == " ".join(words)
