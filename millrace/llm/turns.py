@@ -255,7 +255,7 @@ def _sweeper(pause: float | None):
         names = [x.split(" ")[0] for x in _RUN.split(", ")]
         runs: list[list] = []
         entry = object()
-        head, label, last = True, None, None
+        head, label, last, made = True, None, None, 0
 
         def batch_of(rows: list[list]) -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -270,7 +270,7 @@ def _sweeper(pause: float | None):
                         if 0 <= i < len(runs):
                             runs[i][10] = True
                     # The label in force at the end, for the partitions after this one.
-                    runs.append([entry, part, len(runs), None, None, None, None, None, 0, [], True, label])
+                    runs.append([entry, part, made, None, None, None, None, None, 0, [], True, label])
                 if runs:
                     yield batch_of(runs)
 
@@ -286,7 +286,7 @@ def _sweeper(pause: float | None):
                         yield from close(False)
                         head = False
                     # Only the partition's first entry can go on from the partition before.
-                    entry, runs, label, last, entry_rows = e, [], None if head else UNKNOWN, None, True
+                    entry, runs, label, last, made, entry_rows = e, [], None if head else UNKNOWN, None, 0, True
                 for p in range(at[row], at[row + 1]):
                     if who[p]:
                         label = who[p]
@@ -300,7 +300,10 @@ def _sweeper(pause: float | None):
                             r[9].append(rest)
                         r[7] = sec if sec is not None else r[7]
                     else:
-                        runs.append([entry, part, len(runs), label, segment, segment, sec, sec, n[p], [text[p]] if text[p] else [], False, None])
+                        # Without a label yet, the speaker comes from a partition before; the first run with one may go on.
+                        edge = label is None or bool(runs) and runs[-1][3] is None
+                        runs.append([entry, part, made, label, segment, segment, sec, sec, n[p], [text[p]] if text[p] else [], edge, None])
+                        made += 1
                     last = sec if sec is not None else last
                 if len(runs) > 5000:  # turns that are surely closed don't wait for the entry's end
                     done, runs[2:-2] = runs[2:-2], []
@@ -316,7 +319,8 @@ _TYPES = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64
 
 def _stitcher(pause: float | None):
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
-        """Runs at the edges of partitions, of one entry and in order: a few for each partition the entry touches."""
+        """Runs at the edges of partitions, of one entry and in order: a few for each partition the entry touches, and
+        those between pauses before a partition's first label."""
         out: list[dict] = []
         label, before = UNKNOWN, None
         for r in rows.sort_values(["part", "seq"]).to_dict("records"):

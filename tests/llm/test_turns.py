@@ -109,3 +109,17 @@ def test_rolling_captions_that_repeat_many_words(spark):
     segments = [(1, "e", "C", " ".join(words[:300]), "seg:0", None), (2, "e", "C", " ".join(words[300:600]), "seg:1", None), (3, "e", "C", " ".join(words[50:900]).upper(), "seg:2", None)]
     assert [r["text"].casefold() for r in turns(spark, segments).collect()] == [" ".join(words)]
     assert join_captions(" ".join(words[:600]), " ".join(words[100:])) == " ".join(words)
+
+
+def test_runs_between_pauses_before_a_partitions_first_label(spark):
+    # One label at the start and one near the end: the partitions between them have pauses, but no label.
+    clock = lambda s: f"{s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}"
+    label = {0: "Anna: ", 395: "Anna: ", 398: "Milan: "}
+    segments = [(i, "e", "C", label.get(i, "") + "some words here", f"seg:{i}", clock(5 * i + 60 * (i // 4))) for i in range(400)]
+    segments += [(1000 + i, "f", "C", "nobody is named", f"seg:{i}", clock(100 * i)) for i in range(60)]
+    want = [("e", i, min(i + 3, 397), "s1") for i in range(0, 398, 4)] + [("e", 398, 399, "s2")] + [("f", 1000 + i, 1000 + i, "unknown") for i in range(60)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found(spark, segments, pause=30.0) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
