@@ -101,11 +101,15 @@ def novelty_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def goal_links(spark: SparkSession, d: str) -> DataFrame:
     """Links whose goal is one of the stated goals (here: those that at least a tenth as many links as the most used
-    goal name), and whose items exist."""
+    goal name), and whose items all exist in the entry."""
     one = _entries(spark, d).select("entry_id", "application_links").distinct()
     links = one.select("entry_id", F.explode("application_links").alias("x")).select("entry_id", "x.*")
-    goals = links.groupBy("linked_goal_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("linked_goal_id")
-    return links.join(goals, "linked_goal_id", "left_semi").select("entry_id", "link_id", "linked_goal_id", F.col("application_form").alias("form"))
+    used = links.filter("linked_goal_id is not null").groupBy("linked_goal_id").agg(F.count(F.lit(1)).alias("n"))
+    goals = used.crossJoin(used.agg(F.max("n").alias("most"))).filter("10 * n >= most").select("linked_goal_id")
+    named = links.select("entry_id", F.explode("knowledge_item_ids").alias("item_id")).distinct()
+    missing = named.join(_items(spark, d).select("entry_id", "item_id"), ["entry_id", "item_id"], "left_anti").groupBy("entry_id").agg(F.collect_set("item_id").alias("missing"))
+    whole = links.join(missing, "entry_id", "left").filter(F.col("missing").isNull() | ~F.coalesce(F.arrays_overlap("knowledge_item_ids", "missing"), F.lit(False)))
+    return whole.join(goals, "linked_goal_id", "left_semi").select("entry_id", "link_id", "linked_goal_id", F.col("application_form").alias("form"))
 
 
 def entity_groups(spark: SparkSession, d: str) -> DataFrame:
