@@ -24,8 +24,8 @@ from millrace.llm.confusables import skeleton
 from millrace.plans.session import written
 
 UNKNOWN = "unknown"
-# Hesitation sounds (stretched ones too) and words that tell a bracketed sound annotation.
-_HESITATION = re.compile(r"(?<!\w)(?:u+h*m+|u+h+|e+r+|h+m+)(?!\w)[,.…]*\s*", re.I)
+# Hesitation sounds (stretched ones too, but "err" is a verb) and words that tell a bracketed sound annotation.
+_HESITATION = re.compile(r"(?<!\w)(?:u+h*m+|u+h+|e+r(?:rr+)?|h+m+)(?!\w)[,.…]*\s*", re.I)
 _SOUNDS = frozenset(
     "applause applauding background breath breathing cheering cheers chuckle chuckles chuckling clapping claps clears closes cough coughing coughs crosstalk cry "
     "door foreign inaudible indistinct instrumental laugh laughing laughs laughter mumbles mumbling music noise opens pause phone rings sigh sighing sighs silence "
@@ -125,6 +125,14 @@ def _roster(members: str | None) -> Roster:
     return Roster(json.loads(members) if members else [])
 
 
+def _stands_alone(t: str, start: int, end: int, inner: str) -> bool:
+    """Whether round brackets or asterisks hold no words of the sentences around them: up to four lower-case words
+    without a mark, between the end of a sentence and the start of another."""
+    before, after = t[max(0, start - 8) : start].rstrip(" \t"), t[end : end + 8].lstrip(" \t")
+    bare = inner.islower() and len(inner.split()) <= 4 and all(c.isalpha() or c in " '’-" for c in inner)
+    return bare and (not before or before[-1] in _OPENERS) and (not after or after[0] in "\n\x00\x01" or after[0].isupper())
+
+
 def read_segment(text: str | None, roster: Roster) -> list[tuple[str | None, int, str]]:
     """Parts (speaker_id that a label names or None, number of words, clean text) of one segment, in order."""
     if not text:
@@ -144,7 +152,8 @@ def read_segment(text: str | None, roster: Roster) -> list[tuple[str | None, int
             return f"\x01{len(labels) - 1}\x01\x00"
         if m[5] is not None or m[6] is not None:  # round brackets and asterisks hold words too
             words = inner.casefold().split()
-            return "\x00" if 0 < len(words) <= 4 and any(w.strip(".!") in _SOUNDS for w in words) else m[0]
+            sound = 0 < len(words) <= 4 and any(w.strip(".!") in _SOUNDS for w in words)
+            return "\x00" if sound or _stands_alone(t, m.start(), m.end(), inner) else m[0]
         return "\x00"
 
     def plain(m: re.Match) -> str:
@@ -165,7 +174,7 @@ def read_segment(text: str | None, roster: Roster) -> list[tuple[str | None, int
     out: list[tuple[str | None, int, str]] = []
     for i in range(0, len(pieces), 2):
         clean = " ".join(pieces[i].replace("\x00", " ").split()).lstrip(",;:-–— ")
-        n = len(_WORD.findall(clean))
+        n = n_words(clean)
         if i or n:
             out.append((labels[int(pieces[i - 1])] if i else None, n, clean if n else ""))
     return out
@@ -238,12 +247,16 @@ def after_captions(pieces: list[str], after: str) -> str:
     return " ".join(words[overlap(before, words) :])
 
 
-def join_captions(before: str | None, after: str | None) -> str | None:
-    """Two neighbouring captions as one text, what a rolling caption repeats only once."""
+def n_words(text: str) -> int:
+    return len(_WORD.findall(text))
+
+
+def join_captions(before: str | None, after: str | None) -> tuple[str | None, int]:
+    """Two neighbouring captions as one text, what a rolling caption repeats only once, and the repeated words."""
     if not before or not after:
-        return before or after
+        return before or after, 0
     rest = after_captions([before], after)
-    return f"{before} {rest}" if rest else before
+    return (f"{before} {rest}" if rest else before), (0 if rest == after else n_words(after) - n_words(rest))
 
 
 _RUN = "entry_id string, part int, seq long, who string, first_segment_id long, last_segment_id long, start double, end double, n_words long, text string, edge boolean, label_after string"
@@ -295,8 +308,9 @@ def _sweeper(pause: float | None):
                     paused = pause is not None and last is not None and sec is not None and sec - last > pause
                     if runs and runs[-1][3] == label and not paused:
                         r = runs[-1]
-                        r[5], r[8] = segment, r[8] + n[p]
-                        if text[p] and (rest := after_captions(r[9], text[p])):
+                        rest = after_captions(r[9], text[p]) if text[p] else None
+                        r[5], r[8] = segment, r[8] + (n[p] if rest == text[p] else n_words(rest))
+                        if rest:
                             r[9].append(rest)
                         r[7] = sec if sec is not None else r[7]
                     else:
@@ -333,7 +347,8 @@ def _stitcher(pause: float | None):
             # Neighbours are the next run of the partition, or the last and the first of two partitions.
             touches = before is not None and (r["part"] == before["part"] and r["seq"] == before["seq"] + 1 or r["part"] != before["part"] and r["seq"] == 0)
             if touches and before["who"] == r["who"] and not (pause is not None and gap is not None and gap > pause):
-                before.update(last_segment_id=r["last_segment_id"], n_words=before["n_words"] + r["n_words"], text=join_captions(before["text"], r["text"]), part=r["part"], seq=r["seq"])
+                joined, repeated = join_captions(before["text"], r["text"])
+                before.update(last_segment_id=r["last_segment_id"], n_words=before["n_words"] + r["n_words"] - repeated, text=joined, part=r["part"], seq=r["seq"])
                 before["end"] = before["end"] if pd.isna(r["end"]) else r["end"]
             else:
                 out.append(r)
@@ -362,7 +377,8 @@ def speaker_turns(segments: DataFrame, speakers: DataFrame, pause: float | None
     segments: entry_id, segment_id BIGINT unique, channel, text, locator, ts; speakers: speaker_id, channel, seat,
     role, display_name. Of rows with one entry_id and locator number the smallest segment_id counts. A label names a
     member of the channel's speakers in any usual writing, with look-alike letters or a misspelt name; words before
-    any have the speaker 'unknown'. Segments without words (null, empty, annotations, hesitations) neither make nor end
+    any have the speaker 'unknown'. ``n_words`` counts the words of the turn, of a rolling caption's repeats none where the
+    text is kept. Segments without words (null, empty, annotations, hesitations) neither make nor end
     a turn. ``pause`` ends a turn at a longer silence in seconds too (see ``calibrated_pause``); None: never. Null
     entry_ids are one transcript, unknown channels have no labels. A turn's text is one value, whatever its length.
     """

@@ -35,6 +35,14 @@ def test_what_is_no_label_and_no_word():
     assert read_segment("Anna: [laughs]", ROSTER) == [("s1", 0, "")]
 
 
+def test_verbs_that_look_like_hesitations_and_sounds_no_list_names():
+    assert read_segment("To err is human, errr, and eer um so", ROSTER) == [(None, 6, "To err is human, and so")]
+    for text in ("It ends. (sirens wailing) Then we left", "It ends. *thunder* Then we left", "It ends. (sirens wailing)\nThen we left"):
+        assert read_segment(text, ROSTER) == [(None, 5, "It ends. Then we left")], text
+    for text in ("(two times, he said) We", "we saw (the old one) there", "It is *really* good", "It ends (see above). Then", "It ends. (Not here) Then"):
+        assert "(" in read_segment(text, ROSTER)[0][2] or "*" in read_segment(text, ROSTER)[0][2], text
+
+
 def test_turns_repeats_and_unknown(spark):
     segments = [
         (9, "e", "C", "late copy of zero", "seg:0", None), (1, "e", "C", "before any", "SEG:0", "00:01"), (2, "e", "C", "Anna: hello", "seg: 1", "00:00:02"), (3, "e", "C", "[music]", "seg:2", None),
@@ -85,11 +93,11 @@ def test_sweep_over_many_partitions_against_one_pass(spark):
 
 def test_pauses_and_rolling_captions(spark):
     segments = [(1, "e", "C", "Anna: we go on and", "seg:0", "00:00:01"), (2, "e", "C", "we go on and then stop", "seg:1", "00:00:03"), (3, "e", "C", "after a while", "seg:2", "00:02:00,500")]
-    got = [(r["first_segment_id"], r["last_segment_id"], r["text"]) for r in turns(spark, segments, pause=20.0).orderBy("first_segment_id").collect()]
-    assert got == [(1, 2, "we go on and then stop"), (3, 3, "after a while")]
+    got = [(r["first_segment_id"], r["last_segment_id"], r["text"], r["n_words"]) for r in turns(spark, segments, pause=20.0).orderBy("first_segment_id").collect()]
+    assert got == [(1, 2, "we go on and then stop", 6), (3, 3, "after a while", 3)]
     assert len(found(spark, segments)) == 1
     assert overlap("a b c d".split(), "B c d e".split()) == 3 and overlap(["a", "b"], ["b", "c"]) == 0
-    assert join_captions(None, "x") == "x" and join_captions("a b c", "a b c") == "a b c"
+    assert join_captions(None, "x") == ("x", 0) and join_captions("a b c", "a b c") == ("a b c", 3) and join_captions("a b c", "d") == ("a b c d", 0)
 
 
 def test_times(spark):
@@ -107,8 +115,15 @@ def test_very_long_text(spark):
 def test_rolling_captions_that_repeat_many_words(spark):
     words = [f"word{i}" for i in range(900)]
     segments = [(1, "e", "C", " ".join(words[:300]), "seg:0", None), (2, "e", "C", " ".join(words[300:600]), "seg:1", None), (3, "e", "C", " ".join(words[50:900]).upper(), "seg:2", None)]
-    assert [r["text"].casefold() for r in turns(spark, segments).collect()] == [" ".join(words)]
-    assert join_captions(" ".join(words[:600]), " ".join(words[100:])) == " ".join(words)
+    assert [(r["text"].casefold(), r["n_words"]) for r in turns(spark, segments).collect()] == [(" ".join(words), 900)]
+    assert join_captions(" ".join(words[:600]), " ".join(words[100:])) == (" ".join(words), 500)
+    # The words are counted alike where the repeat is found between two partitions.
+    long = [(i, "e", "C", " ".join(words[i : i + 6]), f"seg:{i}", None) for i in range(894)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [(r["text"], r["n_words"]) for r in turns(spark, long).collect()] == [(" ".join(words[:899]), 899)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_runs_between_pauses_before_a_partitions_first_label(spark):
