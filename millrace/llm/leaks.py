@@ -1,11 +1,12 @@
 """Evaluation texts leaking into training text.
 
-Two windows of words that reach a similarity can differ in a few neighbouring pairs of words only. Every window gets
-keys made of its pairs such that any two windows with so many common pairs have a key in common, so that no window at
-or above the similarity is missed. Candidate windows are verified by their exact weighted-shingle similarity.
+Windows of words have SimHash fingerprints of their weighted shingles. A multi-index over blocks of the fingerprints'
+bits finds every passage window within a Hamming radius of a document's window, and the exact weighted-shingle
+similarity verifies these candidates. There are two sizes of windows: the stretch of a few words that counts as a leak,
+and item-sized ones, which find a passage that was altered all over.
 
-SimHash fingerprints and their multi-index find windows within a Hamming radius. ``leaked_items`` doesn't use them: one
-replaced word of ten moves about 8 of the 64 bits, too many for an index by blocks of bits.
+One replaced word of ten moves about 8 of 64 bits, so the small windows' radius finds copies and little else. Altered
+small windows are found by keys of shared pairs of words: any two windows at or above the similarity have one in common.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.words import mix, word_hashes
 
+#: Bits by which fingerprints of the stretch's windows and of item-sized windows may differ.
+RADIUS, ITEM_RADIUS = 3, 15
+#: Widths of item-sized windows: a passage takes the widest that fits, at every half width and at its end.
+ITEM_WIDTHS = (16, 24, 32, 48, 64, 96, 128)
 #: Passage windows in one block of the item set; a larger set takes further passes over the documents.
 WINDOWS_PER_BLOCK = 400_000
 #: Keys of a window; a key holds as many pairs of words as that number allows.
@@ -58,60 +63,78 @@ def _at_least(counts: list[np.ndarray], least: int) -> np.ndarray:
     return above | same
 
 
-def simhash_windows(words: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of every ``width`` consecutive word hashes: a bit is set where more than half of the words' hashes have it.
+class Fingerprints:
+    """SimHash of windows of word hashes: a bit is set where it is in the larger part of the window's shingles by weight.
 
-    The 64 counters of a window are kept bit-sliced, and a window's sum is put together from sums over powers of two.
+    Shingles are words, and pairs of neighbouring words with double weight. The 64 counters of a window are kept
+    bit-sliced; a window's sum is put together from sums over powers of two, which all widths share.
     """
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total, done = None, 0
-    power = [mix(words.view(np.uint64) if words.dtype == np.int64 else words)]
-    size = 1
-    while size <= width:
-        if width & size:
-            part = [x[done : done + n] for x in power]
-            total = part if total is None else _add(total, part)
-            done += size
-        m = len(power[0]) - size
-        if size * 2 <= width:
-            power = _add([x[:m] for x in power], [x[size : size + m] for x in power])
-        size *= 2
-    return _at_least(total, width // 2 + 1)
+
+    def __init__(self, words: np.ndarray):
+        self.n = len(words)
+        single = mix(words.view(np.uint64) if words.dtype == np.int64 else words)
+        self.powers = [[[single]], [[word_pairs(words)]] if self.n > 1 else [[single[:0]]]]
+
+    def _sum(self, which: int, width: int, n: int) -> list[np.ndarray]:
+        powers, total, done = self.powers[which], None, 0
+        for k in range(width.bit_length()):
+            size = 1 << k
+            if k == len(powers):
+                half = powers[-1]
+                m = len(half[0]) - size // 2
+                powers.append(_add([x[:m] for x in half], [x[size // 2 : size // 2 + m] for x in half]))
+            if width & size:
+                part = [x[done : done + n] for x in powers[k]]
+                total = part if total is None else _add(total, part)
+                done += size
+        return total
+
+    def windows(self, width: int) -> np.ndarray:
+        """Fingerprints of every ``width`` consecutive words."""
+        n = self.n - width + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        total = self._sum(0, width, n)
+        if width > 1:
+            total = _add(total, [np.zeros(n, np.uint64), *self._sum(1, width - 1, n)])
+        return _at_least(total, (3 * width - 2) // 2 + 1)
 
 
 class MultiIndex:
-    """Fingerprints by each of ``radius + 1`` blocks of their bits: two within the radius agree in a block at least."""
+    """Fingerprints by blocks of their bits. Two within the radius differ in one of four blocks by a fourth of it at most
+    (rounded down), so a fingerprint stands under every value that near to its own, block by block."""
+
+    BLOCKS, BITS = 4, 16
 
     def __init__(self, fingerprints: np.ndarray, radius: int):
         self.fingerprints, self.radius, self.blocks = fingerprints, radius, []
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            bits = min(hi - lo, 22)
-            key = self._key(fingerprints, lo, bits)
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            starts = np.searchsorted(key[order], np.arange((1 << bits) + 1)).astype(np.int32)
-            self.blocks.append((lo, bits, order, starts, np.diff(starts) > 0))
-
-    @staticmethod
-    def _key(fingerprints: np.ndarray, lo: int, bits: int) -> np.ndarray:
-        return ((fingerprints >> np.uint64(lo)) & np.uint64((1 << bits) - 1)).astype(np.int32)
+        near = [sum(1 << b for b in bits) for k in range(radius // self.BLOCKS + 1) for bits in combinations(range(self.BITS), k)]
+        for lo in range(0, 64, self.BITS):
+            key = (self._key(fingerprints, lo)[:, None] ^ np.array(near, np.int32)).reshape(-1)
+            order = np.argsort(key, kind="stable")
+            starts = np.searchsorted(key[order], np.arange((1 << self.BITS) + 1))
+            self.blocks.append((lo, (order // len(near)).astype(np.int32), starts, np.diff(starts) > 0))
+
+    def _key(self, fingerprints: np.ndarray, lo: int) -> np.ndarray:
+        return ((fingerprints >> np.uint64(lo)) & np.uint64((1 << self.BITS) - 1)).astype(np.int32)
 
     def within(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (probe, fingerprint) positions within the radius, each once for every block they share."""
-        rows, items = [], []
-        for lo, bits, order, starts, filled in self.blocks:
-            key = self._key(probes, lo, bits)
+        """All (probe, fingerprint) positions within the radius, each once."""
+        found = [np.empty(0, np.int64)]
+        size = max(len(self.fingerprints), 1)
+        for lo, items, starts, filled in self.blocks:
+            key = self._key(probes, lo)
             hit = np.flatnonzero(filled[key])
-            first = starts[key[hit]]
-            n = starts[key[hit] + 1] - first
-            row = np.repeat(hit, n)
-            item = order[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(hit) else np.empty(0, np.int32)
-            near = np.bitwise_count(probes[row] ^ self.fingerprints[item]) <= self.radius
-            rows.append(row[near])
-            items.append(item[near])
-        return np.concatenate(rows), np.concatenate(items)
+            for s in range(0, len(hit), 100_000):
+                part = hit[s : s + 100_000]
+                first = starts[key[part]]
+                n = starts[key[part] + 1] - first
+                row = np.repeat(part, n)
+                item = items[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+                near = np.bitwise_count(probes[row] ^ self.fingerprints[item]) <= self.radius
+                found.append(row[near] * size + item[near])
+        both = np.unique(np.concatenate(found))
+        return both // size, both % size
 
 
 def word_pairs(x: np.ndarray) -> np.ndarray:
@@ -203,37 +226,65 @@ def weighted_shingle_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return shared / (2 * (w + 2 * (w - 1)) - shared)
 
 
-def _finder(passages: list[tuple[int, np.ndarray]], width: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([w for _, w in passages])
+class _Passages:
+    """Passages of one block and, by width, the places of their windows."""
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]], width: int, item_widths: tuple[int, ...]):
+        self.words = np.concatenate([w for _, w in passages])
+        self.item_of = np.repeat(np.array([i for i, _ in passages], np.int64), [len(w) for _, w in passages])
         starts = np.cumsum([0] + [len(w) for _, w in passages])
-        at = np.concatenate([np.arange(s, s + len(w) - width + 1) for s, (_, w) in zip(starts, passages)])
-        item_of = np.repeat(np.array([i for i, _ in passages], np.int64), [len(w) - width + 1 for _, w in passages])
-        index = SharedPairs(words, at, width, lost_pairs(width, similarity))
-        step = np.arange(width)
+        self.small = np.concatenate([np.arange(s, s + len(w) - width + 1) for s, (_, w) in zip(starts, passages)])
+        self.large: dict[int, np.ndarray] = {}
+        for wide, longer in zip(item_widths, (*item_widths[1:], None)):
+            at = [np.r_[np.arange(s, s + len(w) - wide, wide // 2), s + len(w) - wide] for s, (_, w) in zip(starts, passages) if len(w) >= wide > width and (longer is None or len(w) < longer)]
+            if at:
+                self.large[wide] = np.concatenate(at)
+
+
+def _finder(passages: list[tuple[int, np.ndarray]], width: int, similarity: float, item_widths: tuple[int, ...] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Passages(passages, width, item_widths or ())
+        prints = Fingerprints(own.words)
+        levels = [(width, own.small, MultiIndex(prints.windows(width)[own.small], RADIUS))]
+        shared = None
+        if item_widths is not None:
+            levels += [(wide, at, MultiIndex(prints.windows(wide)[at], ITEM_RADIUS)) for wide, at in own.large.items()]
+            shared = SharedPairs(own.words, own.small, width, lost_pairs(width, similarity))
+
+        def candidates(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """(width, places in the documents' words, places in the passages' words) of windows to be compared."""
+            prints = Fingerprints(flat)
+            for wide, at, index in levels:
+                row, item = index.within(prints.windows(wide))
+                yield wide, row, at[item]
+            if shared is not None:
+                row, item = shared.candidates(flat)
+                yield width, row, own.small[item]
+
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
                 lists = batch.column("words")
                 offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 flat = lists.flatten().to_numpy()
-                row, item = index.candidates(flat)
-                owner = np.searchsorted(offsets, row, side="right") - 1
-                inside = row + width <= offsets[owner + 1]  # a window does not run into the next document
-                row, item, owner = row[inside], item[inside], owner[inside]
                 found: dict[tuple[int, int], tuple[float, bool]] = {}
                 docs = batch.column("id").to_numpy()
-                for s in range(0, len(row), 20_000):
-                    a = flat[row[s : s + 20_000, None] + step]
-                    b = words[at[item[s : s + 20_000], None] + step]
-                    exact = (a == b).all(axis=1)
-                    score = np.ones(len(a))
-                    if not exact.all():
-                        score[~exact] = weighted_shingle_similarity(a[~exact], b[~exact])
-                    for k in np.flatnonzero(score >= similarity):
-                        pair = (int(docs[owner[s + k]]), int(item_of[item[s + k]]))
-                        old = found.get(pair, (0.0, False))
-                        found[pair] = (max(old[0], float(score[k])), old[1] or bool(exact[k]))
+                for wide, row, place in candidates(flat):
+                    owner = np.searchsorted(offsets, row, side="right") - 1
+                    inside = row + wide <= offsets[owner + 1]  # a window does not run into the next document
+                    row, place, owner = row[inside], place[inside], owner[inside]
+                    step, many = np.arange(wide), max(1, 2_000_000 // wide**2)
+                    for s in range(0, len(row), many):
+                        a = flat[row[s : s + many, None] + step]
+                        b = own.words[place[s : s + many, None] + step]
+                        exact = (a == b).all(axis=1)
+                        score = np.ones(len(a))
+                        if not exact.all():
+                            score[~exact] = weighted_shingle_similarity(a[~exact], b[~exact])
+                        for k in np.flatnonzero(score >= similarity):
+                            pair = (int(docs[owner[s + k]]), int(own.item_of[place[s + k]]))
+                            old = found.get(pair, (0.0, False))
+                            found[pair] = (max(old[0], float(score[k])), old[1] or bool(exact[k]))
                 if found:
                     keys = list(found)
                     yield pa.RecordBatch.from_arrays(
@@ -244,14 +295,17 @@ def _finder(passages: list[tuple[int, np.ndarray]], width: int, similarity: floa
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, similarity: float = 0.8) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, similarity: float = 0.8, altered: bool = True, item_widths: tuple[int, ...] = ITEM_WIDTHS) -> DataFrame:
     """Documents with a stretch of an item's passage: (doc_id, item_id, similarity, exact).
 
-    documents: doc_id BIGINT, text; items: item_id BIGINT, passage. A stretch is ``width`` consecutive words; every
-    window of the document whose weighted-shingle similarity to one of the passage's is at least ``similarity`` is
-    found. ``exact`` says that a stretch occurs word by word. A similarity so low that windows without a common pair of
-    words reach it is a ValueError. Null and empty texts and passages shorter than ``width``
-    words match nothing. Repeated document ids give one row per pair; a whole text is read whatever its length.
+    documents: doc_id BIGINT, text; items: item_id BIGINT, passage. A stretch is ``width`` consecutive words. Equal
+    windows have equal fingerprints, so every stretch that occurs word by word is found, and has ``exact``. With
+    ``altered``, so is every window of ``width`` words whose weighted-shingle similarity to one of the passage's is at
+    least ``similarity``, and item-sized windows of that similarity as far as their fingerprints lie within
+    ``ITEM_RADIUS`` bits (about 19 of 20 at the similarity itself, more above it). ``similarity`` is the largest found.
+    A similarity so low that small windows without a common pair of words reach it is a ValueError. Null and empty texts
+    and passages shorter than ``width`` words match nothing. Repeated document ids give one row per pair; a whole text
+    is read whatever its length.
 
     The items are the query set: they go to the tasks in blocks of ``WINDOWS_PER_BLOCK`` windows, each block one pass
     over the documents. Documents are not shuffled.
@@ -261,19 +315,19 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, simila
     hashed = items.select(F.col("item_id").cast("long").alias("id"), word_hashes(F.col("passage")).alias("words")).filter(F.size("words") >= width)
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), word_hashes(F.col("text")).alias("words"))
     blocks: list[list[tuple[int, np.ndarray]]] = []
-    room = 0
+    room, more = 0, max((width, *item_widths))
     for r in hashed.toLocalIterator():
         w = np.array(r["words"], np.int64)
         # An oversized passage is spread over blocks; consecutive parts overlap, so no window is lost.
         for s in range(0, len(w) - width + 1, WINDOWS_PER_BLOCK):
-            part = w[s : s + WINDOWS_PER_BLOCK + width - 1]
+            part = w[s : s + WINDOWS_PER_BLOCK + more - 1]
             if not blocks or room < len(part):
                 blocks.append([])
-                room = WINDOWS_PER_BLOCK + width
+                room = WINDOWS_PER_BLOCK + more
             blocks[-1].append((r["id"], part))
             room -= len(part)
     schema = "doc_id long, item_id long, similarity double, exact boolean"
     if not blocks:
         return documents.sparkSession.createDataFrame([], schema)
-    found = reduce(DataFrame.unionAll, [docs.mapInArrow(_finder(b, width, similarity), schema) for b in blocks])
+    found = reduce(DataFrame.unionAll, [docs.mapInArrow(_finder(b, width, similarity, item_widths if altered else None), schema) for b in blocks])
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import leaks
-from millrace.llm.leaks import MultiIndex, leaked_items, simhash_windows, weighted_shingle_similarity
+from millrace.llm.leaks import Fingerprints, MultiIndex, leaked_items, weighted_shingle_similarity, word_pairs
 from millrace.llm.words import mix
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -21,26 +21,33 @@ def exact(spark, docs, items, **more):
     return sorted((r["doc_id"], r["item_id"]) for r in found(spark, docs, items, **more).filter("exact").collect())
 
 
-def test_simhash_against_counting():
+def bits(hashes):
+    return np.unpackbits(mix(hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+
+
+def test_fingerprints_against_counting():
     rng = np.random.default_rng(1)
-    for width in (1, 2, 3, 7, 10, 13):
-        words = rng.integers(-(2**62), 2**62, 50)
-        bits = np.unpackbits(mix(words.view(np.uint64)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        want = [int("".join("1" if c > width / 2 else "0" for c in bits[i : i + width].sum(0)), 2) for i in range(50 - width + 1)]
-        assert simhash_windows(words, width).tolist() == want
-    assert len(simhash_windows(rng.integers(0, 9, 3), 5)) == 0
+    words = rng.integers(-(2**62), 2**62, 50)
+    prints, single = Fingerprints(words), bits(words.view(np.uint64))
+    double = 2 * np.unpackbits(word_pairs(words).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    for width in (16, 1, 2, 3, 7, 10, 13, 48):
+        counts = [single[i : i + width].sum(0) + double[i : i + width - 1].sum(0) for i in range(50 - width + 1)]
+        want = [int("".join("1" if c > (3 * width - 2) / 2 else "0" for c in count), 2) for count in counts]
+        assert prints.windows(width).tolist() == want
+    assert len(Fingerprints(rng.integers(0, 9, 3)).windows(5)) == 0 and len(Fingerprints(words[:0]).windows(1)) == 0 and len(Fingerprints(words[:1]).windows(1)) == 1
 
 
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
     probes = base.copy()
-    for _ in range(4):
+    for _ in range(16):
         probes ^= np.where(rng.random(400) < 0.7, np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64), np.uint64(0))
-    for radius in (0, 1, 3):
+    for radius in (0, 1, 3, 7, 11, 15):
         rows, items = MultiIndex(base, radius).within(probes)
         want = {(i, j) for i in range(400) for j in range(400) if int(probes[i] ^ base[j]).bit_count() <= radius}
-        assert set(zip(rows.tolist(), items.tolist())) == want
+        assert len(rows) == len(want) and set(zip(rows.tolist(), items.tolist())) == want
+    assert len(MultiIndex(base[:0], 3).within(probes)[0]) == 0
 
 
 def test_similarity():
@@ -100,6 +107,48 @@ def altered(rng, words):
     return words
 
 
+def test_passages_altered_all_over_are_found(spark):
+    """Passages with 5 to 10 % of their words replaced, each in a document of its own, and documents without any."""
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(5_000)]
+    passages = [rng.choices(words, k=rng.randint(24, 160)) for _ in range(150)]
+    docs = []
+    for i in range(600):
+        p = passages[i % 150][:]
+        for k in rng.sample(range(len(p)), round(len(p) * rng.uniform(0.05, 0.1))):
+            p[k] = rng.choice(words)
+        docs.append((i, " ".join(rng.choices(words, k=50) + p + rng.choices(words, k=50))))
+    docs += [(1000 + i, " ".join(rng.choices(words, k=200))) for i in range(200)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)]
+    got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items).collect()}
+    want = {(i, i % 150) for i in range(600)}
+    assert len(got & want) >= 0.99 * len(want) and got <= want
+
+
+def test_item_sized_windows_against_brute_force(monkeypatch):
+    """Without the keys of shared pairs: fingerprints alone find the item-sized windows at the similarity and above."""
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(5_000)]
+    passages = [rng.choices(words, k=48) for _ in range(60)]
+    docs, want = [], set()
+    for i in range(400):
+        p = passages[i % 60][:]
+        for k in range(rng.randrange(12), 48, rng.choice((12, 16, 24))):
+            p[k] = rng.choice(words)
+        docs.append((i, " ".join(rng.choices(words, k=20) + p + rng.choices(words, k=20))))
+        a, b = (np.array([[hash(w) for w in x]]) for x in (p, passages[i % 60]))
+        if weighted_shingle_similarity(a, b)[0] >= 0.8:
+            want.add((i, i % 60))
+    monkeypatch.setattr(leaks.SharedPairs, "candidates", lambda self, words: (np.empty(0, np.int64),) * 2)
+    own = leaks._finder([(i, np.array([hash(w) for w in p])) for i, p in enumerate(passages)], 47, 0.8, leaks.ITEM_WIDTHS)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([[hash(w) for w in t.split()] for _, t in docs], pa.list_(pa.int64()))], names=["id", "words"])
+    rows = [r for out in own(iter([batch])) for r in out.to_pylist()]
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(want) > 200 and len(got & want) >= 0.95 * len(want)
+
+
 @pytest.mark.parametrize("width, similarity", [(10, 0.8), (10, 0.6), (4, 0.5), (16, 0.75)])
 def test_altered_stretches_against_brute_force(spark, width, similarity):
     rng = random.Random(8)
@@ -121,7 +170,7 @@ def test_altered_stretches_against_brute_force(spark, width, similarity):
             best = max((score(a, b) for _, a in own for _, b in p), default=0.0)
             if best >= similarity:
                 want[d, i] = round(best, 9)
-    rows = found(spark, [(d, " ".join(w)) for d, w in enumerate(docs)], [(i, " ".join(w)) for i, w in enumerate(passages)], width=width, similarity=similarity).collect()
+    rows = found(spark, [(d, " ".join(w)) for d, w in enumerate(docs)], [(i, " ".join(w)) for i, w in enumerate(passages)], width=width, similarity=similarity, item_widths=()).collect()
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in rows} == want
     assert sum(s < 1 for s in want.values()) > 10
 
