@@ -64,11 +64,39 @@ def signatures(offsets: np.ndarray, shingles: np.ndarray, weights: np.ndarray, r
     return who.reshape(n, registers)
 
 
+def rows_for(n: int) -> int:
+    """Registers a band for n sets: one more for ten times the sets. Each divides the sets that meet by chance by about
+    three and nearly doubles the signatures' work; what is missed at most is the same for all."""
+    return max(4, math.ceil(math.log10(max(n, 1) / 200_000)) + 4)
+
+
 def choose_bands(similarity: float, miss: float = 2e-4, rows: int = 5) -> tuple[int, int]:
     """Bands and rows a band, so that a pair at the threshold is missed with at most the given probability."""
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows)), rows
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted hashes with repeats as distinct shingles, their numbers as weights, and a unit for each: the n-th copy of a
+    shingle is the same unit in every set, so weighted Jaccard similarity is that of the sets of units."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            lists = batch.column("hashes")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten().to_numpy()
+            first = np.zeros(len(flat), bool)
+            first[1:] = flat[1:] != flat[:-1]
+            first[offsets[:-1][np.diff(offsets) > 0]] = True
+            at = np.flatnonzero(first)
+            count = np.diff(np.r_[at, len(flat)])
+            nth = np.arange(len(flat)) - np.repeat(at, count)
+            with np.errstate(over="ignore"):
+                units = np.where(nth > 0, mix(flat.view(np.uint64) + nth.astype(np.uint64) * _GOLDEN).view(np.int64), flat)
+            ends = np.r_[0, np.cumsum(first)][offsets].astype(np.int32)
+            lists_of = lambda o, v: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists_of(ends, flat[at]), lists_of(ends, count.astype(np.int64)), lists_of(offsets, units)], names=["id", "shingles", "weights", "units"])
+
+
 def _bander(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -78,7 +106,13 @@ def _bander(bands: int, rows: int):
                 offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
                 items = sets.flatten().to_numpy().view(np.uint64)
                 n = batch.num_rows
-                table = signatures(offsets, items, np.ones(len(items)), bands * rows).reshape(n, bands, rows)
+                weighted = "weights" in batch.schema.names
+                weights = batch.column("weights").flatten().to_numpy() if weighted else np.ones(len(items))
+                table = signatures(offsets, items, weights, bands * rows).reshape(n, bands, rows)
+                if weighted:
+                    sets = batch.column("units")
+                    offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+                    items = sets.flatten().to_numpy().view(np.uint64)
                 key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
                 with np.errstate(over="ignore"):
                     for r in range(rows):
@@ -98,43 +132,52 @@ def _bander(bands: int, rows: int):
 
 
 #: Sets of one band that are compared in one task; the pairs of more crowded bands come from a salted join.
-CROWD = 8_192
+CROWD = 1_024
+#: Pairs that a task holds before it hands them on.
+PAIRS_HELD = 200_000
 _BAND = ["band", "id", "size", "b0", "b1"]
 
 
 def _pairer(similarity: float, crowd: int):
     """Over rows sorted by band: pairs of sets that share a band and can reach the similarity, and crowded bands' rows."""
 
-    def near(group: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, ids, size, b0, b1 = group
-        # Of signed numbers NumPy counts the bits of the absolute value.
-        differ = np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
-        total = size[i] + size[j]
-        ok = (total - differ) >= (total + differ) * (similarity - 1e-9)
-        a, b = ids[i[ok]], ids[j[ok]]
-        return np.minimum(a, b), np.maximum(a, b)
-
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-        n = np.diff(np.r_[start, len(rows[0])])
+        band, ids, size, b0, b1 = rows
+        start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        n = np.diff(np.r_[start, len(band)])
         crowded = np.repeat(n > crowd, n)
         if crowded.any():
             kept = [c[crowded] for c in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept] + [pa.nulls(len(kept[0]), pa.int64())] * 2, names=[*_BAND, "id_a", "id_b"])
+        # Pairs as one number: the sets of these rows, counted in order of their ids.
+        known, which = np.unique(ids, return_inverse=True)
+        b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # of signed numbers NumPy counts the bits of the absolute value
+        # A pair of sizes m and n whose bitmaps differ in d bits has at most (m + n - d) / 2 elements in common.
+        share = (1 - similarity) / (1 + similarity) + 1e-9
+
+        def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            code = np.unique(np.concatenate(found))
+            none = [pa.nulls(len(code), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(known[code // len(known)]), pa.array(known[code % len(known)])], names=[*_BAND, "id_a", "id_b"])
+
         # The d-th neighbour of every row inside its band, for all bands at once: no pair is made twice.
         end = np.repeat(start + n, n)
         live = np.flatnonzero(~crowded)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        d = 1
+        found: list[np.ndarray] = []
+        held, d = 0, 1
         while len(live := live[live + d < end[live]]):
-            found.append(near(rows, live, live + d))
+            other = live + d
+            differ = np.bitwise_count(b0[live] ^ b0[other]).astype(np.int32) + np.bitwise_count(b1[live] ^ b1[other])
+            ok = differ <= (size[live] + size[other]) * share
+            x, y = which[live[ok]], which[other[ok]]
+            found.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
+            held += len(x)
+            if held > PAIRS_HELD:
+                yield from flush(found)
+                found, held = [], 0
             d += 1
-        if found:
-            a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            both = np.unique(np.stack([a, b]), axis=1)
-            if both.shape[1]:
-                none = [pa.nulls(both.shape[1], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(both[0]), pa.array(both[1])], names=[*_BAND, "id_a", "id_b"])
+        if held:
+            yield from flush(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
@@ -183,17 +226,20 @@ def _pairer(similarity: float, crowd: int):
     return run
 
 
-def similar_sets(sets: DataFrame, similarity: float, miss: float = 2e-4, rows: int = 5) -> DataFrame:
+def similar_sets(sets: DataFrame, similarity: float, miss: float = 2e-4, rows: int | None = None) -> DataFrame:
     """Pairs (id_a, id_b, similarity), id_a < id_b, of sets with at least the given Jaccard similarity.
 
-    sets: id BIGINT unique, shingles ARRAY<BIGINT> distinct hashes. A pair is found through ProbMinHash bands with
-    probability 1 - ``miss`` at the threshold and more above it. Empty sets are in no pair. The bands are shuffled once;
+    sets: id BIGINT unique, shingles ARRAY<BIGINT> distinct hashes; of weighted sets also weights ARRAY<BIGINT> and units
+    ARRAY<BIGINT>, as ``word_sets`` makes them: their similarity is weighted Jaccard similarity, the sum of the smaller
+    weights by that of the larger ones. It is never above the probability Jaccard similarity by which signatures agree,
+    so the bands miss no more of it. A pair is found through ProbMinHash bands with
+    probability 1 - ``miss`` at the threshold and more above it, whatever ``rows`` (see ``rows_for``). Empty sets are in no pair. The bands are shuffled once;
     the sets of a band are compared by size and bitmap, whose bound on the similarity is safe, so only pairs that can
     reach the threshold leave the task. A band that very many different sets share leaves it too and is joined with
     itself on a salt, so no task compares a crowd.
     """
-    bands, size = choose_bands(similarity, miss, rows)
-    keyed = sets.select("id", "shingles").filter(F.size("shingles") > 0).mapInArrow(_bander(bands, size), "band long, id long, size int, b0 long, b1 long")
+    bands, size = choose_bands(similarity, miss, rows or rows_for(sets.count()))
+    keyed = sets.select("id", "shingles", *(["weights", "units"] if "units" in sets.columns else [])).filter(F.size("shingles") > 0).mapInArrow(_bander(bands, size), "band long, id long, size int, b0 long, b1 long")
     met = written(keyed.repartition("band").sortWithinPartitions("band").mapInArrow(_pairer(similarity, CROWD), "band long, id long, size int, b0 long, b1 long, id_a long, id_b long"))
     crowd = met.filter("band is not null").select(*_BAND)
     salts = crowd.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("salts"))
@@ -206,36 +252,43 @@ def similar_sets(sets: DataFrame, similarity: float, miss: float = 2e-4, rows: i
         right.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") < F.col("b.id")) & ((total - differ) >= (total + differ) * F.lit(similarity - 1e-9))
     ).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     candidates = met.filter("id_a is not null").select("id_a", "id_b").unionAll(salted).distinct()
-    one = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col("shingles").alias(f"s_{s}"))
+    units = "units" if "units" in sets.columns else "shingles"
+    one = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col(units).alias(f"s_{s}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     score = common / (F.size("s_a") + F.size("s_b") - common)
     return candidates.join(one("a"), "id_a").join(one("b"), "id_b").select("id_a", "id_b", score.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-12)
 
 
-def word_sets(rows: DataFrame, text: Column, shingle_words: int = 1) -> DataFrame:
-    """(id, set_key, shingles): the distinct shingles of each row's text as sorted hashes, and a key of the whole set.
+def word_sets(rows: DataFrame, text: Column, shingle_words: int = 1, weighted: bool = False) -> DataFrame:
+    """(id, set_key, shingles[, weights, units]): the shingles of each row's text as hashes, and a key of the whole set.
 
     A text of fewer words than a shingle is one shingle of all its words; one without words has none. Null is empty.
+    ``weighted``: a shingle weighs as often as it occurs, and each occurrence is a unit; the key is that of the units.
     """
     w = words(text)
     if shingle_words > 1:
         k = shingle_words
         w = F.when(F.size(w) <= k, F.filter(F.array(F.array_join(w, " ")), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, k), " ")))
-    hashes = F.array_sort(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))))
-    return rows.select("id", hashes.alias("shingles")).withColumn("set_key", F.xxhash64("shingles", F.lit(5)))
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    if weighted:
+        kind = dict(rows.dtypes)["id"]
+        counted = rows.select("id", F.sort_array(hashes).alias("hashes")).mapInArrow(_counted, f"id {kind}, shingles array<long>, weights array<long>, units array<long>")
+        return counted.withColumn("set_key", F.xxhash64("units", F.lit(5)))
+    return rows.select("id", F.sort_array(F.array_distinct(hashes)).alias("shingles")).withColumn("set_key", F.xxhash64("shingles", F.lit(5)))
 
 
-def near_duplicates(rows: DataFrame, text: Column, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, text: Column, similarity: float = 0.8, shingle_words: int = 5, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate records: membership (id, set_id) and pairs of sets (set_a, set_b, similarity).
 
     Rows with equal shingle sets are one set, named by its smallest id, so a text copied a million times is compared
-    once. Rows without words are members of no set. Repeated ids, ties and nulls are defined as in ``word_sets``.
+    once. Rows without words are members of no set. Repeated ids, ties and nulls are defined as in ``word_sets``, and so
+    is ``weighted``, with which shingles that occur more often count for more.
     """
     # Filtered behind the table: before it, the filter would make every text's shingles a second time.
-    keyed = written(word_sets(rows, text, shingle_words)).filter(F.size("shingles") > 0)
+    keyed = written(word_sets(rows, text, shingle_words, weighted)).filter(F.size("shingles") > 0)
     representatives = keyed.groupBy("set_key").agg(F.min("id").alias("set_id"))
     members = keyed.select("id", "set_key").join(representatives, "set_key").select("id", "set_id")
-    sets = keyed.join(representatives.select(F.col("set_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+    sets = keyed.join(representatives.select(F.col("set_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).drop("set_key")
     pairs = similar_sets(written(sets), similarity)
     return members, pairs.select(F.col("id_a").alias("set_a"), F.col("id_b").alias("set_b"), "similarity")
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -106,3 +107,45 @@ def test_pairer_streams_a_band_larger_than_its_buffer():
     crowd = [x for b in out for x in b.column("band").to_pylist() if x is not None]
     found = {(x, y) for b in out for x, y in zip(b.column("id_a").to_pylist(), b.column("id_b").to_pylist()) if x is not None}
     assert crowd == [2] * 450_000 and found == {(1, 2), (7, 8), (7, 9), (8, 9), (3, 4)}
+
+
+def test_weighted_shingles_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(80):
+        base = rng.choices(VOCABULARY[:40], k=rng.choice([1, 12, 60]))
+        texts.append(base)
+        for _ in range(i % 3):
+            other = base[:]
+            for k in rng.sample(range(len(base)), min(len(base), rng.choice([0, 1, 3, 9]))):
+                other[k] = rng.choice(VOCABULARY)
+            rng.shuffle(other)
+            texts.append(other + base[: rng.choice([0, 2])])
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, "")]
+
+    def similarity(a, b):
+        a, b = Counter(a), Counter(b)
+        return sum((a & b).values()) / sum((a | b).values())
+
+    members, pairs = near_duplicates(rows(spark, data), F.col("text"), 0.7, 1, weighted=True)
+    got = {tuple(r) for r in expand_pairs(members, pairs).collect()}
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similarity(a, b) >= 0.7}
+    plain = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and len(set(a) & set(b)) >= 0.7 * len(set(a) | set(b))}
+    assert got == want and want != plain and len(want) > 40
+    true = {(i, j): similarity(texts[i], texts[j]) for i, j in want}
+    assert all(abs(r["similarity"] - true[r["set_a"], r["set_b"]]) < 1e-9 for r in pairs.collect())
+    members, pairs = near_duplicates(rows(spark, [(1, "a b c d e f a b c d e f"), (2, "a b c d e f"), (3, "x a b c d e f a b c d e f a b c d e f a b c d e f")]), F.col("text"), weighted=True)
+    assert pairs.count() == 0 and members.count() == 3
+
+
+def test_pairs_of_a_full_band_are_handed_on_in_parts():
+    import pyarrow as pa
+
+    n = 1_000
+    ids = np.arange(n)
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array([50] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64())], names=["band", "id", "size", "b0", "b1"])
+    sizes, pairs = [], set()
+    for out in probminhash._pairer(0.7, n)(iter([batch])):
+        sizes.append(out.num_rows)
+        pairs.update(zip(out.column("id_a").to_pylist(), out.column("id_b").to_pylist()))
+    assert len(pairs) == n * (n - 1) // 2 == sum(sizes) and max(sizes) <= probminhash.PAIRS_HELD + n
