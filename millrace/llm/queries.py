@@ -31,6 +31,13 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_restated(spark, d)).select(F.col("id").alias("retrieval_id"), "group_id")
 
 
+def p1_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts by weighted similarity of their shingles of five words: each text by its smallest id."""
+    rows = load(spark, d, "retrieved_items").select(F.col("retrieval_id").alias("id"), "statement", "quote")
+    _, pairs = near_duplicates(rows, F.concat_ws(" ", "statement", "quote"), weighted=True)
+    return pairs.select("set_a", "set_b", F.round("similarity", 6).alias("similarity"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     turns = speaker_turns(load(spark, d, "segments"), load(spark, d, "speakers"), with_text=False)
     return turns.select("entry_id", "first_segment_id", "last_segment_id", "speaker_id")
@@ -131,7 +138,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_segment_pieces": p4_segment_pieces, "p4_transcript_pieces": p4_transcript_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_weighted": p1_weighted, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_segment_pieces": p4_segment_pieces, "p4_transcript_pieces": p4_transcript_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_stretches": p9_stretches}
 
 
 _P1 = r"""
@@ -142,6 +149,14 @@ p AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common
 """
 
 
+_P1_WEIGHTED = r"""
+WITH w AS (SELECT retrieval_id AS id, list_filter(regexp_split_to_array(lower(concat_ws(' ', statement, quote)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM retrieved_items),
+l AS (SELECT id, CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS l FROM w WHERE len(w) > 0),
+r AS (SELECT min(id) AS id, list_sort(l) AS l FROM l GROUP BY list_sort(l)), s AS (SELECT id, unnest(l) AS s FROM r), c AS (SELECT id, s, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT a AS set_a, b AS set_b, round(m / (len(x.l) + len(y.l) - m), 6) AS similarity FROM p JOIN r x ON x.id = a JOIN r y ON y.id = b WHERE m / (len(x.l) + len(y.l) - m) >= 0.8 - 1e-12"""
+
+
 _P8 = r"""
 WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(passage), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
@@ -164,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_groups": _P1 + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT id AS retrieval_id, min(other) AS group_id FROM r GROUP BY id""",
+        "p1_weighted": _P1_WEIGHTED,
         "p4_found": _P4,
         "p8_found": _P8,
     }
