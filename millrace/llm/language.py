@@ -23,7 +23,10 @@ from millrace.llm.words import mix
 
 #: A letter run is a word; the other alternative is what ends a stretch of words.
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?…\n]+")
-_START, _END, _OTHER = 1, 2, 3
+_START, _END, _FIRST = 1, 2, 3
+#: Bits of a symbol's code; the last 256 codes are the bytes of characters that have no code of their own.
+_BITS = 12
+_BYTES = (1 << _BITS) - 256
 
 # Languages by ISO 639-1 code with their other usual spellings (ISO 639-2 codes, English and own names).
 LANGUAGE_NAMES = {
@@ -44,7 +47,11 @@ def named_language(label: Column) -> Column:
 
 @dataclass
 class CharModels:
-    """Interpolated Kneser-Ney models of several languages over characters of words."""
+    """Interpolated Kneser-Ney models of several languages over characters of words.
+
+    Any character can be written: the most frequent ones have codes of their own, all others are their UTF-8 bytes, so
+    scripts of thousands of characters are modelled like the rest.
+    """
 
     languages: list[str]
     order: int
@@ -56,21 +63,38 @@ class CharModels:
     temperature: float = 1.0
     reject: float = np.inf  # cross-entropy in nats a character above which nothing is recognised
 
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Character codes of the padded words one after the other, and each character's position in its word."""
-        get = self.alphabet.get
-        flat = [c for w in words for c in (_START, *[get(x, _OTHER) for x in w], _END)]
-        lengths = np.array([len(w) + 2 for w in words], np.int64)
+    def __post_init__(self) -> None:
+        if self.order * _BITS > 64:
+            raise ValueError(f"n-grams have at most {64 // _BITS} symbols")
+
+    @property
+    def symbols(self) -> int:
+        return len(self.alphabet) + 257  # and the bytes, and a word's end
+
+    def spelt(self, word: str) -> list[int]:
+        get, out = self.alphabet.get, [_START]
+        for x in word:
+            if (code := get(x)) is not None:
+                out.append(code)
+            else:
+                out.extend(_BYTES + b for b in x.encode("utf-8", "surrogatepass"))
+        out.append(_END)
+        return out
+
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol codes of the padded words one after the other, each one's position in its word, and the words' lengths."""
+        each = [self.spelt(w) for w in words]
+        lengths = np.array([len(e) for e in each], np.int64)
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return np.array(flat, np.uint64), np.arange(len(flat)) - starts
+        return np.fromiter(chain.from_iterable(each), np.uint64, len(starts)), np.arange(len(starts)) - starts, lengths
 
     @staticmethod
     def keys(codes: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Packed n-grams (a byte for each character) that end at each place where there is room, and those places."""
+        """Packed n-grams that end at each place where there is room, and those places."""
         at = np.flatnonzero((place >= n - 1) & (place >= 1))
         key = np.zeros(len(at), np.uint64)
         for i in range(n):
-            key = (key << np.uint64(8)) | codes[at - (n - 1 - i)]
+            key = (key << np.uint64(_BITS)) | codes[at - (n - 1 - i)]
         return key, at
 
     def fit(self, counts: dict[str, Counter]) -> CharModels:
@@ -80,8 +104,8 @@ class CharModels:
         per: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for language in self.languages:
             words = list(counts[language])
-            codes, place = self.codes(words)
-            weight = np.repeat(np.array([counts[language][w] for w in words], np.float64), [len(w) + 2 for w in words])
+            codes, place, lengths = self.codes(words)
+            weight = np.repeat(np.array([counts[language][w] for w in words], np.float64), lengths)
             tables = []
             longer = None
             for n in range(top, 0, -1):
@@ -90,26 +114,26 @@ class CharModels:
                 own, inverse = np.unique(key[raw], return_inverse=True)
                 total = np.bincount(inverse, weight[at[raw]], len(own))
                 if n < top:  # continuation counts from the distinct n-grams one longer
-                    suffix, kinds = np.unique(longer & np.uint64((1 << 8 * n) - 1), return_counts=True)
+                    suffix, kinds = np.unique(longer & np.uint64((1 << _BITS * n) - 1), return_counts=True)
                     own, total = np.concatenate([own, suffix]), np.concatenate([total, kinds])
                     own, inverse = np.unique(own, return_inverse=True)
                     total = np.bincount(inverse, total, len(own))
                 longer = np.unique(key)
                 tables.append((own, total))
             per.append(tables[::-1])
-        size = len(self.alphabet) + 3
+        size = self.symbols
         lower = None
         for n in range(1, top + 1):
             union = np.unique(np.concatenate([t[n - 1][0] for t in per]))
-            heads = np.unique(union >> np.uint64(8))
+            heads = np.unique(union >> np.uint64(_BITS))
             prob, back = np.zeros((len(union), n_lang)), np.ones((len(heads), n_lang))
-            base = np.full((len(union), n_lang), 1.0 / size) if n == 1 else lower[1][np.searchsorted(lower[0], union & np.uint64((1 << 8 * (n - 1)) - 1))]
-            head_of = np.searchsorted(heads, union >> np.uint64(8))
+            base = np.full((len(union), n_lang), 1.0 / size) if n == 1 else lower[1][np.searchsorted(lower[0], union & np.uint64((1 << _BITS * (n - 1)) - 1))]
+            head_of = np.searchsorted(heads, union >> np.uint64(_BITS))
             for k, tables in enumerate(per):
                 own, total = tables[n - 1]
                 ones, twos = (total == 1).sum(), (total == 2).sum()
                 discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-                head = np.searchsorted(heads, own >> np.uint64(8))
+                head = np.searchsorted(heads, own >> np.uint64(_BITS))
                 mass, kinds = np.bincount(head, total, len(heads)), np.bincount(head, minlength=len(heads))
                 seen = mass > 0
                 back[seen, k] = discount * kinds[seen] / mass[seen]
@@ -132,19 +156,19 @@ class CharModels:
         lost = np.flatnonzero(table[at] != hashed)
         if len(lost):
             if n == 1:
-                out[lost] = self.backoff[0][0] / (len(self.alphabet) + 3)
+                out[lost] = self.backoff[0][0] / self.symbols
             else:
-                heads, head = self.contexts[n - 1], mix(keys[lost] >> np.uint64(8))
+                heads, head = self.contexts[n - 1], mix(keys[lost] >> np.uint64(_BITS))
                 where = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
                 weight = np.where((heads[where] == head)[:, None], self.backoff[n - 1][where], 1.0)
-                out[lost] = weight * self._prob(keys[lost] & np.uint64((1 << 8 * (n - 1)) - 1), n - 1)
+                out[lost] = weight * self._prob(keys[lost] & np.uint64((1 << _BITS * (n - 1)) - 1), n - 1)
         return out
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability (words, languages) of each word in each language."""
         if not words:
             return np.zeros((0, len(self.languages)))
-        codes, place = self.codes(words)
+        codes, place, _ = self.codes(words)
         log = np.zeros((len(codes), len(self.languages)))
         for n in range(2, self.order + 1):
             key, at = self.keys(codes, place, n)
@@ -260,7 +284,7 @@ def fit_models(documents: DataFrame, rows_per_language: int = 300, chars_per_lan
             if len(words) >= 3:
                 sentences.append((r["language"], words))
     seen = Counter(c for _, words in sentences for w in words for c in w)
-    alphabet = {c: i + 4 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:250])}
+    alphabet = {c: i + _FIRST for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: _BYTES - _FIRST])}
     blank = lambda: CharModels(languages, order, alphabet)
 
     def count(kept: list[tuple[str, list[str]]]) -> dict[str, Counter]:

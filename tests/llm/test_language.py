@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.language import CharModels, document_languages, fit_models, language_stretches, named_language
+from millrace.llm.language import _BITS, _BYTES, CharModels, document_languages, fit_models, language_stretches, named_language
 
 SENTENCES = {
     "en": "the old baker opens the shop before sunrise|we walked along the river with our neighbours|nobody knows whether the train will arrive today|she keeps every letter in a wooden box|they should think about what the children need|this kitchen smells of fresh bread and coffee".split("|"),
@@ -34,16 +34,26 @@ def frame(spark, rows):
 
 
 def test_probabilities_sum_to_one():
-    words = Counter("the then they this that thing bath bathe".split())
-    models = CharModels(["a", "b"], 4, {c: i + 4 for i, c in enumerate(sorted(set("".join(words))))}).fit({"a": words, "b": Counter(["other", "hot"])})
-    size = len(models.alphabet) + 3
+    words = Counter("the then they this that thing bath bathe thé".split())
+    models = CharModels(["a", "b"], 4, {c: i + 3 for i, c in enumerate(sorted(set("".join(words)) - {"é"}))}).fit({"a": words, "b": Counter(["other", "hot"])})
+    symbols = [*models.alphabet.values(), *range(_BYTES, 1 << _BITS), 2]
     for context in ([1, models.alphabet["t"], models.alphabet["h"]], [models.alphabet["b"], models.alphabet["a"], models.alphabet["t"]], [3, 3, 3]):
-        last = [*models.alphabet.values(), 1, 2, 3]
-        key = np.array([(((context[0] << 8 | context[1]) << 8) | context[2]) << 8 | c for c in last], np.uint64)
+        key = np.array([(((context[0] << _BITS | context[1]) << _BITS) | context[2]) << _BITS | c for c in symbols], np.uint64)
         total = models._prob(key, 4).sum(axis=0)
-        assert np.all(total <= 1 + 1e-6) and np.all(total > 0.99), (context, total, size)
-    score = models.score(["the", "hot", "unseenword"])
+        assert np.allclose(total, 1, atol=1e-4), (context, total)
+    score = models.score(["the", "hot", "unseenword", "語"])
     assert score[0].argmax() == 0 and score[1].argmax() == 1 and np.isfinite(score).all() and len(models.score([])) == 0
+    with pytest.raises(ValueError):
+        CharModels(["a"], 6, {})
+
+
+def test_scripts_of_thousands_of_characters(spark):
+    rng = random.Random(4)
+    scripts = {"zh": range(0x4E00, 0x4E00 + 10_000, 2), "ja": range(0x4E01, 0x4E01 + 10_000, 2)}
+    say = lambda k: ". ".join(" ".join("".join(chr(rng.choice(scripts[k])) for _ in range(3)) for _ in range(12)) for _ in range(12)) + "."
+    rows = [(i, say(k), k, k) for i, k in enumerate(["zh", "ja"] * 120)] + [(1000 + i, say(k), None, k) for i, k in enumerate(["zh", "ja"] * 40)]
+    best = {r["doc_id"]: (r["lang"], r["share"]) for r in document_languages(language_stretches(frame(spark, rows))).orderBy("share").collect()}
+    assert sum(best[i][0] == truth for i, _, _, truth in rows if i >= 1000) >= 76
 
 
 def test_held_out_accuracy_with_wrong_labels(spark):
