@@ -57,8 +57,8 @@ def slugify(text: Column) -> Column:
 
 
 def title_key(text: Column) -> Column:
-    """Key by which equal titles meet: trimmed, lower case, white space collapsed."""
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    """Key by which equal titles meet: lower case, every run of other signs than ASCII letters and digits one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def topic_key(topic: Column) -> Column:
@@ -82,8 +82,8 @@ def title_from_filename(name: Column, fallback: str = "Pasted transcript") -> Co
     """A readable title from a file name: folders, a known suffix, bracketed parts and separators are taken out."""
     base = F.element_at(F.split(F.trim(F.coalesce(name, F.lit(""))), "/"), -1)
     base = F.regexp_replace(base, r"(?i)\.(" + "|".join(KNOWN_SUFFIXES) + ")$", "")
-    base = F.regexp_replace(F.regexp_replace(base, r"\[[^\]]*\]|\([^)]*\)", " "), r"[_\s]+", " ")
-    base = F.regexp_replace(base, r"^[ \-_.,]+|[ \-_.,]+$", "")
+    base = F.regexp_replace(F.regexp_replace(base, r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}", " "), r"(?U)[_.\s-]+", " ")
+    base = F.regexp_replace(base, r"^[ ,]+|[ ,]+$", "")
     return F.when(base == "", F.lit(fallback)).otherwise(base)
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from millrace.functions.text import first_words, normalize_text, split_words, word_count
 from millrace.plans.session import cut_lineage
 
-#: Lines of a transcript in one section, and the lines of the next one that it holds too.
-SECTION_LINES, SHARED_LINES = 4_096, 64
+#: Lines of a transcript in one section.
+SECTION_LINES = 4_096
+#: From here on lines are numbered that have no number in their locator.
+UNNUMBERED = 1 << 40
 
 
 def flat_items(entries: DataFrame) -> DataFrame:
@@ -22,56 +24,77 @@ def flat_items(entries: DataFrame) -> DataFrame:
 
 
 def transcript_lines(segments: DataFrame) -> DataFrame:
-    """(entry_id, no, segment_id, text, ts, locator): of rows with one locator number the smallest segment_id."""
-    no = F.regexp_extract("locator", r"(\d+)\s*$", 1).try_cast("long")
-    rows = segments.select("entry_id", no.alias("no"), F.struct("segment_id", "text", "ts", "locator").alias("row")).filter("entry_id is not null and no is not null")
+    """(entry_id, no, segment_id, text, ts, locator): of rows with one locator number the smallest segment_id.
+
+    Rows without a number follow the others by segment_id, from ``UNNUMBERED`` on, and none repeats another.
+    """
+    no = F.coalesce(F.regexp_extract("locator", r"(\d+)\s*$", 1).try_cast("long"), F.col("segment_id").cast("long") + F.lit(UNNUMBERED))
+    rows = segments.select("entry_id", no.alias("no"), F.struct("segment_id", "text", "ts", "locator").alias("row")).filter("entry_id is not null")
     return rows.groupBy("entry_id", "no").agg(F.min("row").alias("row")).select("entry_id", "no", "row.*")
 
 
-def normalized_sections(lines: DataFrame) -> DataFrame:
-    """(entry_id, section, text): the normalised transcript in sections that overlap by a few lines."""
-    section = F.floor(F.col("no") / SECTION_LINES)
-    early = (F.col("no") % SECTION_LINES < SHARED_LINES) & (section > 0)
-    spread = lines.select("entry_id", "no", "text", F.explode(F.when(early, F.array(section, section - 1)).otherwise(F.array(section))).alias("section"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    return spread.groupBy("entry_id", "section").agg(normalize_text(F.array_join(ordered, "\n")).alias("text"))
+def normalized_sections(lines: DataFrame, shared: int) -> DataFrame:
+    """(entry_id, section, text): the normalised transcript in sections of ``SECTION_LINES`` lines with words, each with
+    the first ``shared`` lines behind it too. Any stretch of ``shared`` words lies within a section.
+
+    Lines are numbered without gaps: inside the sections of their numbers, and by how many lines stand before these.
+    """
+    worded = lines.select("entry_id", "no", normalize_text(F.coalesce("text", F.lit(""))).alias("t"), F.floor(F.col("no") / SECTION_LINES).alias("own")).filter("t <> ''")
+    sizes = worded.groupBy("entry_id", "own").agg(F.count(F.lit(1)).alias("n"))
+    earlier = sizes.select("entry_id", "own", (F.sum("n").over(Window.partitionBy("entry_id").orderBy("own")) - F.col("n")).alias("before"))
+    placed = worded.withColumn("r", F.row_number().over(Window.partitionBy("entry_id", "own").orderBy("no")) - 1).join(earlier, ["entry_id", "own"]).withColumn("at", F.col("r") + F.col("before"))
+    first = F.greatest(F.lit(0), F.floor((F.col("at") - shared) / SECTION_LINES)).cast("long")
+    spread = placed.select("entry_id", "at", "t", F.explode(F.sequence(first, F.floor(F.col("at") / SECTION_LINES).cast("long"))).alias("section"))
+    # A section's own lines and those it shares; a line of a section far behind isn't its own.
+    spread = spread.filter(F.col("at") < (F.col("section") + 1) * SECTION_LINES + shared)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"])
+    return spread.groupBy("entry_id", "section").agg(F.array_join(ordered, " ").alias("text"))
+
+
+def _pairs(text: Column) -> Column:
+    """Hashes of the distinct pairs of neighbouring words."""
+    words = F.split(text, " ")
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b)))
+
+
+def _containing(quotes: DataFrame, texts: DataFrame, place: str) -> DataFrame:
+    """(entry_id, q, place): quotes and the texts of their entry that contain them.
+
+    quotes: entry_id, q; texts: entry_id, place, text, both normalised. They meet on the entry and a pair of neighbouring
+    words that must be whole in the text, so a long transcript isn't joined with all its quotes; quotes of under four
+    words meet on the entry alone. Only the pairs that meet fetch the texts.
+    """
+    words = F.split("q", " ")
+    once = quotes.filter("q <> ''").select("entry_id", "q").distinct()
+    long = once.filter(F.size(words) >= 4).withColumn("pair", F.xxhash64(F.element_at(words, 2), F.element_at(words, 3)))
+    met = long.join(texts.select("entry_id", place, F.explode(_pairs(F.col("text"))).alias("pair")), ["entry_id", "pair"]).select("entry_id", "q", place)
+    short = once.filter(F.size(words) < 4).join(texts.select("entry_id", place), "entry_id").select("entry_id", "q", place)
+    return met.unionAll(short).join(texts, ["entry_id", place]).filter(F.contains("text", "q")).select("entry_id", "q", place)
 
 
 def faithful(items: DataFrame, segments: DataFrame) -> DataFrame:
     """(entry_id, item_id, quote, faithful): whether the quote stands in the entry's transcript, case and signs aside.
 
-    A null or empty quote isn't faithful, nor is any quote of an entry without a transcript. Quotes are short, at most
-    ``SHARED_LINES`` lines, so that every one lies within a section.
+    A null or empty quote isn't faithful, nor is any quote of an entry without a transcript. A quote may run over any
+    number of lines: the sections of a transcript share as many lines as the longest quote has words.
     """
-    quotes = items.select("entry_id", "item_id", F.col("provenance.quote").alias("quote")).withColumn("n_quote", normalize_text(F.coalesce("quote", F.lit(""))))
-    hits = (
-        quotes.filter("n_quote <> ''").select("entry_id", "n_quote").distinct()
-        .join(normalized_sections(transcript_lines(segments)), "entry_id").filter(F.contains(F.col("text"), F.col("n_quote")))
-        .select("entry_id", "n_quote").distinct().withColumn("hit", F.lit(True))
-    )
-    return quotes.join(hits, ["entry_id", "n_quote"], "left").select("entry_id", "item_id", "quote", F.coalesce("hit", F.lit(False)).alias("faithful"))
+    quotes = items.select("entry_id", "item_id", F.col("provenance.quote").alias("quote")).withColumn("q", normalize_text(F.coalesce("quote", F.lit(""))))
+    longest = quotes.agg(F.max(F.size(F.split("q", " ")))).first()[0] or 0
+    sections = normalized_sections(transcript_lines(segments), longest)
+    hits = _containing(quotes, sections, "section").select("entry_id", "q").distinct().withColumn("hit", F.lit(True))
+    return quotes.join(hits, ["entry_id", "q"], "left").select("entry_id", "item_id", "quote", F.coalesce("hit", F.lit(False)).alias("faithful"))
 
 
 def backfilled(items: DataFrame, segments: DataFrame) -> DataFrame:
-    """(entry_id, item_id, locator, ts, no): null locators and times filled from the first line that holds the quote.
-
-    Lines and quotes meet on the entry and a pair of neighbouring words that must be whole in the line, so a long
-    transcript isn't joined with all its quotes; quotes of under four words meet on the entry alone.
-    """
+    """(entry_id, item_id, locator, ts, no): null locators and times filled from the first line that holds the quote; no
+    is null where there is none or it has no number."""
     lines = transcript_lines(segments).withColumn("n_text", normalize_text(F.coalesce("text", F.lit(""))))
     quotes = items.select("entry_id", "item_id", F.col("provenance.locator").alias("own_locator"), F.col("provenance.timestamp").alias("own_ts"), normalize_text(F.coalesce("provenance.quote", F.lit(""))).alias("q"))
-    words = F.split("n_text", " ")
-    pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    q_words = F.split("q", " ")
-    key = F.xxhash64(F.element_at(q_words, 2), F.element_at(q_words, 3))
-    long = quotes.filter(F.size(q_words) >= 4).withColumn("key", key)
-    short = quotes.filter((F.size(q_words) < 4) & (F.col("q") != ""))
-    by_pair = long.join(lines.select("entry_id", "no", "locator", "ts", "n_text", F.explode(pairs).alias("key")), ["entry_id", "key"])
-    by_entry = short.join(lines.select("entry_id", "no", "locator", "ts", "n_text"), "entry_id")
-    columns = ["entry_id", "item_id", "no", "locator", "ts"]
-    hit = by_pair.filter(F.contains("n_text", "q")).select(*columns).unionAll(by_entry.filter(F.contains("n_text", "q")).select(*columns))
-    first = hit.groupBy("entry_id", "item_id").agg(F.min(F.struct("no", "locator", "ts")).alias("f"))
-    return quotes.join(first, ["entry_id", "item_id"], "left").select("entry_id", "item_id", F.coalesce("own_locator", "f.locator").alias("locator"), F.coalesce("own_ts", "f.ts").alias("ts"), F.col("f.no").alias("no"))
+    hit = _containing(quotes, lines.select("entry_id", "no", F.col("n_text").alias("text")), "no").groupBy("entry_id", "q").agg(F.min("no").alias("no"))
+    first = hit.join(lines.select("entry_id", "no", "locator", "ts"), ["entry_id", "no"])
+    number = F.when(F.col("no") < UNNUMBERED, F.col("no"))
+    return quotes.join(first, ["entry_id", "q"], "left").select("entry_id", "item_id", F.coalesce("own_locator", "locator").alias("locator"), F.coalesce("own_ts", "ts").alias("ts"), number.alias("no"))
 
 
 def short_quotes(items: DataFrame, most: int = 14) -> DataFrame:
@@ -86,36 +109,36 @@ def transcript_sizes(segments: DataFrame, least: int = 50, thin: int = 500) -> D
     return words.withColumn("status", F.when(F.col("n_words") < least, "rejected").when(F.col("n_words") < thin, "thin").otherwise("ok"))
 
 
-def merged_repeats(items: DataFrame) -> DataFrame:
-    """Items with one normalised statement as one row: (key, entry_id, item_id, rationale, scope, gotchas, preconditions,
-    mentions, n).
+def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one key as one row: (*keys, item_id, rationale, scope, gotchas, preconditions, mentions, n).
 
-    The first in order of (entry_id, pos) stays; its empty scalars are filled from the next that has one, arrays are
-    joined without repeats in order of appearance, mentions once for each name and kind. Values are made distinct
-    before they are collected, so the size of a group doesn't matter, only that of its distinct values.
+    rows: keys, pos, item_id, rationale, scope, gotchas, preconditions, entity_mentions. The first in order of pos stays;
+    its empty scalars are filled from the next that has one, arrays are joined without repeats in order of appearance,
+    mentions once for each name and kind. Values are made distinct before they are collected, so the size of a group
+    doesn't matter, only that of its distinct values.
     """
-    rows = items.withColumn("key", normalize_text(F.col("statement"))).withColumn("at", F.struct("entry_id", "pos"))
-    first = rows.groupBy("key").agg(
-        F.min(F.struct("entry_id", "pos", "item_id")).alias("f"), F.min_by("rationale", F.when(F.col("rationale").isNotNull(), F.col("at"))).alias("rationale"),
-        F.min_by("scope", F.when(F.col("scope").isNotNull(), F.col("at"))).alias("scope"), F.count(F.lit(1)).alias("n"),
+    out = rows.groupBy(*keys).agg(
+        F.min_by("item_id", "pos").alias("item_id"), F.min_by("rationale", F.when(F.col("rationale").isNotNull(), F.col("pos"))).alias("rationale"),
+        F.min_by("scope", F.when(F.col("scope").isNotNull(), F.col("pos"))).alias("scope"), F.count(F.lit(1)).alias("n"),
     )
-
-    def gathered(column: str, value: Column, identity: Column) -> DataFrame:
-        each = rows.select("key", "at", F.posexplode(column).alias("k", "v")).withColumn("v", value)
-        once = each.groupBy("key", identity.alias("same")).agg(F.min(F.struct("at", "k", "v")).alias("m"))
-        return once.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["v"]).alias(column))
-
-    out = first
-    for column in ("preconditions", "gotchas"):
-        out = out.join(gathered(column, F.col("v"), F.col("v")), "key", "left")
-    mention = F.concat_ws(":", "v.kind", "v.name")
-    mentions = rows.withColumnRenamed("entity_mentions", "mentions")
-    each = mentions.select("key", "at", F.posexplode("mentions").alias("k", "v")).withColumn("v", mention)
-    once = each.groupBy("key", "v").agg(F.min(F.struct("at", "k")).alias("m"))
-    gathered_mentions = once.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda m: m["v"]).alias("mentions"))
+    mentions = F.transform("entity_mentions", lambda m: F.concat_ws(":", m["kind"], m["name"]))
     none = F.expr("cast(array() as array<string>)")
-    out = out.join(gathered_mentions, "key", "left")
-    return out.select("key", "f.entry_id", "f.item_id", "rationale", "scope", *(F.coalesce(c, none).alias(c) for c in ("gotchas", "preconditions", "mentions")), "n")
+    for name, values in (("preconditions", F.col("preconditions")), ("gotchas", F.col("gotchas")), ("mentions", mentions)):
+        once = rows.select(*keys, "pos", F.posexplode(values).alias("k", "v")).groupBy(*keys, "v").agg(F.min(F.struct("pos", "k")).alias("m"))
+        gathered = once.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda x: x["v"]).alias(name))
+        out = out.join(gathered, keys, "left").withColumn(name, F.coalesce(name, none))
+    return out.select(*keys, "item_id", "rationale", "scope", "gotchas", "preconditions", "mentions", "n")
+
+
+def merged_repeats(items: DataFrame) -> DataFrame:
+    """Items of one entry with one normalised statement as one row, folded: (entry_id, key, item_id, ..., n). Null
+    statements are one key."""
+    return folded(items.withColumn("key", F.coalesce(normalize_text(F.col("statement")), F.lit(""))), ["entry_id", "key"])
+
+
+def merged_restatements(items: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Items folded into the one that leads them: (entry_id, leader, item_id, ..., n). leaders: entry_id, pos, leader."""
+    return folded(items.join(leaders, ["entry_id", "pos"]), ["entry_id", "leader"])
 
 
 def _similar_in_block(ratio: float):

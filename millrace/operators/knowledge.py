@@ -5,42 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ascii_tokens, strip, title_key, topics_capped
+from millrace.functions.text import ascii_tokens, first_words, strip, title_key, topics_capped
 from millrace.operators.retrieval import top_k
 
 SIM_FLOOR, EMBED_POOL, MAX_CANDIDATES, MAX_EDGES = 0.55, 8, 5, 3
 
 
-def ordered_distinct(values: Column) -> Column:
-    return F.array_distinct(values)
-
-
 def valid_ids(ids: Column, valid: Column) -> Column:
     """The ids that are valid, each once, in order."""
     return F.array_distinct(F.filter(F.coalesce(ids, F.array()), lambda i: F.array_contains(valid, i)))
 
 
-def candidates(similar: DataFrame, overlapping: DataFrame, floor: float = SIM_FLOOR, pool: int = EMBED_POOL, most: int = MAX_CANDIDATES) -> DataFrame:
-    """Candidates of each query: (query_id, group_id, similarity, rank).
+def candidates(queries: DataFrame, groups: DataFrame, floor: float = SIM_FLOOR, pool: int = EMBED_POOL, most: int = MAX_CANDIDATES) -> DataFrame:
+    """Candidate groups of each query: (query_id, group_id, similarity, rank).
 
-    similar: query_id, group_id, similarity; overlapping: query_id, group_id of the groups that share a token with the
-    query. The best ``pool`` above the floor and all overlapping ones make the pool, of which the best ``most`` stay.
+    queries: id, vector, text; groups: group_id BIGINT, vector, text. The best ``pool`` groups at or above the floor and
+    all that share an ASCII token with the query make the pool, of which the best ``most`` stay. A group that shares a
+    token is among the best ``most`` of the pool only if it is among the best ``most`` that do, so both searches hand on
+    a few rows for each query, however common a token is.
     """
+    tokens = F.transform(ascii_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("tokens")
+    rows = groups.select(F.col("group_id").alias("id"), "vector", tokens)
+    # A query's own id is no group's id: the queries are moved out of the way.
+    away = F.lit(1 << 40)
+    moved = queries.select((F.col("id") + away).alias("id"), "vector", tokens)
+    both = top_k(moved.drop("tokens"), rows, pool, floor).unionAll(top_k(moved, rows, most))
+    once = both.groupBy((F.col("query_id") - away).alias("query_id"), F.col("id").alias("group_id")).agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "group_id")
-    by_vector = similar.filter(F.col("similarity") >= floor).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pool).drop("r")
-    by_token = similar.join(overlapping.select("query_id", "group_id").distinct(), ["query_id", "group_id"], "left_semi")
-    both = by_vector.unionByName(by_token).distinct()
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-
-
-def token_overlap(queries: DataFrame, groups: DataFrame) -> DataFrame:
-    """(query_id, group_id) of texts that share an ASCII token: an equi-join on the tokens.
-
-    queries: query_id, text; groups: group_id, text.
-    """
-    q = queries.select("query_id", F.explode(ascii_tokens(F.col("text"))).alias("token"))
-    g = groups.select("group_id", F.explode(ascii_tokens(F.col("text"))).alias("token"))
-    return q.join(g, "token").select("query_id", "group_id").distinct()
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def group_edges(group_vectors: DataFrame, floor: float = SIM_FLOOR, most: int = MAX_EDGES, touched: DataFrame | None = None) -> DataFrame:
@@ -79,24 +71,29 @@ def new_groups(named: DataFrame) -> DataFrame:
     )
 
 
-def entity_mentions(items: DataFrame, kinds: tuple[str, ...] = ("tool", "person", "organization")) -> DataFrame:
-    """(entry_id, item_id, pos, kind, name, quote): mentions with a known kind, a name and a quote."""
+def entity_mentions(items: DataFrame, kinds: tuple[str, ...] = ("tool", "person", "organization"), most_words: int = 14) -> DataFrame:
+    """(entry_id, item_id, pos STRUCT<item_pos, mention_pos>, kind, name, quote): mentions with a known kind, a name and
+    a quote of at most ``most_words`` words, of longer ones the first."""
     each = items.select("entry_id", "item_id", F.col("pos").alias("item_pos"), F.posexplode("entity_mentions").alias("pos", "m"))
     good = F.col("m.kind").isin(*kinds) & (strip(F.coalesce("m.name", F.lit(""))) != "") & (strip(F.coalesce("m.quote", F.lit(""))) != "")
-    return each.filter(good).select("entry_id", "item_id", (F.col("item_pos") * 1000 + F.col("pos")).alias("pos"), "m.kind", strip(F.col("m.name")).alias("name"), strip(F.col("m.quote")).alias("quote"))
+    return each.filter(good).select("entry_id", "item_id", F.struct("item_pos", F.col("pos").alias("mention_pos")).alias("pos"), "m.kind", strip(F.col("m.name")).alias("name"), first_words(strip(F.col("m.quote")), most_words).alias("quote"))
 
 
 def sharing_tags(queries: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
     """Entries that share a tag with each query entry, newest first: (query_id, entry_id, shared, rank).
 
-    queries, entries: entry_id, tags ARRAY, created TIMESTAMP. The query set meets all entries by an equi-join on tags;
-    the shared tags are counted before the ranking.
+    queries, entries: entry_id unique, tags ARRAY, created TIMESTAMP. Whoever is among the newest of a query is among the
+    newest of the tag they share, so a tag stands for its ``most`` newest entries and one more, for the query itself,
+    however many have it. The shared tags are counted for those that are ranked.
     """
-    q = queries.select(F.col("entry_id").alias("query_id"), F.explode(F.array_distinct("tags")).alias("tag"))
-    e = entries.select("entry_id", "created", F.explode(F.array_distinct("tags")).alias("tag"))
-    pairs = e.join(q, "tag").filter("entry_id <> query_id").groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).alias("shared"), F.max("created").alias("created"))
+    tagged = entries.select("entry_id", "created", F.explode(F.array_distinct("tags")).alias("tag"))
+    newest = tagged.withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("created"), "entry_id"))).filter(F.col("r") <= most + 1)
+    q = queries.select(F.col("entry_id").alias("query_id"), "tags", F.explode(F.array_distinct("tags")).alias("tag"))
+    pairs = q.join(newest, "tag").filter("entry_id <> query_id").groupBy("query_id", "entry_id").agg(F.first("created").alias("created"), F.first("tags").alias("tags"))
     order = Window.partitionBy("query_id").orderBy(F.desc("created"), "entry_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "entry_id", "shared", "rank")
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    counted = best.join(entries.select("entry_id", F.col("tags").alias("own")), "entry_id")
+    return counted.select("query_id", "entry_id", F.size(F.array_intersect("tags", "own")).cast("long").alias("shared"), "rank")
 
 
 def contradictions(found: DataFrame, edges: DataFrame) -> DataFrame:

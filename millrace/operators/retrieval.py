@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,46 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
-def _searcher(ids: list[int], units: np.ndarray, k: int, floor: float | None):
+class _Shared:
+    """Which rows share a token with which queries."""
+
+    def __init__(self, tokens: list[list[int] | None]):
+        self.n = len(tokens)
+        query = np.repeat(np.arange(self.n), [len(t or ()) for t in tokens])
+        flat = np.array([x for t in tokens for x in t or ()], np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.token, self.query = flat[order], query[order]
+
+    def mask(self, lists: pa.Array) -> np.ndarray:
+        sizes = np.asarray(lists.value_lengths().fill_null(0))
+        row, token = np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+        first = np.searchsorted(self.token, token)
+        n = np.searchsorted(self.token, token, side="right") - first
+        at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        out = np.zeros((self.n, len(lists)), bool)
+        out[self.query[at], np.repeat(row, n)] = True
+        return out
+
+
+class Block(NamedTuple):
+    """Queries that go to the tasks together."""
+
+    ids: list[int]
+    units: np.ndarray
+    kinds: list[int | None] | None
+    tokens: list[list[int] | None] | None
+
+
+def _searcher(block: Block, k: int, floor: float | None):
+    ids, units, kinds, tokens = block
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         names = ["query_id", "id", "similarity", "score"]
         query_ids = np.array(ids)
+        shared = None if tokens is None else _Shared(tokens)
+        known = None if kinds is None else np.array([x is not None for x in kinds])
+        own_kind = None if kinds is None else np.array([x or 0 for x in kinds], np.int64)
 
         def best(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
             q, i, s, c = (np.concatenate(x) for x in zip(*parts))
@@ -55,6 +91,11 @@ def _searcher(ids: list[int], units: np.ndarray, k: int, floor: float | None):
             similarity = units @ _matrix(batch.column("vector"), units.shape[1]).T
             score = similarity * batch.column("weight").to_numpy()
             usable = (query_ids[:, None] != own[None, :]) & (similarity >= floor if floor is not None else True)
+            if own_kind is not None:
+                kind = batch.column("kind")
+                usable &= (own_kind[:, None] == kind.fill_null(0).to_numpy(zero_copy_only=False)[None, :]) & known[:, None] & np.asarray(kind.is_valid())[None, :]
+            if shared is not None:
+                usable &= shared.mask(batch.column("tokens"))
             ranked = np.where(usable, score, -np.inf)
             # Everything as good as the k-th best stays, so that ties are settled by id afterwards.
             kth = np.partition(ranked, -k, axis=1)[:, -k] if ranked.shape[1] > k else np.full(len(ranked), -np.inf)
@@ -69,25 +110,32 @@ def _searcher(ids: list[int], units: np.ndarray, k: int, floor: float | None):
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Ids and unit vectors of the queries, block by block."""
-    rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator()
+def _blocks(queries: DataFrame) -> Iterator[Block]:
+    """The queries block by block, with unit vectors."""
+    own = [c for c in ("kind", "tokens") if c in queries.columns]
+    rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), *own).toLocalIterator()
     while block := list(islice(rows, QUERIES_PER_BLOCK)):
-        dim = max((len(v) for _, v in block if v is not None), default=0) or 1
-        yield [i for i, _ in block], _matrix(pa.array([v if v is not None else [] for _, v in block], pa.list_(pa.float64())), dim)
+        vectors = [r["vector"] for r in block]
+        dim = max((len(v) for v in vectors if v is not None), default=0) or 1
+        units = _matrix(pa.array([v if v is not None else [] for v in vectors], pa.list_(pa.float64())), dim)
+        yield Block([r["id"] for r in block], units, *([r[c] for r in block] if c in own else None for c in ("kind", "tokens")))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, floor: float | None = None) -> DataFrame:
     """The k best vectors of each query: (query_id, id, similarity, score, rank).
 
     queries: id, vector; vectors: id, vector and optionally weight DOUBLE, by which the cosine similarity is multiplied
-    to the score that ranks; a query doesn't find its own id. ``floor`` drops rows below a similarity before ranking.
-    Null, zero and unequally long vectors have similarity 0; ties go to the smaller id. No queries, no rows.
+    to the score that ranks; a query doesn't find its own id. Where the queries have a column kind BIGINT, they find only
+    rows of that kind, where they have tokens ARRAY<BIGINT>, only rows that share one; null is no kind and no token.
+    ``floor`` drops rows below a similarity before ranking. Null, zero and unequally long vectors have similarity 0; ties
+    go to the smaller id. No queries, no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in vectors.columns else F.lit(1.0)).alias("weight"))
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in vectors.columns else F.lit(1.0)
+    own = [F.col(c).cast(t).alias(c) for c, t in (("kind", "long"), ("tokens", "array<long>")) if c in queries.columns]
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), weight.alias("weight"), *own)
     schema = "query_id long, id long, similarity double, score double"
-    parts = [rows.mapInArrow(_searcher(ids, units, k, floor), schema) for ids, units in _blocks(queries)]
+    parts = [rows.mapInArrow(_searcher(block, k, floor), schema) for block in _blocks(queries)]
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")
     found = reduce(DataFrame.unionAll, parts)
@@ -136,7 +184,7 @@ def best_members(queries: DataFrame, members: DataFrame) -> DataFrame:
     """
     rows = members.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("group_id").cast("long").alias("group_id"))
     schema = "query_id long, group_id long, similarity double"
-    parts = [rows.mapInArrow(_grouper(ids, units), schema) for ids, units in _blocks(queries)]
+    parts = [rows.mapInArrow(_grouper(b.ids, b.units), schema) for b in _blocks(queries)]
     if not parts:
         return members.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, parts).groupBy("query_id", "group_id").agg(F.max("similarity").alias("similarity"))
@@ -177,6 +225,9 @@ def group_scores(to_centroid: DataFrame, to_members: DataFrame, k: int = 3) -> D
 def recruited(cleared_groups: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
     """Members of the cleared groups that weren't found directly, each by its best group.
 
+    Every member of a cleared group is a row for every query that cleared it; a large group's join is split where AQE
+    finds it skewed.
+
     cleared_groups: query_id, group_id, similarity; members: group_id, id; seen: query_id, id.
     """
     pool = cleared_groups.join(members.select("group_id", "id"), "group_id").join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")

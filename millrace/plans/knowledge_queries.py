@@ -46,10 +46,15 @@ def word_floor(spark: SparkSession, d: str) -> DataFrame:
     return I.transcript_sizes(load(spark, d, "segments"))
 
 
+def _joined(merged: DataFrame, *keys: str) -> DataFrame:
+    return merged.select(*keys, "item_id", "rationale", "scope", *(F.array_join(c, "|").alias(c) for c in ("gotchas", "preconditions", "mentions")), "n")
+
+
 def exact_dedup_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = I.merged_repeats(_items(spark, d))
-    joined = lambda c: F.array_join(c, "|").alias(c)
-    return merged.select("key", "entry_id", "item_id", "rationale", "scope", joined("gotchas"), joined("preconditions"), joined("mentions"), "n")
+    """Repeats inside an entry, among the items whose quote stands in the transcript, folded into the first."""
+    items = _items(spark, d)
+    kept = items.join(I.faithful(items, load(spark, d, "segments")).filter("faithful").select("entry_id", "item_id").distinct(), ["entry_id", "item_id"], "left_semi")
+    return _joined(I.merged_repeats(kept), "entry_id", "key")
 
 
 def fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +62,13 @@ def fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
     return I.fuzzy_leaders(rows).select(F.col("group_id").alias("entry_id"), "pos", "leader")
 
 
+def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Restatements inside an entry folded into the item that leads them."""
+    items = _items(spark, d)
+    leaders = I.fuzzy_leaders(items.select(F.col("entry_id").alias("group_id"), "pos", "statement")).withColumnRenamed("group_id", "entry_id")
+    return _joined(I.merged_restatements(items, leaders), "entry_id", "leader")
+
+
 def note_grounding(spark: SparkSession, d: str) -> DataFrame:
     g = K.grounded_parts(_parts(spark, d), _items(spark, d))
     return g.select("entry_id", "section", F.col("pos").cast("long").alias("pos"), F.array_join("item_ids", ",").alias("item_ids"), F.col("dropped").cast("long").alias("dropped"), "all_valid")
@@ -235,7 +247,7 @@ pg AS (SELECT sl.slug, array_to_string(['---', 'type: source', 'title: "' || rep
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        knowledge_items, faithful_quotes, provenance_backfill, quote_truncate, word_floor, exact_dedup_merge, fuzzy_dedup, note_grounding, note_context, stance_conflicts, topic_stances,
+        knowledge_items, faithful_quotes, provenance_backfill, quote_truncate, word_floor, exact_dedup_merge, fuzzy_dedup, fuzzy_merge, note_grounding, note_context, stance_conflicts, topic_stances,
         topics_capped, humanized_tags, tag_listing, dominant_type, novelty_flags, goal_links, entity_groups, shared_tags, contradictions, dangling_edges, profile_affinities, profile_aversions,
         profile_known_topics, profile_confidence, top_affinities, entry_slugs, source_pages, index_lines, page_lint, citations, index_parity, reindex_needed, library_search,
     )}
@@ -254,13 +266,14 @@ SELECT q.entry_id, q.item_id, coalesce(l, f.loc) AS locator, coalesce(s, f.ts) A
 SELECT entry_id, item_id, CASE WHEN len(w) <= 8 THEN q ELSE array_to_string(w[1:8], ' ') END AS quote, least(len(w), 8) AS n_words FROM q""",
         "word_floor": w + _LINES + r""", c AS (SELECT entry_id, sum(len(list_filter(regexp_split_to_array(r.t, '[\s\x{00A0}\x{2007}\x{2009}\x{202F}]+'), lambda x: x <> '')))::BIGINT AS n_words FROM ln GROUP BY entry_id)
 SELECT entry_id, n_words, CASE WHEN n_words < 50 THEN 'rejected' WHEN n_words < 500 THEN 'thin' ELSE 'ok' END AS status FROM c""",
-        "exact_dedup_merge": w + _ITEMS + f""", k AS (SELECT {_norm("i.statement")} AS key, entry_id, pos, i FROM it),
-b AS (SELECT key, arg_min(struct_pack(e := entry_id, i := i.item_id), struct_pack(e := entry_id, p := pos)) AS f, arg_min(i.rationale, struct_pack(e := entry_id, p := pos)) FILTER (i.rationale IS NOT NULL) AS rationale, arg_min(i.scope, struct_pack(e := entry_id, p := pos)) FILTER (i.scope IS NOT NULL) AS scope, count(*) AS n FROM k GROUP BY key),
-v AS (SELECT key, entry_id, pos, 'g' AS c, generate_subscripts(i.gotchas, 1) AS k, unnest(i.gotchas) AS v FROM k UNION ALL SELECT key, entry_id, pos, 'p', generate_subscripts(i.preconditions, 1), unnest(i.preconditions) FROM k
- UNION ALL SELECT key, entry_id, pos, 'm', generate_subscripts(i.entity_mentions, 1), unnest(list_transform(i.entity_mentions, lambda m: m.kind || ':' || m.name)) FROM k),
-o AS (SELECT key, c, v, min(struct_pack(e := entry_id, p := pos, k := k)) AS m FROM v GROUP BY key, c, v),
-a AS (SELECT key, c, string_agg(v, '|' ORDER BY m) AS v FROM o GROUP BY key, c)
-SELECT b.key, f.e AS entry_id, f.i AS item_id, rationale, scope, coalesce((SELECT v FROM a WHERE a.key = b.key AND c = 'g'), '') AS gotchas, coalesce((SELECT v FROM a WHERE a.key = b.key AND c = 'p'), '') AS preconditions, coalesce((SELECT v FROM a WHERE a.key = b.key AND c = 'm'), '') AS mentions, n FROM b""",
+        "exact_dedup_merge": w + _ITEMS + ", " + _LINES + f""", full_text AS (SELECT entry_id, {_norm("string_agg(r.t, chr(10) ORDER BY no)")} AS t FROM ln GROUP BY entry_id),
+k AS (SELECT coalesce({_norm("i.statement")}, '') AS key, entry_id, pos, i FROM it JOIN full_text f USING (entry_id) WHERE {_norm("coalesce(i.provenance.quote, '')")} <> '' AND contains(t, {_norm("coalesce(i.provenance.quote, '')")})),
+b AS (SELECT entry_id, key, arg_min(i.item_id, pos) AS item_id, arg_min(i.rationale, pos) FILTER (i.rationale IS NOT NULL) AS rationale, arg_min(i.scope, pos) FILTER (i.scope IS NOT NULL) AS scope, count(*) AS n FROM k GROUP BY ALL),
+v AS (SELECT entry_id, key, pos, 'g' AS c, generate_subscripts(i.gotchas, 1) AS k, unnest(i.gotchas) AS v FROM k UNION ALL SELECT entry_id, key, pos, 'p', generate_subscripts(i.preconditions, 1), unnest(i.preconditions) FROM k
+ UNION ALL SELECT entry_id, key, pos, 'm', generate_subscripts(i.entity_mentions, 1), unnest(list_transform(i.entity_mentions, lambda m: m.kind || ':' || m.name)) FROM k),
+o AS (SELECT entry_id, key, c, v, min(struct_pack(p := pos, k := k)) AS m FROM v GROUP BY ALL),
+a AS (SELECT entry_id, key, c, string_agg(v, '|' ORDER BY m) AS v FROM o GROUP BY ALL), w AS (SELECT entry_id, key, max(v) FILTER (c = 'g') AS g, max(v) FILTER (c = 'p') AS p, max(v) FILTER (c = 'm') AS m FROM a GROUP BY ALL)
+SELECT entry_id, key, item_id, rationale, scope, coalesce(g, '') AS gotchas, coalesce(p, '') AS preconditions, coalesce(m, '') AS mentions, n FROM b LEFT JOIN w USING (entry_id, key)""",
         "note_grounding": w + _ITEMS + ", " + _PARTS + """, kn AS (SELECT entry_id, list(DISTINCT i.item_id) AS known FROM it GROUP BY entry_id),
 v AS (SELECT pt.*, known, list_filter(x.item_ids, lambda i: list_contains(known, i)) AS ok FROM pt LEFT JOIN kn USING (entry_id))
 SELECT entry_id, x.section AS section, pos, array_to_string(list_filter(ok, lambda i, n: list_position(ok, i) = n), ',') AS item_ids, (len(list_distinct(x.item_ids)) - len(list_distinct(ok)))::BIGINT AS dropped, len(ok) = len(x.item_ids) AS all_valid FROM v WHERE trim(x.text) <> '' AND len(ok) > 0""",
@@ -279,11 +292,12 @@ SELECT entry_id, array_to_string(list_filter(l, lambda i, n: list_position(l, i)
 c AS (SELECT *, coalesce(x.novelty_flag, false) AS had, count(*) OVER p AS n, sum(coalesce(x.novelty_flag, false)::INT) OVER p AS already FROM l WINDOW p AS (PARTITION BY entry_id)),
 t AS (SELECT *, greatest(1, round_even(n * 0.5, 0)::INT) AS target FROM c), o AS (SELECT *, NOT had AND pos % greatest(1, n // target) = 0 AS offer FROM t),
 r AS (SELECT *, sum(offer::INT) OVER (PARTITION BY entry_id ORDER BY pos) AS nth FROM o) SELECT entry_id, pos, x.link_id AS link_id, had OR (offer AND nth <= target - already) AS novelty FROM r""",
-        "goal_links": """WITH en AS (SELECT DISTINCT entry_id, application_links FROM entries), l AS (SELECT entry_id, unnest(application_links) AS x FROM en), g AS (SELECT x.linked_goal_id AS g FROM l GROUP BY 1 HAVING count(*) >= 3)
-SELECT entry_id, x.link_id AS link_id, x.linked_goal_id AS linked_goal_id, x.application_form AS form FROM l WHERE x.linked_goal_id IN (SELECT g FROM g)""",
-        "entity_groups": w + _ITEMS + r""", m AS (SELECT entry_id, pos, generate_subscripts(i.entity_mentions, 1) AS k, unnest(i.entity_mentions) AS m FROM it), n AS (SELECT m.kind AS kind, trim(m.name) AS title, lower(trim(regexp_replace(m.name, '\s+', ' ', 'g'))) AS key, entry_id, pos * 1000 + k AS pos FROM m
+        "goal_links": """WITH en AS (SELECT DISTINCT entry_id, application_links, knowledge_items FROM entries), l AS (SELECT entry_id, list_transform(knowledge_items, lambda k: k.item_id) AS known, unnest(application_links) AS x FROM en),
+u AS (SELECT x.linked_goal_id AS g, count(*) AS n FROM l WHERE x.linked_goal_id IS NOT NULL GROUP BY 1), g AS (SELECT g FROM u WHERE 10 * n >= (SELECT max(n) FROM u))
+SELECT entry_id, x.link_id AS link_id, x.linked_goal_id AS linked_goal_id, x.application_form AS form FROM l WHERE x.linked_goal_id IN (SELECT g FROM g) AND coalesce(list_has_all(known, x.knowledge_item_ids), true)""",
+        "entity_groups": w + _ITEMS + r""", m AS (SELECT entry_id, pos, generate_subscripts(i.entity_mentions, 1) AS k, unnest(i.entity_mentions) AS m FROM it), n AS (SELECT m.kind AS kind, trim(m.name) AS title, trim(regexp_replace(lower(m.name), '[^a-z0-9]+', ' ', 'g')) AS key, entry_id, struct_pack(i := pos, m := k) AS pos FROM m
  WHERE m.kind IN ('tool', 'person', 'organization') AND trim(coalesce(m.name, '')) <> '' AND trim(coalesce(m.quote, '')) <> '')
-SELECT kind, key, arg_min(title, struct_pack(e := entry_id, p := pos, t := title)) AS title, min(entry_id) AS entry_id, count(*) AS n_members, count(DISTINCT entry_id) AS n_entries FROM n GROUP BY kind, key""",
+SELECT kind, key, arg_min(title, struct_pack(e := entry_id, p := pos, t := title)) AS title, min(entry_id) AS entry_id, count(*) AS n_members, count(DISTINCT entry_id) AS n_entries FROM n WHERE key <> '' GROUP BY kind, key""",
         "shared_tags": "WITH e AS (SELECT DISTINCT entry_id, tags.topics AS t, " + _UTC.format("meta.created_at") + """ AS c FROM entries), x AS (SELECT DISTINCT entry_id, c, unnest(t) AS tag FROM e),
 q AS (SELECT entry_id AS query_id, tag FROM x WHERE ('0x' || substr(entry_id, 3, 8))::BIGINT % 20 = 0), p AS (SELECT query_id, entry_id, count(*) AS shared, max(c) AS c FROM x JOIN q USING (tag) WHERE entry_id <> query_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, entry_id) AS rank FROM p) SELECT query_id, entry_id, shared, rank FROM r WHERE rank <= 3""",

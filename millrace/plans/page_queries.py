@@ -100,11 +100,11 @@ def raw_pages_recovered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """The three best retrievals of each question as a JSON payload."""
-    rows = load(spark, d, "retrieved_items").select("question_id", "retrieval_id", "entry_id", "item_id", "score")
+    """The three best retrievals of each question as a JSON payload; answered if one of them clears the gate."""
+    rows = load(spark, d, "retrieved_items").select("question_id", "retrieval_id", "entry_id", "item_id", "score", "similarity")
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "retrieval_id"))).filter("rank <= 3")
     sources = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry_id", "item_id"))), lambda x: F.struct(x["entry_id"].alias("entry"), x["item_id"].alias("item")))
-    return best.groupBy("question_id").agg(F.to_json(F.struct(F.lit(True).alias("answered"), sources.alias("sources"))).alias("payload"))
+    return best.groupBy("question_id").agg(F.to_json(F.struct(F.coalesce(F.max(F.col("similarity") >= 0.45), F.lit(False)).alias("answered"), sources.alias("sources"))).alias("payload"))
 
 
 def user_liveness(spark: SparkSession, d: str, stale_seconds: int = 300) -> DataFrame:
@@ -126,8 +126,8 @@ def entity_pages(spark: SparkSession, d: str) -> DataFrame:
 
 _UTC = r"CASE WHEN regexp_matches({0}, '(Z|[+-]\d{{2}}:\d{{2}})$') THEN {0} ELSE {0} || 'Z' END::TIMESTAMPTZ"
 _M = """WITH it AS (SELECT entry_id, generate_subscripts(knowledge_items, 1) - 1 AS ip, unnest(knowledge_items) AS i FROM (SELECT DISTINCT entry_id, knowledge_items FROM entries)),
-m0 AS (SELECT entry_id, i.item_id AS item_id, i.statement AS statement, ip * 1000 + generate_subscripts(i.entity_mentions, 1) - 1 AS pos, unnest(i.entity_mentions) AS m FROM it),
-m AS (SELECT entry_id, item_id, statement, pos, m.kind AS kind, lower(trim(m.name)) AS key, trim(m.quote) AS quote FROM m0 WHERE m.kind IN ('tool', 'person', 'organization') AND trim(coalesce(m.name, '')) <> '' AND trim(coalesce(m.quote, '')) <> '')"""
+m0 AS (SELECT entry_id, i.item_id AS item_id, i.statement AS statement, struct_pack(i := ip, m := generate_subscripts(i.entity_mentions, 1) - 1) AS pos, unnest(i.entity_mentions) AS m FROM it),
+m AS (SELECT entry_id, item_id, statement, pos, m.kind AS kind, lower(trim(m.name)) AS key, CASE WHEN len(regexp_split_to_array(trim(m.quote), '\\s+')) > 14 THEN array_to_string(regexp_split_to_array(trim(m.quote), '\\s+')[1:14], ' ') ELSE trim(m.quote) END AS quote FROM m0 WHERE m.kind IN ('tool', 'person', 'organization') AND trim(coalesce(m.name, '')) <> '' AND trim(coalesce(m.quote, '')) <> '')"""
 _LINES = r"WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1)::BIGINT AS no, arg_min(struct_pack(t := text, ts := ts, loc := locator), segment_id) AS r FROM segments GROUP BY ALL)"
 
 
@@ -144,8 +144,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "first_quotes": _M + ", " + quotes + " SELECT * FROM fq",
         "entity_evidence": _M + """, o AS (SELECT kind, key, statement, min(struct_pack(e := entry_id, p := pos)) AS a FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY a, statement) AS r FROM o)
-SELECT kind, key, string_agg(statement, ' ' ORDER BY r) AS evidence, count(*) AS n_statements FROM r WHERE r <= 5 GROUP BY ALL""",
-        "pending_entities": _M + r", g AS (SELECT kind, regexp_replace(key, '\s+', ' ', 'g') AS key, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS r FROM g) SELECT kind, key, CASE WHEN r <= 5 THEN 'written' ELSE 'pending' END AS state FROM r",
+SELECT kind, key, string_agg(statement, ' ' ORDER BY r) AS evidence, count(*) AS n_statements FROM r GROUP BY ALL""",
+        "pending_entities": _M + r", g AS (SELECT kind, trim(regexp_replace(key, '[^a-z0-9]+', ' ', 'g')) AS key, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS r FROM g) SELECT kind, key, CASE WHEN r <= 5 THEN 'written' ELSE 'pending' END AS state FROM r",
         "covering_entities": _M + " SELECT entry_id, string_agg(key, ', ' ORDER BY key) AS entities FROM (SELECT DISTINCT entry_id, key FROM m) GROUP BY entry_id",
         "numbered_items": """WITH r AS (SELECT run_id, item_count, row_number() OVER (PARTITION BY entry_id ORDER BY run_id) - 1 AS c, count(*) OVER (PARTITION BY entry_id) AS n FROM extraction_runs WHERE entry_id IS NOT NULL), e AS (SELECT *, unnest(range(1, item_count + 1)) AS k FROM r WHERE item_count > 0)
 SELECT run_id, k, CASE WHEN n > 1 THEN printf('k_c%02d_', c) ELSE '' END || printf('k_%02d', k) AS item_id FROM e""",
@@ -155,8 +155,8 @@ count(DISTINCT job_id) AS n_jobs FROM jobs WHERE error IS NOT NULL GROUP BY ALL"
         "reconcile_report": "WITH e AS (SELECT DISTINCT entry_id FROM entries), i AS (SELECT DISTINCT entry_id FROM entry_index) SELECT entry_id, 'index row' AS what, 1::BIGINT AS n_rows FROM i WHERE entry_id NOT IN (SELECT * FROM e) UNION ALL SELECT entry_id, 'not in the index', 1 FROM e WHERE entry_id NOT IN (SELECT * FROM i) UNION ALL SELECT entry_id, 'vectors', count(*) FROM item_vectors WHERE entry_id NOT IN (SELECT * FROM e) GROUP BY entry_id",
         "newest_entries": "SELECT entry_id, title, created_at FROM (SELECT DISTINCT * FROM entry_index) WHERE entry_id IN (SELECT entry_id FROM entries) ORDER BY " + _UTC.format("created_at") + " DESC, entry_id LIMIT 30",
         "raw_pages_recovered": _LINES + " SELECT entry_id, count(*) AS n_lines, sum(length(r.t))::BIGINT AS n_chars FROM k WHERE trim(r.t) <> '' GROUP BY entry_id",
-        "answer_payloads": """WITH r AS (SELECT question_id, entry_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, retrieval_id) AS rank FROM retrieved_items)
-SELECT question_id, '{"answered":true,"sources":[' || string_agg('{"entry":"' || entry_id || '","item":"' || item_id || '"}', ',' ORDER BY rank) || ']}' AS payload FROM r WHERE rank <= 3 GROUP BY question_id""",
+        "answer_payloads": """WITH r AS (SELECT question_id, entry_id, item_id, similarity, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, retrieval_id) AS rank FROM retrieved_items)
+SELECT question_id, '{"answered":' || coalesce(bool_or(similarity >= 0.45), false) || ',"sources":[' || string_agg('{"entry":"' || entry_id || '","item":"' || item_id || '"}', ',' ORDER BY rank) || ']}' AS payload FROM r WHERE rank <= 3 GROUP BY question_id""",
         "user_liveness": "SELECT user_id, CASE WHEN date_sub('second', max(ts), (SELECT max(ts) FROM events)) > 300 THEN 'stale' ELSE 'live' END AS state FROM events GROUP BY user_id",
         "entity_pages": _M + ", " + quotes + ", " + _SLUGS + """ SELECT kind, key, '---' || chr(10) || 'type: entity' || chr(10) || 'kind: ' || kind || chr(10) || 'videos: [' || string_agg(slug, ', ' ORDER BY slug) || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || key || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10)
  || string_agg('- [source](../sources/' || slug || '.md): "' || quote || '"', chr(10) ORDER BY slug) || chr(10) AS body FROM fq JOIN sl USING (entry_id) GROUP BY kind, key""",

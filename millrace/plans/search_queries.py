@@ -64,10 +64,10 @@ def concept_centroids(spark: SparkSession, d: str) -> DataFrame:
 def _centroid_hits(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of every query to every concept's centroid: as many rows as queries times concepts."""
     v = _vectors(spark, d)
-    c = S.centroids(v).select(F.col("group_id").alias("id"), "vector")
+    c = S.centroids(v).select(F.col("group_id").alias("id"), "vector", "group_id")
     # A query's own id is no concept's id: shift the queries out of the way.
     q = _queries(v).select((F.col("id") + F.lit(1 << 40)).alias("id"), "vector")
-    return S.top_k(q, c, 1_000).select((F.col("query_id") - F.lit(1 << 40)).alias("query_id"), F.col("id").alias("group_id"), "similarity")
+    return S.best_members(q, c).withColumn("query_id", F.col("query_id") - F.lit(1 << 40))
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -87,11 +87,11 @@ def recruit_members(spark: SparkSession, d: str) -> DataFrame:
 
 def concept_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Concepts by similarity to the centroid, with those whose description shares a word with the item's."""
-    nation = load(spark, d, "nation").select("n_nationkey", "n_name")
+    nation = load(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("text"))
     v = _vectors(spark, d)
-    groups = v.select("group_id").distinct().join(nation, F.col("group_id") == F.col("n_nationkey")).select("group_id", F.col("n_name").alias("text"))
-    queries = _queries(v).select(F.col("id").alias("query_id"), (F.col("id") / 20 % 25).cast("long").alias("n_nationkey")).join(nation, "n_nationkey").select("query_id", F.col("n_name").alias("text"))
-    return _shaped(K.candidates(_centroid_hits(spark, d), K.token_overlap(queries, groups), FLOOR, 3, 5), "query_id", "group_id")
+    groups = S.centroids(v).join(nation, F.col("group_id") == F.col("n_nationkey"), "left").select("group_id", "vector", "text")
+    queries = _queries(v).withColumn("n_nationkey", (F.col("id") / 20 % 25).cast("long")).join(nation, "n_nationkey", "left").select("id", "vector", "text")
+    return _shaped(K.candidates(queries, groups, FLOOR, 3, 5), "query_id", "group_id")
 
 
 def concept_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -99,14 +99,10 @@ def concept_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest vectors of the query's own kind (here: label): the kind is an equality, the rest is the search."""
-    v = _vectors(spark, d)
-    kinds = [r[0] for r in v.select("group_id").distinct().collect()]
-    found = None
-    for kind in sorted(kinds):
-        own = v.filter(F.col("group_id") == kind)
-        part = S.top_k(_queries(own), own, 5, FLOOR).withColumn("group_id", F.lit(kind).cast("long"))
-        found = part if found is None else found.unionAll(part)
+    """The nearest vectors of the query's own kind (here: label): the kind is an equality inside the one search."""
+    v = _vectors(spark, d).withColumnRenamed("group_id", "kind")
+    q = _queries(v)
+    found = S.top_k(q, v, 5, FLOOR).join(q.select(F.col("id").alias("query_id"), F.col("kind").cast("long").alias("group_id")), "query_id")
     return _shaped(found, "query_id", "group_id", "id")
 
 
@@ -148,7 +144,7 @@ s AS (SELECT q.id AS query_id, w.id, list_cosine_similarity(q.vector, w.vector)
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, id) AS rank FROM s), top AS (SELECT * FROM r WHERE rank <= 6)"""
 _C = """, cell AS (SELECT group_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM v), m AS (SELECT group_id, pos, avg(x) AS x, count(*) AS n FROM cell GROUP BY ALL),
 c AS (SELECT group_id, list(x ORDER BY pos) AS vector, max(n) AS n FROM m GROUP BY group_id), ch AS (SELECT q.id AS query_id, c.group_id, list_cosine_similarity(q.vector, c.vector) AS sim FROM q, c)"""
-_G = _C + """, near AS (SELECT query_id, group_id, sim FROM (SELECT q.id AS query_id, v.group_id, list_cosine_similarity(q.vector, v.vector) AS sim, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.vector, v.vector) DESC, v.id) AS r FROM q JOIN v ON v.id <> q.id) WHERE r <= 20),
+_G = _C + """, near AS (SELECT q.id AS query_id, v.group_id, list_cosine_similarity(q.vector, v.vector) AS sim FROM q JOIN v ON v.id <> q.id),
 g AS (SELECT query_id, group_id, max(sim) AS sim FROM (SELECT query_id, group_id, greatest(sim, 0) AS sim FROM ch UNION ALL SELECT * FROM near) GROUP BY ALL), gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, group_id) AS rank FROM g), g3 AS (SELECT * FROM gr WHERE rank <= 3)"""
 
 
@@ -165,7 +161,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "knn_ranked": _Q + ", s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.vector, v.vector) AS sim FROM q JOIN v ON v.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s) SELECT query_id, id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 6",
         "knn_composite": _W + " SELECT query_id, id, round(sim, 6) AS similarity, round(sc, 6) AS score, rank FROM top WHERE sim >= 0.3",
-        "abstention_gate": _W + " SELECT q.id AS query_id, EXISTS (SELECT 1 FROM top WHERE top.query_id = q.id AND sim >= 0.45) AS answered FROM q",
+        "abstention_gate": _W + _G + " SELECT q.id AS query_id, EXISTS (SELECT 1 FROM top WHERE top.query_id = q.id AND top.sim >= 0.45) OR EXISTS (SELECT 1 FROM g3 WHERE g3.query_id = q.id AND g3.sim >= 0.45) AS answered FROM q",
         "concept_centroids": _Q + _C + " SELECT group_id, c.n, pos, round(m.x, 6) AS x FROM m JOIN c USING (group_id)",
         "concept_rank": _Q + _G + " SELECT query_id, group_id, round(sim, 6) AS similarity, rank FROM g3",
         "recruit_members": _W + _G + """, p AS (SELECT g3.query_id, v.id, g3.group_id, g3.sim FROM g3 JOIN v USING (group_id) WHERE g3.sim >= 0.42 AND NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = g3.query_id AND top.id = v.id))
@@ -180,5 +176,5 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, grou
         "bow_search": "WITH a AS (" + signed.format(c=cells.format(id="item_id", t="question", f="eval_items")) + "), b AS (" + signed.format(c=cells.format(id="retrieval_id", t="statement", f="retrieved_items")) + """), an AS (SELECT id, sqrt(sum(value * value)) AS n FROM a GROUP BY id), bn AS (SELECT id, sqrt(sum(value * value)) AS n FROM b GROUP BY id),
 dt AS (SELECT a.id AS item_id, b.id, sum(a.value * b.value) AS d FROM a JOIN b USING (idx) WHERE a.id % 20 = 0 GROUP BY ALL), s AS (SELECT item_id, d.id, coalesce(d / (an.n * bn.n), 0) AS sim FROM dt d JOIN an ON an.id = d.item_id JOIN bn ON bn.id = d.id WHERE an.n > 0 AND bn.n > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, id) AS rank FROM s) SELECT item_id, round(sim, 5) AS similarity, rank FROM r WHERE rank <= 6""",
-        "composite_rank": "WITH r AS (SELECT question_id AS query_id, retrieval_id, similarity, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, retrieval_id) AS rank FROM retrieved_items WHERE question_id % 20 = 0) SELECT * FROM r WHERE rank <= 6 AND similarity >= 0.35",
+        "composite_rank": "WITH r AS (SELECT question_id AS query_id, retrieval_id, similarity, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, retrieval_id) AS rank FROM retrieved_items) SELECT * FROM r WHERE rank <= 6 AND similarity >= 0.35",
     }

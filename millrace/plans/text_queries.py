@@ -139,8 +139,8 @@ def upsert_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delete_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors left after the deletions, per model."""
-    gone = load(spark, d, "entry_deletions").select("entry_id")
+    """Vectors left after the deletions, per model; what was filed again isn't gone."""
+    gone = load(spark, d, "entry_deletions").select("entry_id").join(load(spark, d, "entries").select("entry_id"), "entry_id", "left_anti")
     return deleted(load(spark, d, "item_vectors").distinct(), gone).groupBy("embedding_model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entry_id").alias("n_entries"))
 
 
@@ -198,14 +198,14 @@ c AS (SELECT entry_id, regexp_replace(CASE WHEN length(r.ts) = 5 THEN '00:' || r
         "entity_listing": "WITH i AS (SELECT entry_id, unnest(knowledge_items) AS i FROM entries), m AS (SELECT entry_id, unnest(i.entity_mentions) AS m FROM i) SELECT m.kind AS kind, lower(m.name) AS name, count(*) AS n_mentions, count(DISTINCT entry_id) AS n_entries FROM m GROUP BY ALL",
         "source_urls": r"""WITH u AS (SELECT DISTINCT source_url FROM jobs WHERE source_url IS NOT NULL), x AS (SELECT source_url, regexp_matches(source_url, '^https?://(www\.)?video\.example(/|$)') AS allowed, nullif(regexp_extract(source_url, '[?&]v=([^&#]*)', 1), '') AS video_id FROM u)
 SELECT source_url, allowed, video_id, CASE WHEN allowed THEN 'https://www.youtube.com/watch?v=' || video_id END AS watch_url FROM x""",
-        "upload_titles": r"""WITH u AS (SELECT DISTINCT payload, title FROM jobs WHERE kind <> 'youtube'), f AS (SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(trim(payload), '([^/]*)$', 1), '(?i)\.(txt|md|markdown|text|srt|vtt)$', ''), '[_\s]+', ' ', 'g'), ' -_.,'), ''), 'Pasted transcript') AS t FROM u)
+        "upload_titles": r"""WITH u AS (SELECT DISTINCT payload, title FROM jobs WHERE kind <> 'youtube'), f AS (SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(payload), '([^/]*)$', 1), '(?i)\.(txt|md|markdown|text|srt|vtt)$', ''), '\[[^\]]*\]|\([^)]*\)|\{[^}]*\}', ' ', 'g'), '[-_.\s]+', ' ', 'g'), ' -_.,'), ''), 'Pasted transcript') AS t FROM u)
 SELECT payload, t AS file_title, coalesce(nullif(trim(title), ''), t) AS shown FROM f""",
         "job_latest": "WITH " + _JOBS + " SELECT job_id, status, kind, strftime(seen AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_seen FROM l",
         "phase_minutes": "WITH x AS (SELECT DISTINCT job_id, current_phase, date_diff('microsecond', " + _UTC.format("created_at") + ", " + _UTC.format("updated_at") + ") / 60000000.0 AS m FROM jobs WHERE current_phase IS NOT NULL) SELECT current_phase, count(*) AS n, round(avg(m), 3) AS mean_minutes, round(max(m), 3) AS max_minutes FROM x GROUP BY current_phase",
         "expired_leases": "WITH " + _JOBS + ", e AS (SELECT job_id, status, coalesce(" + _UTC.format("lease_expires_at") + " < '2025-06-30T00:00:00Z'::TIMESTAMPTZ, false) AS lease_over, coalesce(" + _UTC.format("collection_deadline") + " < '2025-06-30T00:00:00Z'::TIMESTAMPTZ, false) AS deadline_over FROM l) SELECT * FROM e WHERE lease_over OR deadline_over",
         "vector_latest": "SELECT entry_id, item_id, arg_max(embedding_model, struct_pack(t := " + _UTC.format("embedded_at") + ", m := embedding_model)) AS embedding_model FROM item_vectors GROUP BY ALL",
         "upsert_vectors": "WITH v AS (SELECT entry_id, item_id, arg_max(embedding_model, struct_pack(t := " + _UTC.format("embedded_at") + ", m := embedding_model)) AS m FROM item_vectors GROUP BY ALL) SELECT CASE WHEN item_id LIKE '%5' THEN 'embed-next' ELSE m END AS embedding_model, count(*) AS n FROM v GROUP BY 1",
-        "delete_entries": "SELECT embedding_model, count(*) AS n, count(DISTINCT entry_id) AS n_entries FROM (SELECT DISTINCT * FROM item_vectors) WHERE entry_id NOT IN (SELECT entry_id FROM entry_deletions) GROUP BY 1",
+        "delete_entries": "SELECT embedding_model, count(*) AS n, count(DISTINCT entry_id) AS n_entries FROM (SELECT DISTINCT * FROM item_vectors) WHERE entry_id NOT IN (SELECT entry_id FROM entry_deletions WHERE entry_id NOT IN (SELECT entry_id FROM entries)) GROUP BY 1",
         "event_states": "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS last_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY user_id",
         "clean_answers": r"SELECT retrieval_id, trim(regexp_replace(regexp_replace(trim(statement) || ' .', '[ \t]+([.,;:!?])', '\1', 'g'), '[ \t]{2,}', ' ', 'g')) AS clean FROM retrieved_items",
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import seams
 from millrace.functions.jsonx import read_items
-from millrace.functions.text import display_title, first_words, front_matter_field, humanize_tag, links_of, normalize_text, sentences, slugify, strip, title_from_filename, topics_capped, without_citations, without_fence, yaml_quoted
+from millrace.functions.text import display_title, first_words, front_matter_field, humanize_tag, links_of, normalize_text, sentences, slugify, strip, title_from_filename, title_key, topics_capped, without_citations, without_fence, yaml_quoted
 from millrace.functions.times import clock, feedback_factor, recency_factor
 from millrace.functions.urls import video_id, watch_url
 from millrace.functions.vectors import bow_embedding, cosine
@@ -32,8 +32,9 @@ def test_text_functions(spark):
     assert text(spark, normalize_text, "  It’s 5-TIMES\n better! ") == "it s 5 times better" and text(spark, normalize_text, None) is None and text(spark, normalize_text, "—") == ""
     assert text(spark, strip, " \u2007a b\u00a0\n") == "a b" and text(spark, strip, None) is None
     assert text(spark, slugify, " Héllo, World -- 2! ") == "h-llo-world-2" and text(spark, slugify, "语") == ""
+    assert text(spark, title_key, " Foo-Bar:  baz! ") == text(spark, title_key, "foo bar BAZ") == "foo bar baz" and text(spark, title_key, "语") == ""
     assert text(spark, humanize_tag, "llm_agents-and ui") == "LLM Agents And UI"
-    assert text(spark, title_from_filename, "/a/b/My_talk [v2] (final).SRT") == "My talk" and text(spark, title_from_filename, "  ") == "Pasted transcript" and text(spark, title_from_filename, None) == "Pasted transcript"
+    assert text(spark, title_from_filename, "/a/b/My_talk [v2] (final).SRT") == "My talk" and text(spark, title_from_filename, "2024-05-01.a_b{draft}.txt") == "2024 05 01 a b" and text(spark, title_from_filename, "  ") == "Pasted transcript" and text(spark, title_from_filename, None) == "Pasted transcript"
     assert one(spark, display_title(F.col("a"), F.col("b")), a=("string", "x.txt"), b=("string", " ")) == "x"
     assert text(spark, lambda c: first_words(c, 2), "one  two three") == "one two" and text(spark, lambda c: first_words(c, 3), "one  two three") == "one  two three"
     assert text(spark, without_fence, "```json\n[1]\n```") == "[1]" and text(spark, without_citations, "So it is [k_01] . And [k_c00_k_02]  so") == "So it is. And so"
@@ -87,12 +88,64 @@ def test_faithfulness_and_backfill(spark):
     assert filled[("a", "k_01")] == ("seg:0", "00:00:01") and filled[("a", "k_02")] == (None, None) and filled[("a", "k_05")] == ("seg:0", "09:09:09") and len(filled) == 6
 
 
+def test_quotes_over_many_lines_and_lines_without_a_number(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(50)]
+    lines = [" ".join(rng.choices(words, k=rng.choice([0, 0, 1, 3]))) for _ in range(300)]
+    numbers = sorted(rng.sample(range(5_000), 280))
+    segments = [(1_000 + i, "a", line or None, f"seg:{numbers[i]}" if i < 280 else rng.choice([None, "intro"]), None) for i, line in enumerate(lines)]
+    full = " ".join(" ".join(lines).split())
+    quotes = []
+    for _ in range(60):
+        text = full.split()
+        at, n = rng.randrange(len(text)), rng.choice([1, 3, 4, 9, 150])
+        quotes.append(" ".join(text[at : at + n]))
+        quotes.append(" ".join([*text[at : at + n - 1], rng.choice(words)]))
+    items = spark.createDataFrame([item("a", i, "s", q) for i, q in enumerate(quotes)], ITEM)
+    df = spark.createDataFrame(rng.sample(segments, len(segments)), SEG)
+    for size in (4_096, 7):
+        monkeypatch.setattr(I, "SECTION_LINES", size)
+        got = {r["item_id"]: r["faithful"] for r in I.faithful(items, df).collect()}
+        assert got == {f"k_{i:02d}": q in full for i, q in enumerate(quotes)} and {True, False} == set(got.values())
+    assert I.transcript_sizes(df).first()["n_words"] == len(full.split())
+    last = spark.createDataFrame([item("a", 1, "s", lines[290] or lines[291] or lines[292] or "none")], ITEM)
+    assert I.backfilled(last, df.filter("segment_id >= 1280")).first()["no"] is None
+
+
 def test_merging_repeats(spark):
-    rows = [item("b", 1, "Same thing!", gotchas=["x", "z"], mentions=[("T", "tool")]), item("a", 2, "same   thing", gotchas=["y", "x"], rationale=None, mentions=[("T", "tool"), ("P", "person")]), item("a", 3, "SAME THING", rationale="why"), item("c", 1, "other")]
-    got = {r["key"]: r for r in I.merged_repeats(spark.createDataFrame(rows, ITEM)).collect()}
-    m = got["same thing"]
-    assert (m["entry_id"], m["item_id"], m["rationale"], m["gotchas"], m["mentions"], m["n"]) == ("a", "k_02", "why", ["y", "x", "z"], ["tool:T", "person:P"], 3)
-    assert got["other"]["gotchas"] == [] and I.merged_repeats(spark.createDataFrame([], ITEM)).count() == 0
+    rows = [item("b", 1, "Same thing!", gotchas=["x", "z"], mentions=[("T", "tool")]), item("a", 2, "same   thing", gotchas=["y", "x"], rationale=None, mentions=[("T", "tool"), ("P", "person")]), item("a", 3, "SAME THING", rationale="why", gotchas=["z"]), item("c", 1, "other"), item("c", 2, None), item("c", 3, "")]
+    got = {(r["entry_id"], r["key"]): r for r in I.merged_repeats(spark.createDataFrame(rows, ITEM)).collect()}
+    m = got["a", "same thing"]
+    assert (m["item_id"], m["rationale"], m["gotchas"], m["mentions"], m["n"]) == ("k_02", "why", ["y", "x", "z"], ["tool:T", "person:P"], 2)
+    assert got["b", "same thing"]["n"] == 1  # another entry says it for itself
+    assert got["c", "other"]["gotchas"] == [] and got["c", ""]["n"] == 2 and I.merged_repeats(spark.createDataFrame([], ITEM)).count() == 0
+    leaders = spark.createDataFrame([("a", 2, 2), ("a", 3, 2), ("b", 1, 1)], "entry_id string, pos int, leader long")
+    fold = {(r["entry_id"], r["leader"]): r for r in I.merged_restatements(spark.createDataFrame(rows, ITEM), leaders).collect()}
+    assert fold["a", 2]["gotchas"] == ["y", "x", "z"] and fold["a", 2]["rationale"] == "why" and fold["b", 1]["n"] == 1
+
+
+def test_mentions_in_order_however_many(spark):
+    schema = "entry_id string, pos int, item_id string, entity_mentions array<struct<name:string,kind:string,quote:string>>"
+    rows = [("e", 1, "k1", [(f"n{i}", "tool", "q") for i in range(1_500)]), ("e", 2, "k2", [("n0", "tool", " ".join("abcdefghijklmnopqrst")), ("x", "place", "q"), (" ", "tool", "q"), ("y", "tool", " ")])]
+    found = K.entity_mentions(spark.createDataFrame(rows, schema)).orderBy("pos").collect()
+    assert [r["name"] for r in found] == [f"n{i}" for i in range(1_500)] + ["n0"] and found[-1]["quote"] == "a b c d e f g h i j k l m n"
+
+
+def test_sharing_tags_against_brute_force_with_a_hot_tag(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"e{i:03d}", ["hot"] * (i % 3 > 0) + rng.sample([f"t{k}" for k in range(30)], rng.randrange(4)), datetime(2024, 1, 1 + rng.randrange(28))) for i in range(300)] + [("n", None, None)]
+    df = spark.createDataFrame(rows, "entry_id string, tags array<string>, created timestamp")
+    got = sorted((r["query_id"], r["rank"], r["entry_id"], r["shared"]) for r in K.sharing_tags(df.filter("entry_id like '%0'"), df).collect())
+    want = []
+    for q, tags, _ in rows:
+        if q.endswith("0"):
+            near = sorted((-c.timestamp(), e, len(set(tags) & set(t))) for e, t, c in rows if e != q and t and set(tags) & set(t))
+            want += [(q, n, e, k) for n, (_, e, k) in enumerate(near[:3], 1)]
+    assert got == sorted(want)
 
 
 def test_fuzzy_leaders_against_the_greedy_rule(spark):
@@ -174,10 +227,34 @@ def test_gate_groups_and_recruits(spark):
     assert [(r["group_id"], r["vector"], r["n"]) for r in c] == [(1, [2.0, 4.0], 2)]
 
 
+def test_candidates_against_brute_force_among_many_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    groups = [(g, rng.normal(size=4).tolist() if g % 50 else None, " ".join(rng.choice(words, 3)) if g % 7 else None) for g in range(1_300)]
+    queries = [(q, rng.normal(size=4).tolist(), f"{rng.choice(words).upper()}, the" if q % 5 else "") for q in range(20)]
+    cos = lambda a, b: 0.0 if b is None else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = []
+    for q, v, t in queries:
+        scored = sorted((-cos(v, u), g) for g, u, _ in groups)
+        own = set(t.lower().replace(",", "").split())
+        pool = {g for s, g in scored if -s >= 0.9} & {g for _, g in scored[:3]} | {g for g, _, d in groups if own & set((d or "").split())}
+        want += [(q, g, n) for n, (_, g) in enumerate([x for x in scored if x[1] in pool][:5], 1)]
+    found = K.candidates(spark.createDataFrame(queries, "id long, vector array<double>, text string"), spark.createDataFrame(groups, "group_id long, vector array<double>, text string").repartition(5), 0.9, 3, 5)
+    assert sorted((r["query_id"], r["group_id"], r["rank"]) for r in found.collect()) == sorted(want) and len(want) > 60
+
+
+def test_searches_within_a_kind(spark):
+    rows = [(i, [1.0, i / 10], i % 3 if i % 8 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, kind int").repartition(4)
+    got = S.top_k(df.filter("id < 12"), df, 3).collect()
+    kind = {i: k for i, _, k in rows}
+    assert all(kind[r["query_id"]] is not None and kind[r["query_id"]] == kind[r["id"]] and r["id"] != r["query_id"] for r in got)
+    assert {r["query_id"] for r in got} == {i for i in range(12) if kind[i] is not None} and len(got) == 30
+
+
 def test_candidates_edges_and_decisions(spark):
-    similar = spark.createDataFrame([(1, g, s) for g, s in ((1, 0.9), (2, 0.6), (3, 0.2), (4, 0.58))], "query_id long, group_id long, similarity double")
-    over = K.token_overlap(spark.createDataFrame([(1, "Bread, baking")], "query_id long, text string"), spark.createDataFrame([(3, "the bread"), (4, "milk")], "group_id long, text string"))
-    assert [r["group_id"] for r in K.candidates(similar, over, pool=2, most=3).orderBy("rank").collect()] == [1, 2, 3]
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, None)], "group_id long, vector array<double>")
     assert sorted((r["source"], r["target"]) for r in K.group_edges(v, 0.5).collect()) == [(1, 2), (2, 1)]
     answers = spark.createDataFrame([("a", 1, "Match", 5, None), ("a", 2, "new", None, "x"), ("b", 1, "match", 6, None), ("c", 1, "maybe", 5, None), ("d", 1, "new", None, "T")], "item_key string, seq int, action string, group_id long, title string")
