@@ -10,8 +10,12 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from millrace.plans.session import written
 
 # Letters of other scripts and the Latin letter each looks like.
 LOOK_ALIKES = {
@@ -19,14 +23,19 @@ LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
     "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "h", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d",
-    "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
+    "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l", "г": "r", "ь": "b", "Ь": "b", "ѡ": "w",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "α": "a", "γ": "y", "ι": "i", "ρ": "p", "σ": "o", "υ": "u", "ϱ": "p", "ϙ": "q", "Ϝ": "F",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G",
+    "Ꮒ": "h", "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
     # Armenian, Latin and letter-like
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Ս": "U", "ɑ": "a", "ɡ": "g", "ı": "i", "ℓ": "l",
     # Dashes that look like the hyphen-minus, and marks written with another code point
-    "‐": "-", "‑": "-", "ʼ": "’", ";": ";", "·": "·",
+    "‐": "-", "‑": "-", "‒": "-", "ʼ": "’", ";": ";", "·": "·",
 }
 
 
@@ -65,8 +74,17 @@ def skeleton(text: str | None) -> str | None:
     """
     if text is None or text.isascii():
         return text
-    text = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize("NFD", text.translate(_table()))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_table()))
+
+
+@F.arrow_udf(StringType())
+def _skeletons(texts: pa.Array) -> pa.Array:
+    return pa.array([skeleton(t) for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def _ascii(text: Column) -> Column:
@@ -79,9 +97,8 @@ def with_skeleton(df: DataFrame, text_col: str, skeleton_col: str = "skeleton")
     Texts of ASCII characters only are their own skeletons and don't leave the JVM. All other columns stay, one named
     like ``skeleton_col`` is replaced. Null gives null.
     """
-    made = F.udf(skeleton, "string", useArrow=True)
     text = F.col(f"`{text_col}`")
-    return df.withColumn(skeleton_col, F.when(_ascii(text), text).otherwise(made(F.when(~_ascii(text), text))))
+    return df.withColumn(skeleton_col, F.when(_ascii(text), text).otherwise(_skeletons(F.when(~_ascii(text), text))))
 
 
 def look_alike_pairs(rows: DataFrame) -> DataFrame:
@@ -92,7 +109,8 @@ def look_alike_pairs(rows: DataFrame) -> DataFrame:
     texts are joined, on two independent 64-bit hashes of the skeleton, so copies of one text meet nobody; within a
     group the join is on the group and a salt of the left row's id, which spreads a hot group over many tasks.
     """
-    keyed = (
+    # The hashes are written, so that texts are scanned and skeletons made once.
+    keyed = written(
         with_skeleton(rows.select("table_name", "id", "text").filter("text is not null"), "text")
         .select("table_name", "id", F.xxhash64("skeleton").alias("k1"), F.xxhash64("skeleton", F.lit(7)).alias("k2"), F.xxhash64("text", F.lit(3)).alias("t"))
     )
@@ -108,7 +126,6 @@ def look_alike_pairs(rows: DataFrame) -> DataFrame:
 
 def canonical_form(rows: DataFrame) -> DataFrame:
     """(table_name, id, text, canonical, changed): each text in its one consistent form, the composed skeleton."""
-    compose = F.udf(lambda x: None if x is None else unicodedata.normalize("NFC", x), "string", useArrow=True)
     made = with_skeleton(rows.select("table_name", "id", "text"), "text", "_s")
-    canonical = F.when(_ascii(F.col("_s")), F.col("_s")).otherwise(compose(F.when(~_ascii(F.col("_s")), F.col("_s"))))
+    canonical = F.when(_ascii(F.col("_s")), F.col("_s")).otherwise(_composed(F.when(~_ascii(F.col("_s")), F.col("_s"))))
     return made.select("table_name", "id", "text", canonical.alias("canonical")).withColumn("changed", ~F.col("text").eqNullSafe(F.col("canonical")))

@@ -17,6 +17,8 @@ def pairs(spark, rows):
 def test_same_to_a_reader():
     for other in ("ｃａｆé 12", "café 12", "cаfé 12", "caf​é 12", "café 12", "café １２", "ca­fé 12", "café‎ 12"):
         assert skeleton(other) == skeleton("café 12"), other
+    for other, text in (("ραιυ", "paiu"), ("гьѡ", "rbw"), ("ᎪᏴᎻᎡ", "ABHR"), ("a‒b", "a-b")):
+        assert skeleton(other) == text, other
     assert skeleton("ﬁnd oﬀ") == skeleton("find off") and skeleton("part‑time") == "part-time" and skeleton("ﬆ") == "st"
 
 
@@ -59,6 +61,7 @@ def test_edges(spark):
     assert pairs(spark, []) == []
     assert pairs(spark, [("a", 1, None), ("a", 2, None), ("a", 3, ""), ("a", 4, "​"), ("a", 5, ""), ("b", 6, "​")]) == [("a", 3, 4), ("a", 4, 5)]
     assert pairs(spark, [("a", 1, "x"), ("a", 1, "x"), ("a", 2, "х"), ("a", 2, "х")]) == [("a", 1, 2)]
+    assert pairs(spark, [("a", 1, "х\x00y"), ("a", 2, "x\x00y"), ("a", 3, "\x00"), ("a", 4, "é"), ("a", 5, "e\u0301")]) == [("a", 1, 2), ("a", 4, 5)]
     long = "word " * 100_000
     assert pairs(spark, [("a", 1, long), ("a", 2, long + "​"), ("a", 3, long)]) == [("a", 1, 2), ("a", 2, 3)]
 
