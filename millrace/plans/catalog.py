@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import canonical_queries, knowledge_queries, page_queries, reference_queries, search_queries, stream_queries, text_queries
+from millrace.plans import canonical_queries, job_queries, knowledge_queries, page_queries, reference_queries, search_queries, stream_queries, text_queries
 
 FLAGSHIP = "p5_found"
-_MODULES = (reference_queries, knowledge_queries, page_queries, search_queries, canonical_queries, text_queries, stream_queries)
+_MODULES = (reference_queries, knowledge_queries, page_queries, search_queries, canonical_queries, job_queries, text_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.functions.jsonx import read_object
+from millrace.operators.jobs import Machine
+
 
 def event_stream(spark: SparkSession, path: str, time_col: str = "ts", **options: str) -> DataFrame:
     """A stream over the Parquet files at a path, with its time as a TIMESTAMP, which watermarks need."""
@@ -80,6 +84,102 @@ def leases(events: DataFrame, seconds: float, late: str = "10 seconds", time_col
     return keyed.groupBy("key").applyInPandasWithState(step, _LEASE_OUT, _LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+_MACHINE_STATE = "state string, since long, seen long"
+_MACHINE_OUT = "key string, ts timestamp, event string, outcome string, state string"
+
+
+def state_machine(events: DataFrame, machine: Machine, late: str = "10 seconds", time_col: str = "ts") -> DataFrame:
+    """Keyed state machines by event time: (key, ts, event, outcome, state), a row for each event and each timeout.
+
+    events: key STRING, event STRING, ts. An event that is legal in its key's state is 'applied'; one that leads to the
+    state the key is already in is 'repeated', any other is 'refused', and both change nothing. A state with a timeout is
+    left by itself ('timeout') when an event of the key comes after its end or the watermark passes it. Events of one
+    batch are taken in order of their time; one that comes later than the state's last event is taken as it comes. State
+    holds one row for each key that isn't cleared, and is dropped with it.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, since, seen = state.get if state.exists else ("", 0, 0)
+        out = []
+
+        def lapse(until: int) -> None:
+            nonlocal now, since
+            while now in machine.timeouts and since + int(machine.timeouts[now][0] * 1_000_000) <= until:
+                since += int(machine.timeouts[now][0] * 1_000_000)
+                now = machine.timeouts[now][1]
+                out.append([key[0], pd.Timestamp(since, unit="us"), None, "timeout", now])
+
+        if state.hasTimedOut:
+            lapse(state.getCurrentWatermarkMs() * 1_000)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event"])
+            for event, ts in zip(rows["event"], rows["ts"]):
+                at = ts.value // 1_000
+                lapse(at)
+                after = machine.events.get(event, {}).get(now)
+                outcome = "applied" if after is not None else "repeated" if now and now in machine.events.get(event, {}).values() else "refused"
+                if after is not None:
+                    now, since = after, at
+                seen = max(seen, at)
+                out.append([key[0], ts, event, outcome, now])
+        if now:
+            state.update((now, since, seen))
+            if now in machine.timeouts:
+                state.setTimeoutTimestamp(max((since + int(machine.timeouts[now][0] * 1_000_000)) // 1_000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "event", "outcome", "state"])
+
+    keyed = events.withWatermark(time_col, late).select("key", "event", F.col(time_col).alias("ts"))
+    return keyed.groupBy("key").applyInPandasWithState(step, _MACHINE_OUT, _MACHINE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+_ANSWER_STATE = "parts array<string>, cleared boolean"
+_ANSWER_OUT = "question_id string, seq int, kind string, text string"
+
+
+def answer_events(chunks: DataFrame, late: str = "10 minutes", time_col: str = "ts") -> DataFrame:
+    """Answers as they may be shown: (question_id, seq, kind, text).
+
+    chunks: question_id STRING, ts, n INT, kind STRING ('chunk', 'end' or 'error'), text, cleared BOOLEAN (whether any
+    note cleared the gate). Chunks are held back until the answer's end, since they are parts of a structured text that
+    isn't to be seen: then its "answer" is a 'delta' (seq 0), followed by the 'final' text as it was (seq 1). An error discards what is
+    held and is given out alone; where nothing cleared the gate there is an 'abstain' and no answer. Of an answer that
+    isn't structured the whole text is the answer.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts, cleared = state.get if state.exists else ([], True)
+        parts, out = list(parts), []
+        for r in pd.concat(list(batches)).sort_values(["ts", "n"]).to_dict("records"):
+            if r["kind"] == "chunk":
+                parts.append(r["text"] or "")
+                cleared = bool(cleared) and bool(r["cleared"])
+                continue
+            if r["kind"] == "error":
+                out.append((key[0], 0, "error", r["text"]))
+            elif not (cleared and r["cleared"]):
+                out.append((key[0], 0, "abstain", None))
+            else:
+                whole = "".join(parts)
+                value = json.loads(read_object(whole) or "{}").get("answer")
+                answer = value if isinstance(value, str) else whole
+                if answer:
+                    out.append((key[0], 0, "delta", answer))
+                out.append((key[0], 1, "final", whole))
+            parts, cleared = [], True
+        if parts:
+            state.update((parts, cleared))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["question_id", "seq", "kind", "text"])
+
+    keyed = chunks.withWatermark(time_col, late).select("question_id", F.col(time_col).alias("ts"), "n", "kind", "text", "cleared")
+    return keyed.groupBy("question_id").applyInPandasWithState(step, _ANSWER_OUT, _ANSWER_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_end(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream over everything that is there now, into a table in the shared checkpoint folder, and read that."""
     from millrace.plans.session import shared_folder
