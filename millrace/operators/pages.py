@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import front_matter, front_matter_field, links_of, slugify, strip, with_references, yaml_list, yaml_quoted
+from millrace.functions.text import front_matter_field, links_of, slugify, strip, with_references, yaml_list, yaml_quoted
+from millrace.plans.session import written
 
 
 def entry_slugs(entries: DataFrame) -> DataFrame:
@@ -60,48 +61,112 @@ def lint(pages: DataFrame, listed: DataFrame) -> DataFrame:
     or cited sources don't exist or don't agree; E7 and E11 a link between concept or entity and source without one
     back; E8 and E12 a concept or entity that nothing links to.
     """
-    p = pages.select("dir", "slug", "body", F.concat_ws("/", "dir", "slug").alias("page"))
-    field = lambda name: front_matter_field(F.col("body"), name)
+    def field(name: str) -> Column:
+        return front_matter_field(F.col("body"), name)
+
+    def under(heading: str, directory: str) -> Column:
+        after = F.when(F.contains("body", F.lit(heading)), F.substring(F.col("body"), F.instr("body", heading), F.length("body"))).otherwise("")
+        paths = F.filter(links_of(after), lambda x: x.contains(f"{directory}/") & x.endswith(".md"))
+        return F.array_distinct(F.transform(paths, lambda x: F.regexp_extract(x, rf"{directory}/([^/]+)\.md$", 1)))
+
+    videos = F.filter(F.split(F.regexp_replace(F.coalesce(field("videos"), F.lit("")), r"^\[|\]$", ""), r"\s*,\s*"), lambda v: v != "")
+    # What the findings are made of is read out of the pages once; their texts aren't read again.
+    p = written(pages.select(
+        "dir", "slug", F.concat_ws("/", "dir", "slug").alias("page"), field("type").alias("type"), F.when(F.col("dir") != "raw", links_of(F.col("body"))).alias("links"),
+        *(F.when(F.col("dir").isin("concepts", "entities"), x).alias(n) for x, n in ((videos, "videos"), (under("## Sources", "sources"), "cites"))),
+        *(F.when(F.col("dir") == "sources", under(f"## {n.capitalize()} covered", n)).alias(n) for n in ("concepts", "entities")),
+    ))
     out = lambda df, code, detail=None: df.select(F.lit(code).alias("code"), "page", (F.lit("") if detail is None else detail).alias("detail"))
-    found = out(p.filter(field("type").isNull()), "E1")
-    link = p.select("dir", "slug", "page", "body", F.explode(links_of(F.col("body"))).alias("link"))
+    found = out(p.filter("type is null"), "E1")
+    link = p.select("dir", "page", F.explode("links").alias("link"))
     resolved = F.regexp_replace(F.when(F.col("link").startswith("../"), F.substring("link", 4, 1_000_000)).otherwise(F.concat_ws("/", "dir", "link")), r"\.md$", "")
-    link = link.withColumn("target", resolved)
-    names = p.select(F.col("page").alias("target"))
-    to_page = link.filter(~F.col("link").endswith("index.md"))
-    found = found.unionAll(out(to_page.join(names, "target", "left_anti"), "E2", F.col("link")))
-    for directory, code in (("sources", "E3"), ("concepts", "E5"), ("entities", "E9")):
-        found = found.unionAll(out(p.filter(F.col("dir") == directory).join(listed.filter(F.col("dir") == directory).select("slug"), "slug", "left_anti"), code))
-    sides = p.filter("dir = 'sources'").select("slug", F.lit(1).alias("s")).join(p.filter("dir = 'raw'").select("slug", F.lit(1).alias("r")), "slug", "full")
-    found = found.unionAll(out(sides.filter("s is null or r is null").withColumn("page", F.when(F.col("s").isNull(), F.concat(F.lit("raw/"), "slug")).otherwise(F.concat(F.lit("sources/"), "slug"))), "E4"))
-    sections = {"concepts": "## Concepts covered", "entities": "## Entities covered"}
+    to_page = link.withColumn("target", resolved).filter(~F.col("link").endswith("index.md"))
+    found = found.unionAll(out(to_page.join(p.select(F.col("page").alias("target")), "target", "left_anti"), "E2", F.col("link")))
+    code = F.create_map(*(F.lit(x) for pair in (("sources", "E3"), ("concepts", "E5"), ("entities", "E9")) for x in pair))
+    unlisted = p.filter(F.col("dir") != "raw").join(listed.select("dir", "slug"), ["dir", "slug"], "left_anti")
+    found = found.unionAll(unlisted.select(F.element_at(code, F.col("dir")).alias("code"), "page", F.lit("").alias("detail")))
+    sides = p.filter("dir in ('sources', 'raw')").groupBy("slug").agg(F.max("page").alias("page"), F.countDistinct("dir").alias("n"))
+    found = found.unionAll(out(sides.filter("n = 1"), "E4"))
+    sources = p.filter("dir = 'sources'")
     for directory, kind, codes in (("concepts", "concept", ("E5b", "E6", "E7", "E8")), ("entities", "entity", ("E9b", "E10", "E11", "E12"))):
         own = p.filter(F.col("dir") == directory)
-        found = found.unionAll(out(own.filter(F.coalesce(field("type"), F.lit("")) != kind), codes[0]))
-        videos = own.select("page", "slug", F.explode(F.filter(F.split(F.regexp_replace(F.coalesce(field("videos"), F.lit("")), r"^\[|\]$", ""), r"\s*,\s*"), lambda v: v != "")).alias("video"))
-        sources = p.filter("dir = 'sources'").select(F.col("slug").alias("video"))
-        found = found.unionAll(out(videos.join(sources, "video", "left_anti"), codes[1], F.concat(F.lit("video "), "video")))
-
-        def under(rows: DataFrame, heading: str, directory: str) -> DataFrame:
-            after = F.when(F.contains("body", F.lit(heading)), F.substring(F.col("body"), F.instr("body", heading), F.length("body"))).otherwise("")
-            paths = F.filter(links_of(after), lambda x: x.contains(f"{directory}/") & x.endswith(".md"))
-            return rows.select("page", "slug", F.explode(F.array_distinct(F.transform(paths, lambda x: F.regexp_extract(x, rf"{directory}/([^/]+)\.md$", 1)))).alias("other"))
-
-        cites = under(own, "## Sources", "sources")
-        agreed = videos.select("page", F.col("video").alias("other"))
-        found = found.unionAll(out(cites.join(agreed, ["page", "other"], "left_anti"), codes[1], F.concat(F.lit("cites "), "other")))
-        back = under(p.filter("dir = 'sources'"), sections[directory], directory)
-        forth = cites.select(F.col("slug").alias("a"), F.col("other").alias("b"))
-        backward = back.select(F.col("other").alias("a"), F.col("slug").alias("b"))
-        one_way = lambda x, y, tag: x.join(y, ["a", "b"], "left_anti").select(F.concat_ws("/", F.lit(directory), "a").alias("page"), F.concat(F.lit(tag), "b").alias("detail"))
-        for rows in (one_way(forth, backward, "no link back from "), one_way(backward, forth, "doesn't cite back ")):
-            found = found.unionAll(rows.select(F.lit(codes[2]).alias("code"), "page", "detail"))
-        peers = link.filter((F.col("dir") == directory) & F.col("target").startswith(directory + "/")).select(F.col("target").alias("page"))
-        inbound = back.select(F.concat_ws("/", F.lit(directory), "other").alias("page")).unionAll(peers)
-        found = found.unionAll(out(own.join(inbound.distinct(), "page", "left_anti"), codes[3]))
+        found = found.unionAll(out(own.filter(F.coalesce("type", F.lit("")) != kind), codes[0]))
+        video = own.select("page", F.explode("videos").alias("video"))
+        found = found.unionAll(out(video.join(sources.select(F.col("slug").alias("video")), "video", "left_anti"), codes[1], F.concat(F.lit("video "), "video")))
+        cites = own.select("page", F.explode(F.array_except("cites", "videos")).alias("other"))
+        found = found.unionAll(out(cites, codes[1], F.concat(F.lit("cites "), "other")))
+        # Links from here to a source and back, met in one aggregation.
+        forth = own.select(F.col("slug").alias("a"), F.explode("cites").alias("b"), F.lit(1).alias("side"))
+        back = sources.select(F.explode(directory).alias("a"), F.col("slug").alias("b"), F.lit(2).alias("side"))
+        one_way = forth.unionAll(back).groupBy("a", "b").agg(F.min("side").alias("side"), F.max("side").alias("other")).filter("side = other")
+        detail = F.concat(F.when(F.col("side") == 1, "no link back from ").otherwise("doesn't cite back "), "b")
+        found = found.unionAll(one_way.select(F.lit(codes[2]).alias("code"), F.concat_ws("/", F.lit(directory), "a").alias("page"), detail.alias("detail")))
+        peers = to_page.filter((F.col("dir") == directory) & F.col("target").startswith(directory + "/")).select(F.col("target").alias("page"))
+        inbound = back.select(F.concat_ws("/", F.lit(directory), "a").alias("page")).unionAll(peers)
+        found = found.unionAll(out(own.join(inbound, "page", "left_anti"), codes[3]))
     return found.distinct()
 
 
+def group_pages(members: DataFrame, directory: str) -> DataFrame:
+    """(dir, slug, body): a page for each concept or entity with its sources. members: slug, title, type, source (slug of
+    a source page), quote (or null), listed BOOLEAN (whether the page cites the source or only names it). A null type
+    gives a page without one."""
+    line = F.when(F.col("listed"), F.concat(F.lit("- ["), "source", F.lit("](../sources/"), "source", F.lit(".md)"), F.coalesce(F.concat(F.lit(': "'), "quote", F.lit('"')), F.lit(""))))
+    each = members.groupBy("slug", "source").agg(F.min("title").alias("title"), F.min("type").alias("type"), F.min(line).alias("line"))
+    of = each.groupBy("slug").agg(F.min("title").alias("title"), F.min("type").alias("type"), F.array_sort(F.collect_list(F.struct("source", "line"))).alias("l"))
+    body = F.concat(
+        F.lit("---\n"), F.coalesce(F.concat(F.lit("type: "), "type", F.lit("\n")), F.lit("")), F.lit("title: "), yaml_quoted(F.col("title")), F.lit("\nvideos: "), yaml_list(F.transform("l", lambda x: x["source"])),
+        F.lit("\n---\n\n# "), "title", F.lit("\n\n## Sources\n\n"), F.array_join(F.transform(F.filter("l", lambda x: x["line"].isNotNull()), lambda x: x["line"]), "\n"), F.lit("\n"),
+    )
+    return of.select(F.lit(directory).alias("dir"), "slug", body.alias("body"))
+
+
+def with_backlinks(sources: DataFrame, covered: DataFrame) -> DataFrame:
+    """Source pages with the concepts and entities that they cover. covered: slug (of the source), dir, target."""
+    line = F.concat(F.lit("- ["), "target", F.lit("](../"), "dir", F.lit("/"), "target", F.lit(".md)"))
+    lines = lambda d: F.array_join(F.array_sort(F.collect_list(F.when(F.col("dir") == d, line))), "\n")
+    each = covered.select("slug", "dir", "target").distinct().groupBy("slug").agg(lines("concepts").alias("c"), lines("entities").alias("e"))
+    section = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n## {name} covered\n\n"), F.col(c), F.lit("\n"))).otherwise("")
+    return sources.join(each, "slug", "left").select("dir", "slug", F.concat("body", section("Concepts", "c"), section("Entities", "e")).alias("body"))
+
+
+def raw_heads(slugs: DataFrame) -> DataFrame:
+    """(dir, slug, body): the head of each raw transcript page; its lines are rows of their own, however many."""
+    return slugs.select(F.lit("raw").alias("dir"), "slug", F.concat(F.lit("---\ntype: raw-transcript\n---\n\n# "), "slug", F.lit("\n\n## Transcript\n")).alias("body"))
+
+
+def without_pages(pages: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pages without the given ones (dir, slug); what isn't there can be named."""
+    return pages.join(gone.select("dir", "slug").distinct(), ["dir", "slug"], "left_anti")
+
+
+def bundle_index(pages: DataFrame) -> DataFrame:
+    """(dir, nth, line): the index of each directory as lines: sources in order of slug, concepts and entities of their
+    lower-cased title, then slug; and of the root ('') one line for each directory with its number of pages. Raw pages
+    are in no index."""
+    title = F.coalesce(front_matter_field(F.col("body"), "title"), F.col("slug"))
+    rows = pages.filter("dir <> 'raw'").select("dir", "slug", title.alias("title"))
+    key = F.struct(F.when(F.col("dir") == "sources", F.col("slug")).otherwise(F.lower("title")), "slug")
+    ordered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("dir").orderBy(key))).select("dir", "nth", F.concat(F.lit("- ["), "title", F.lit("]("), "slug", F.lit(".md)")).alias("line"))
+    sizes = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+    root = sizes.withColumn("nth", F.row_number().over(Window.orderBy("dir"))).select(F.lit("").alias("dir"), "nth", F.concat(F.lit("- ["), "dir", F.lit("]("), "dir", F.lit("/index.md) ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    return ordered.unionAll(root)
+
+
+def note_markdown(parts: DataFrame, titles: DataFrame) -> DataFrame:
+    """(entry_id, body): each entry's note as a teaching note: title, takeaway and one list for each section that has
+    parts. parts: entry_id, section, pos, text; titles: entry_id, title."""
+    heads = {"core_takeaway": "Core takeaway", "key_points": "Key points", "why_it_matters": "Why it matters", "how_to_apply": "How to apply", "caveats": "Caveats", "review_questions": "Review questions"}
+    rank = F.create_map(*(x for i, name in enumerate(heads) for x in (F.lit(name), F.lit(i))))
+    head = F.create_map(*(F.lit(x) for pair in heads.items() for x in pair))
+    line = F.when(F.col("section") == "core_takeaway", strip(F.col("text"))).otherwise(F.concat(F.lit("- "), strip(F.col("text"))))
+    rows = parts.filter(F.coalesce(strip(F.col("text")), F.lit("")) != "").select("entry_id", "section", F.element_at(rank, F.col("section")).alias("r"), "pos", line.alias("line"))
+    section = rows.groupBy("entry_id", "section", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    block = F.concat(F.lit("## "), F.element_at(head, F.col("section")), F.lit("\n\n"), "lines")
+    blocks = section.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+    return titles.join(blocks, "entry_id").select("entry_id", F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n"), F.array_join("blocks", "\n\n"), F.lit("\n")).alias("body"))
+
+
 def parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys of one side only; repeats count once and nulls are left out."""
     a = left.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("a", F.lit(1))

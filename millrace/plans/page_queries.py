@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.errors import error_class, error_line
+from millrace.functions.text import slugify
 from millrace.functions.times import utc_timestamp
 from millrace.operators import items as I  # noqa: N812
 from millrace.operators import knowledge as K  # noqa: N812
@@ -124,6 +125,51 @@ def entity_pages(spark: SparkSession, d: str) -> DataFrame:
     return each.select("kind", "key", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("body"))
 
 
+def _bundle(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, listed) of all directories, as tables that don't agree give them.
+
+    Concepts are the topics of the index, whose rows may be stale, and sources cover the topics of their entry. A topic
+    of two words has no type, one that starts with a vowel another; organizations have another type than entities;
+    persons name a source that isn't there, and sources don't cover them. Listed are topics of several entries and what
+    isn't a tool.
+    """
+    entries = load(spark, d, "entries")
+    slugs = P.entry_slugs(entries)
+    index = load(spark, d, "entry_index").select("entry_id", F.explode("topics").alias("topic")).distinct().join(slugs, "entry_id", "left")
+    kind = F.when(F.contains("topic", F.lit("-")), F.lit(None)).when(F.col("topic").rlike("^[aeiou]"), "topic").otherwise("concept")
+    concepts = index.select(F.col("topic").alias("slug"), F.col("topic").alias("title"), kind.alias("type"), F.coalesce("slug", "entry_id").alias("source"), F.lit(None).cast("string").alias("quote"), F.lit(True).alias("listed"))
+    named = first_quotes(spark, d).join(slugs, "entry_id").select(slugify(F.concat_ws(" ", "kind", "key")).alias("target"), F.col("key").alias("title"), "kind", "slug", "quote")
+    entity = F.when(F.col("kind") == "organization", "organization").otherwise("entity")
+    entities = named.select(F.col("target").alias("slug"), "title", entity.alias("type"), F.col("slug").alias("source"), "quote", F.lit(True).alias("listed"))
+    stray = named.filter("kind = 'person'").select("target", "title", F.lit("entity"), F.lit("gone-source"), F.lit(None).cast("string"), F.lit(False)).distinct()
+    covered = entries.select("entry_id", F.explode("tags.topics").alias("target")).join(slugs, "entry_id").select("slug", F.lit("concepts").alias("dir"), "target").unionAll(named.filter("kind <> 'person'").select("slug", F.lit("entities"), "target"))
+    raw = slugs.join(load(spark, d, "segments").select("entry_id").distinct(), "entry_id", "left_semi")
+    pages = P.with_backlinks(P.source_pages(entries), covered).unionAll(P.group_pages(concepts, "concepts")).unionAll(P.group_pages(entities.unionAll(stray), "entities")).unionAll(P.raw_heads(raw))
+    listed = load(spark, d, "entry_index").select("entry_id").distinct().join(slugs, "entry_id").select(F.lit("sources").alias("dir"), "slug")
+    listed = listed.unionAll(index.groupBy("topic").agg(F.countDistinct("entry_id").alias("n")).filter("n > 1").select(F.lit("concepts"), "topic")).unionAll(named.filter("kind <> 'tool'").select(F.lit("entities"), "target").distinct())
+    return pages, listed
+
+
+def bundle_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All pages without those of deleted entries: their number and length by directory."""
+    gone = load(spark, d, "entry_deletions").select("entry_id").join(P.entry_slugs(load(spark, d, "entries")), "entry_id").select(F.explode(F.array(F.lit("sources"), F.lit("raw"))).alias("dir"), "slug")
+    left = P.without_pages(_bundle(spark, d)[0], gone)
+    return left.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bundle_lint(spark: SparkSession, d: str) -> DataFrame:
+    return P.lint(*_bundle(spark, d))
+
+
+def bundle_index(spark: SparkSession, d: str) -> DataFrame:
+    return P.bundle_index(_bundle(spark, d)[0]).withColumn("nth", F.col("nth").cast("long"))
+
+
+def teaching_notes(spark: SparkSession, d: str) -> DataFrame:
+    entries = load(spark, d, "entries")
+    return P.note_markdown(K.note_parts(entries), entries.select("entry_id", F.col("distilled_note.title").alias("title")).distinct())
+
+
 _UTC = r"CASE WHEN regexp_matches({0}, '(Z|[+-]\d{{2}}:\d{{2}})$') THEN {0} ELSE {0} || 'Z' END::TIMESTAMPTZ"
 _M = """WITH it AS (SELECT entry_id, generate_subscripts(knowledge_items, 1) - 1 AS ip, unnest(knowledge_items) AS i FROM (SELECT DISTINCT entry_id, knowledge_items FROM entries)),
 m0 AS (SELECT entry_id, i.item_id AS item_id, i.statement AS statement, struct_pack(i := ip, m := generate_subscripts(i.entity_mentions, 1) - 1) AS pos, unnest(i.entity_mentions) AS m FROM it),
@@ -133,15 +179,36 @@ _LINES = r"WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1)::
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        first_quotes, entity_evidence, pending_entities, covering_entities, numbered_items, error_classes, summary_floor, reconcile_report, newest_entries, raw_pages_recovered, answer_payloads, user_liveness, entity_pages,
+        first_quotes, entity_evidence, pending_entities, covering_entities, numbered_items, error_classes, summary_floor, reconcile_report, newest_entries, raw_pages_recovered, answer_payloads, user_liveness, entity_pages, bundle_pages, bundle_lint, bundle_index, teaching_notes,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.plans.knowledge_queries import _SLUGS
+    from millrace.plans.knowledge_queries import _PARTS, _SLUGS
 
     quotes = "fq AS (SELECT kind, key, entry_id, arg_min(quote, struct_pack(p := pos, q := quote)) AS quote FROM m GROUP BY ALL)"
+    bundle = _M + ", " + quotes + ", " + _SLUGS + r""", ix AS (SELECT DISTINCT entry_id, unnest(topics) AS t FROM entry_index), cv AS (SELECT DISTINCT t, coalesce(slug, entry_id) AS v, entry_id FROM ix LEFT JOIN sl USING (entry_id)),
+st AS (SELECT DISTINCT slug AS v, t FROM (SELECT entry_id, unnest(tags.topics) AS t FROM entries) JOIN sl USING (entry_id)),
+ev AS (SELECT DISTINCT trim(regexp_replace(lower(kind || ' ' || key), '[^a-z0-9]+', '-', 'g'), '-') AS e, kind, key, slug AS v FROM fq JOIN sl USING (entry_id)), rw AS (SELECT slug FROM sl WHERE entry_id IN (SELECT entry_id FROM segments))"""
     return {
+        "bundle_pages": bundle + """, dl AS (SELECT slug FROM sl WHERE entry_id IN (SELECT entry_id FROM entry_deletions))
+SELECT 'sources' AS dir, count(*) AS n FROM sl WHERE slug NOT IN (SELECT * FROM dl) UNION ALL SELECT 'raw', count(*) FROM rw WHERE slug NOT IN (SELECT * FROM dl) UNION ALL SELECT 'concepts', count(DISTINCT t) FROM cv UNION ALL SELECT 'entities', count(DISTINCT e) FROM ev""",
+        "bundle_lint": bundle + """, typed AS (SELECT DISTINCT t, contains(t, '-') AS none, contains(t, '-') OR left(t, 1) IN ('a', 'e', 'i', 'o', 'u') AS other FROM cv)
+SELECT 'E1' AS code, 'concepts/' || t AS page, '' AS detail FROM typed WHERE none UNION SELECT 'E5b', 'concepts/' || t, '' FROM typed WHERE other UNION SELECT 'E9b', 'entities/' || e, '' FROM ev WHERE kind = 'organization'
+UNION SELECT 'E2', 'sources/' || slug, r.target || '.md' FROM (SELECT entry_id, unnest(related_entries) AS r FROM entries) JOIN sl USING (entry_id) WHERE r.target NOT IN (SELECT entry_id FROM entries)
+UNION SELECT 'E2', 'sources/' || v, '../concepts/' || t || '.md' FROM st WHERE t NOT IN (SELECT t FROM cv) UNION SELECT 'E2', 'concepts/' || t, '../sources/' || v || '.md' FROM cv WHERE v NOT IN (SELECT slug FROM sl)
+UNION SELECT 'E3', 'sources/' || slug, '' FROM sl WHERE entry_id NOT IN (SELECT entry_id FROM entry_index) UNION SELECT 'E4', 'sources/' || slug, '' FROM sl WHERE slug NOT IN (SELECT slug FROM rw)
+UNION SELECT 'E5', 'concepts/' || t, '' FROM cv GROUP BY t HAVING count(DISTINCT entry_id) < 2 UNION SELECT 'E9', 'entities/' || e, '' FROM ev WHERE kind = 'tool'
+UNION SELECT 'E6', 'concepts/' || t, 'video ' || v FROM cv WHERE v NOT IN (SELECT slug FROM sl) UNION SELECT 'E10', 'entities/' || e, 'video gone-source' FROM ev WHERE kind = 'person'
+UNION SELECT 'E7', 'concepts/' || t, 'no link back from ' || v FROM cv WHERE (t, v) NOT IN (SELECT (t, v) FROM st) UNION SELECT 'E7', 'concepts/' || t, 'doesn''t cite back ' || v FROM st WHERE (t, v) NOT IN (SELECT (t, v) FROM cv)
+UNION SELECT 'E11', 'entities/' || e, 'no link back from ' || v FROM ev WHERE kind = 'person' UNION SELECT 'E8', 'concepts/' || t, '' FROM cv WHERE t NOT IN (SELECT t FROM st) UNION SELECT 'E12', 'entities/' || e, '' FROM ev WHERE kind = 'person'""",
+        "bundle_index": bundle + """, pg AS (SELECT 'sources' AS dir, slug, coalesce(nullif(t, ''), slug) AS title FROM sl JOIN (SELECT DISTINCT entry_id, source.title AS t FROM entries) USING (entry_id) UNION ALL SELECT DISTINCT 'concepts', t, t FROM cv UNION ALL SELECT 'entities', e, min(key) FROM ev GROUP BY e)
+SELECT dir, row_number() OVER (PARTITION BY dir ORDER BY CASE dir WHEN 'sources' THEN slug ELSE lower(title) END, slug) AS nth, '- [' || title || '](' || slug || '.md)' AS line FROM pg
+UNION ALL SELECT '', row_number() OVER (ORDER BY dir), '- [' || dir || '](' || dir || '/index.md) (' || n || ')' FROM (SELECT dir, count(*) AS n FROM pg GROUP BY dir)""",
+        "teaching_notes": "WITH en AS (SELECT DISTINCT entry_id, distilled_note FROM entries), " + _PARTS + """, p AS (SELECT entry_id, x.section AS s, pos, trim(x.text) AS t FROM pt WHERE trim(coalesce(x.text, '')) <> ''),
+s AS (SELECT entry_id, s, list_position(['core_takeaway', 'key_points', 'why_it_matters', 'how_to_apply', 'caveats', 'review_questions'], s) AS r, string_agg(CASE s WHEN 'core_takeaway' THEN t ELSE '- ' || t END, chr(10) ORDER BY pos) AS l FROM p GROUP BY ALL),
+b AS (SELECT entry_id, string_agg('## ' || ['Core takeaway', 'Key points', 'Why it matters', 'How to apply', 'Caveats', 'Review questions'][r] || chr(10) || chr(10) || l, chr(10) || chr(10) ORDER BY r) AS l FROM s GROUP BY entry_id)
+SELECT entry_id, '# ' || coalesce(distilled_note.title, 'Untitled') || chr(10) || chr(10) || l || chr(10) AS body FROM b JOIN en USING (entry_id)""",
         "first_quotes": _M + ", " + quotes + " SELECT * FROM fq",
         "entity_evidence": _M + """, o AS (SELECT kind, key, statement, min(struct_pack(e := entry_id, p := pos)) AS a FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY a, statement) AS r FROM o)
 SELECT kind, key, string_agg(statement, ' ' ORDER BY r) AS evidence, count(*) AS n_statements FROM r GROUP BY ALL""",

@@ -290,6 +290,35 @@ def test_lint_finds_one_violation_of_each_kind(spark):
     assert codes == {"E1", "E2", "E3", "E4", "E5", "E5b", "E6", "E7", "E8", "E9", "E9b", "E10", "E11", "E12"}
 
 
+def test_lint_reads_pages_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(P, "written", lambda df, real=P.written: tables.append(df) or real(df))
+    pages = spark.createDataFrame([("sources", "s", "---\ntype: source\n---\n")], "dir string, slug string, body string")
+    found = P.lint(pages, spark.createDataFrame([], "dir string, slug string"))
+    assert sorted(r["code"] for r in found.collect()) == ["E3", "E4"] and len(tables) == 1
+    assert "body" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_indexes_and_notes(spark):
+    member = "slug string, title string, type string, source string, quote string, listed boolean"
+    rows = [("c", "B c", "concept", "s2", None, True), ("c", "B c", "concept", "s1", "said", True), ("c", "B c", "concept", "s3", None, False), ("d", "a d", None, "s1", None, True)]
+    pages = P.group_pages(spark.createDataFrame(rows, member), "concepts")
+    body = {r["slug"]: r["body"] for r in pages.collect()}
+    assert body["c"] == '---\ntype: concept\ntitle: "B c"\nvideos: [s1, s2, s3]\n---\n\n# B c\n\n## Sources\n\n- [s1](../sources/s1.md): "said"\n- [s2](../sources/s2.md)\n' and "type:" not in body["d"]
+    sources = spark.createDataFrame([("sources", "z", "# Z\n"), ("sources", "y", "# Y\n")], "dir string, slug string, body string")
+    covered = spark.createDataFrame([("z", "concepts", "c"), ("z", "concepts", "c"), ("z", "entities", "e")], "slug string, dir string, target string")
+    linked = P.with_backlinks(sources, covered)
+    assert {r["slug"]: r["body"] for r in linked.collect()} == {"z": "# Z\n\n## Concepts covered\n\n- [c](../concepts/c.md)\n\n## Entities covered\n\n- [e](../entities/e.md)\n", "y": "# Y\n"}
+    everything = linked.unionAll(pages).unionAll(P.raw_heads(sources.select("slug")))
+    lines = {(r["dir"], r["nth"]): r["line"] for r in P.bundle_index(everything).collect()}
+    assert lines == {("sources", 1): "- [y](y.md)", ("sources", 2): "- [z](z.md)", ("concepts", 1): "- [a d](d.md)", ("concepts", 2): "- [B c](c.md)", ("", 1): "- [concepts](concepts/index.md) (2)", ("", 2): "- [sources](sources/index.md) (2)"}
+    left = P.without_pages(everything, spark.createDataFrame([("raw", "z"), ("raw", "none"), ("concepts", "c")], "dir string, slug string"))
+    assert sorted((r["dir"], r["slug"]) for r in left.collect()) == [("concepts", "d"), ("raw", "y"), ("sources", "y"), ("sources", "z")]
+    parts = spark.createDataFrame([("e", "caveats", 3, " mind it "), ("e", "core_takeaway", 0, "Core."), ("e", "key_points", 2, "two"), ("e", "key_points", 1, "one"), ("e", "how_to_apply", 4, " "), ("e", "how_to_apply", 5, None)], "entry_id string, section string, pos int, text string")
+    note = P.note_markdown(parts, spark.createDataFrame([("e", None), ("f", "no parts")], "entry_id string, title string")).collect()
+    assert [tuple(r) for r in note] == [("e", "# Untitled\n\n## Core takeaway\n\nCore.\n\n## Key points\n\n- one\n- two\n\n## Caveats\n\n- mind it\n")]
+
+
 def test_slugs_and_parity(spark):
     rows = [("e-aaaaaaaa", ("Same title",), ("2024-01-02",)), ("e-bbbbbbbb", ("Same title!",), ("2024-01-01",)), ("e-cccccccc", ("语",), ("2024-01-01",)), ("x-bbaaaaaa", ("same-title",), ("2024-01-03",))]
     entries = spark.createDataFrame(rows, "entry_id string, source struct<title:string>, meta struct<created_at:string>")
