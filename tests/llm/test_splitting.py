@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.splitting import split_items, split_ranges, too_small_counts, transcript_lengths, transcript_pieces, transcript_sections
+from millrace.llm.splitting import _PLACES, _Packer, cutting_places, split_items, split_ranges, too_small_counts, transcript_lengths, transcript_pieces, transcript_sections
 
 SEGMENT = "segment_id long, entry_id string, text string, locator string, piece int, start int"
 
@@ -61,11 +62,48 @@ def test_transcripts_against_brute_force(spark):
     sections = {}
     for r in transcript_sections(segments).collect():
         sections.setdefault(r["entry_id"], []).append((r["section"]["no"], r["text"]))
-    assert {e: "\n".join(t for _, t in sorted(s)) for e, s in sections.items()} == full and len(sections["a"]) == 3
+    assert {e: "\n".join(t for _, t in sorted(s)) for e, s in sections.items()} == full and len(sections["a"]) == 36
     assert {r["entry_id"]: r["n_chars"] for r in transcript_lengths(segments).collect()} == {e: len(t) for e, t in full.items()}
-    pieces = transcript_pieces(segments).collect()
-    assert max(len(r["piece_text"]) for r in pieces) <= 12_000
+    pieces = transcript_pieces(segments).orderBy("entry_id", "piece").collect()
+    for e, t in full.items():
+        assert [(r["start"], r["end"], r["fresh"], r["piece_text"]) for r in pieces if r["entry_id"] == e] == [(a, b, c, t[a:b]) for a, b, c in split_ranges(t)]
     n = len(full["a"])
     results = spark.createDataFrame([(1, "a", n // 12_000), (2, "a", n // 12_000 + 1), (3, "a", None), (4, "zz", 0), (5, "b", 0), (6, "c", 1)], "run_id long, entry_id string, chunk_count int")
     assert sorted(r["run_id"] for r in too_small_counts(results, transcript_lengths(segments)).collect()) == [1, 5]
     assert transcript_lengths(spark.createDataFrame([], SEGMENT)).count() == 0
+
+
+def packed(text_lines, per_section, limit, overlap):
+    """The packing of a transcript in sections of so many lines, without Spark."""
+    packer = _Packer(limit, overlap)
+    names = [x.split(" ")[0] for x in _PLACES.split(", ")]
+    pieces = []
+    for i in range(0, len(text_lines), per_section):
+        packer.section(dict(zip(names, cutting_places("\n".join(text_lines[i : i + per_section]), limit - overlap, overlap))))
+        pieces, packer.done = pieces + packer.done, []
+    packer.finish()
+    return pieces + packer.done
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet="ab. \n#\f", max_size=14), min_size=1, max_size=60), st.integers(1, 9), st.integers(8, 40), st.integers(0, 6))
+def test_transcripts_are_cut_as_one_text(lines, per_section, limit, overlap):
+    text = "\n".join(lines)
+    # The exception: a line that only the empty lines behind it make too long.
+    assume(not any(len(m[1]) + 1 <= limit - overlap <= len(m[0]) for m in re.finditer(r"([^\n\f]*)(\n+)", text)))
+    assert packed(lines, per_section, limit, overlap) == split_ranges(text, limit, overlap)
+
+
+def test_long_transcripts_are_cut_as_one_text():
+    rng = random.Random(3)
+    for shape in range(6):
+        lines = []
+        for _ in range(5_000):
+            line = " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) + rng.choice(["", "", "", "."]) for _ in range(rng.randint(0 if shape % 2 else 1, 14)))
+            lines.append("# " + line if shape > 3 and rng.random() < 0.01 else line)
+        if shape == 2:
+            lines[700] = "x" * 40_000
+            lines[3_000] = "word " * 9_000
+        text = "\n".join(lines)
+        for per_section in (1_024, 37):
+            assert packed(lines, per_section, 12_000, 1_200) == split_ranges(text)
