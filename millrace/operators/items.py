@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,18 +143,55 @@ def merged_restatements(items: DataFrame, leaders: DataFrame) -> DataFrame:
     return folded(items.join(leaders, ["entry_id", "pos"]), ["entry_id", "leader"])
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each character occurs in each text, characters counted in 64 bins."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+    return out
+
+
+def _common_bound(text: str) -> Callable[[str], int]:
+    """The length of the longest common subsequence with a text, by bits: matching blocks add up to no more."""
+    full = (1 << len(text)) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+
+    def common(other: str) -> int:
+        v = full
+        for c in other:
+            u = v & places.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+        return len(text) - v.bit_count()
+
+    return common
+
+
 def _similar_in_block(ratio: float):
     def match(group: str, early: list, late: list, out: list) -> None:
-        """Pairs whose later member stands in ``late``; the earlier text is prepared once for all it is held against."""
+        """Pairs whose later member stands in ``late``. The matcher sees those alone that two bounds on its ratio let
+        through: common characters, for all at once, and the longest common subsequence."""
+        if not early or not late:
+            return
         matcher = SequenceMatcher(None)
-        for earlier, text in early:
+        places, keys = np.array([p for p, _ in late]), [k for _, k in late]
+        sizes, letters = np.array([len(k) for k in keys]), _letters(keys)
+        for (earlier, text), own in zip(early, _letters([t for _, t in early])):
+            need = ratio * (sizes + len(text)) / 2 - 1e-9
+            near = np.flatnonzero((places > earlier) & (np.minimum(sizes, len(text)) >= need) & (np.minimum(letters, own).sum(axis=1) >= need))
+            if not len(near):
+                continue
             matcher.set_seq2(text)
-            for later, key in late:
-                if later <= earlier or 2 * min(len(key), len(text)) < ratio * (len(key) + len(text)):
-                    continue
-                matcher.set_seq1(key)
-                if matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
-                    out.append((group, earlier, later))
+            common = _common_bound(text)
+            for i in near:
+                if keys[i] != text:
+                    if common(keys[i]) < need[i]:
+                        continue
+                    matcher.set_seq1(keys[i])
+                    if matcher.ratio() < ratio:
+                        continue
+                out.append((group, earlier, int(places[i])))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
