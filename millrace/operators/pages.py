@@ -17,9 +17,12 @@ def entry_slugs(entries: DataFrame) -> DataFrame:
     """
     rows = entries.select("entry_id", "source.title", "meta.created_at").distinct()
     base = F.coalesce(F.nullif(slugify(F.coalesce("title", F.lit(""))), F.lit("")), F.col("entry_id"))
-    ranked = rows.withColumn("base", base).withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy("created_at", "entry_id")))
+    # The first of a slug is a minimum, so a title that very many share is no window of its own.
+    named = rows.withColumn("base", base)
+    firsts = named.groupBy("base").agg(F.min(F.struct("created_at", "entry_id")).alias("first"))
+    ranked = named.join(firsts, "base").withColumn("nth", F.when(F.col("first.entry_id") == F.col("entry_id"), 1).otherwise(2))
     short = F.concat_ws("-", "base", slugify(F.right("entry_id", F.lit(6))))
-    again = ranked.withColumn("short", F.when(F.col("nth") == 1, F.col("base")).otherwise(short)).withColumn("k", F.row_number().over(Window.partitionBy("short").orderBy("nth", "entry_id")))
+    again = ranked.withColumn("short", F.when(F.col("nth") == 1, F.col("base")).otherwise(short)).withColumn("k", F.row_number().over(Window.partitionBy("short").orderBy("nth", "created_at", "entry_id")))
     longer = F.concat_ws("-", "base", slugify(F.right("entry_id", F.lit(6) + (F.col("k") - 1) * 2)))
     return again.select("entry_id", F.when(F.col("k") == 1, F.col("short")).otherwise(longer).alias("slug"))
 

@@ -20,15 +20,31 @@ from millrace.plans.session import cut_lineage
 _PARENT, _DELETED, _PROBE = 0, 1, 2
 
 
+#: Bytes up to which keys are held in arrays of one width.
+_NARROW = 128
+
+
 def _keys(strings: pa.Array) -> np.ndarray:
-    """Fixed-width byte keys in the order of code points; the last byte keeps trailing NULs significant."""
-    return np.array([x.encode() + b"\x01" for x in strings.to_pylist()], dtype="S") if len(strings) else np.empty(0, "S1")
+    """Byte keys in the order of code points; the last byte keeps trailing NULs significant. Short keys have one width;
+    where one is long, all are held as they are, so that it doesn't make the others as wide."""
+    keys = [x.encode() + b"\x01" for x in strings.to_pylist()]
+    if not keys:
+        return np.empty(0, "S1")
+    if max(map(len, keys)) <= _NARROW:
+        return np.array(keys, dtype="S")
+    out = np.empty(len(keys), object)
+    out[:] = keys
+    return out
 
 
 def _find(sorted_keys: np.ndarray, probes: np.ndarray) -> np.ndarray:
     """Position of each probe in the array, or -1."""
     if not len(sorted_keys):
         return np.full(len(probes), -1)
+    if sorted_keys.dtype != object and probes.dtype == object:
+        sorted_keys = sorted_keys.astype(object)
+    elif sorted_keys.dtype == object:
+        probes = probes.astype(object)
     at = np.minimum(np.searchsorted(sorted_keys, probes), len(sorted_keys) - 1)
     return np.where(sorted_keys[at] == probes, at, -1)
 

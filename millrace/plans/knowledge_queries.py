@@ -151,6 +151,16 @@ def profile_affinities(spark: SparkSession, d: str) -> DataFrame:
     return R.affinities(R.feedback_tags(_entries(spark, d))).withColumn("weight", F.round("weight", 5))
 
 
+def profile_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Affinities with the forms that new links brought in."""
+    e = _entries(spark, d)
+    return R.seeded_affinities(R.feedback_tags(e), R.novelty_seeds(e)).withColumn("weight", F.round("weight", 5))
+
+
+def profile_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return R.reason_counts(R.feedback_tags(_entries(spark, d))).select("dimension", "tag", F.explode("reasons").alias("reason", "n"))
+
+
 def profile_aversions(spark: SparkSession, d: str) -> DataFrame:
     return R.aversions(R.feedback_tags(_entries(spark, d))).withColumn("weight", F.round("weight", 5))
 
@@ -248,7 +258,7 @@ pg AS (SELECT sl.slug, array_to_string(['---', 'type: source', 'title: "' || rep
 def queries() -> dict:
     return {f.__name__: f for f in (
         knowledge_items, faithful_quotes, provenance_backfill, quote_truncate, word_floor, exact_dedup_merge, fuzzy_dedup, fuzzy_merge, note_grounding, note_context, stance_conflicts, topic_stances,
-        topics_capped, humanized_tags, tag_listing, dominant_type, novelty_flags, goal_links, entity_groups, shared_tags, contradictions, dangling_edges, profile_affinities, profile_aversions,
+        topics_capped, humanized_tags, tag_listing, dominant_type, novelty_flags, goal_links, entity_groups, shared_tags, contradictions, dangling_edges, profile_affinities, profile_seeded, profile_reasons, profile_aversions,
         profile_known_topics, profile_confidence, top_affinities, entry_slugs, source_pages, index_lines, page_lint, citations, index_parity, reindex_needed, library_search,
     )}
 
@@ -305,6 +315,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, entry_
 SELECT DISTINCT a.query_id, source, target FROM e JOIN f a ON a.entry_id = source JOIN f b ON b.entry_id = target AND b.query_id = a.query_id""",
         "dangling_edges": "SELECT DISTINCT entry_id, r.target AS target, r.relation AS relation FROM (SELECT entry_id, unnest(related_entries) AS r FROM entries) WHERE r.target NOT IN (SELECT entry_id FROM entries)",
         "profile_affinities": w + "en AS (SELECT DISTINCT * FROM entries), " + _TAGS + " SELECT dimension, tag, round(1 - exp(sum(ln(1 - CASE WHEN score >= 4 THEN 0.3 ELSE 0.03 END))), 5) AS weight FROM tg WHERE score >= 3 GROUP BY dimension, tag",
+        "profile_seeded": w + "en AS (SELECT DISTINCT * FROM entries), " + _TAGS + """, a AS (SELECT dimension, tag, 1 - exp(sum(ln(1 - CASE WHEN score >= 4 THEN 0.3 ELSE 0.03 END))) AS weight FROM tg WHERE score >= 3 GROUP BY dimension, tag),
+f AS (SELECT tag, min(struct_pack(s := feedback.scored_at, e := entry_id)) AS first FROM (SELECT entry_id, feedback, unnest(tags.application_forms) AS tag FROM en WHERE feedback.score >= 3) GROUP BY tag),
+s AS (SELECT x.application_form AS tag, min(struct_pack(s := feedback.scored_at, e := entry_id)) AS seeded FROM (SELECT entry_id, feedback, unnest(application_links) AS x FROM en WHERE feedback.score >= 4) WHERE x.novelty_flag AND x.application_form IS NOT NULL GROUP BY 1),
+d AS (SELECT 'application_forms' AS dimension, s.tag FROM s LEFT JOIN f USING (tag) WHERE first IS NULL OR seeded < first)
+SELECT coalesce(a.dimension, d.dimension) AS dimension, coalesce(a.tag, d.tag) AS tag, round(coalesce(weight, 0) + CASE WHEN d.tag IS NULL THEN 0 ELSE 0.3 END * (1 - coalesce(weight, 0)), 5) AS weight FROM a FULL JOIN d ON a.dimension = d.dimension AND a.tag = d.tag""",
+        "profile_reasons": w + "en AS (SELECT DISTINCT * FROM entries), " + _TAGS + " SELECT dimension, tag, reason, count(*) AS n FROM tg WHERE score <= 2 AND reason = 'wrong_for_me' GROUP BY ALL",
         "profile_aversions": w + "en AS (SELECT DISTINCT * FROM entries), " + _TAGS + " SELECT dimension, tag, round(1 - pow(0.7, count(*)), 5) AS weight, count(*) AS n FROM tg WHERE score <= 2 AND reason = 'wrong_for_me' GROUP BY dimension, tag",
         "profile_known_topics": w + "en AS (SELECT DISTINCT * FROM entries), " + _TAGS + " SELECT DISTINCT tag AS topic FROM tg WHERE score <= 2 AND reason = 'already_knew' AND dimension = 'topics'",
         "profile_confidence": "WITH m AS (SELECT left(c, 7) AS month, count(*) AS n_entries FROM (SELECT DISTINCT entry_id, meta.created_at AS c FROM entries) GROUP BY 1) SELECT month, n_entries, round(least(1.0, sum(n_entries) OVER (ORDER BY month) / 30.0), 6) AS confidence FROM m",

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T  # noqa: N812
 from millrace.functions.jsonx import answer_items
 from millrace.functions.times import clock, padded_clock, spoken_duration, utc_timestamp
-from millrace.functions.urls import is_allowed_host, video_id, watch_url
+from millrace.functions.urls import is_allowed_host, playlist_id, video_id, watch_url
 from millrace.operators import items as I  # noqa: N812
 from millrace.plans.session import load
 from millrace.sources.tables import deleted, latest, upserted
-from millrace.sources.transcripts import parsed_documents
+from millrace.sources.transcripts import parsed_documents, staged, unstaged
 
 #: Hosts of the source addresses in the test tables.
 HOSTS = ("video.example", "www.video.example")
@@ -63,6 +63,12 @@ def parsed_subtitles(spark: SparkSession, d: str) -> DataFrame:
     return segments.groupBy("id.entry_id").agg(F.count(F.lit(1)).alias("n_cues"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def staged_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts staged as JSON and read again: lines and characters of each."""
+    back = unstaged(staged(I.transcript_lines(load(spark, d, "segments"))))
+    return back.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count("text").alias("n_texts"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"), F.count("ts").alias("n_times"))
+
+
 def segment_clocks(spark: SparkSession, d: str) -> DataFrame:
     """Times of the segments in one spelling."""
     parts = F.split(F.regexp_replace("ts", r"[.,]\d+$", ""), ":")
@@ -95,7 +101,7 @@ def answer_items_valid(spark: SparkSession, d: str) -> DataFrame:
 
 def source_urls(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("source_url")
-    return load(spark, d, "jobs").filter(url.isNotNull()).select("source_url").distinct().select("source_url", is_allowed_host(url, HOSTS).alias("allowed"), video_id(url).alias("video_id"), watch_url(url, HOSTS).alias("watch_url"))
+    return load(spark, d, "jobs").filter(url.isNotNull()).select("source_url").distinct().select("source_url", is_allowed_host(url, HOSTS).alias("allowed"), video_id(url).alias("video_id"), watch_url(url, HOSTS).alias("watch_url"), playlist_id(url).alias("playlist_id"))
 
 
 def upload_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -163,21 +169,24 @@ _CHUNKS = r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(str
 f(doc_id, l, i, chunk, cur) AS (SELECT doc_id, l, 1, 0, l[1] FROM s WHERE len(l) > 0
  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN length(cur) + 1 + length(l[i + 1]) > 1000 THEN chunk + 1 ELSE chunk END, CASE WHEN length(cur) + 1 + length(l[i + 1]) > 1000 THEN l[i + 1] ELSE cur || ' ' || l[i + 1] END FROM f WHERE i < len(l)),
 c AS (SELECT doc_id, chunk, arg_max(cur, i) AS t FROM f GROUP BY ALL)"""
-_PARSED = r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda x: trim(x) <> '') AS l FROM documents),
-f AS (SELECT *, CASE WHEN len(l) = 0 THEN 'empty' WHEN len(list_filter(l, lambda x: regexp_matches(x, '^\s*(\d{1,2}:\d{2}:\d{2})(?:[.,]\d+)?\s+(.*)$'))) >= greatest(1, len(l) // 2) THEN 'inline'
- WHEN len(list_filter(l, lambda x: regexp_matches(x, '^\s*(\d{1,2}:\d{2})[ \t]*(.*)$'))) >= greatest(1, len(l) // 2) THEN 'rolling' ELSE 'paragraphs' END AS format FROM b),
-s AS (SELECT doc_id, format, CASE WHEN format = 'inline' THEN list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^\s*(\d{1,2}:\d{2}:\d{2})(?:[.,]\d+)?\s+(.*)$') THEN struct_pack(ts := lpad(regexp_extract(x, '^\s*(\d{1,2}:\d{2}:\d{2})', 1), 8, '0'), t := trim(regexp_extract(x, '^\s*(\d{1,2}:\d{2}:\d{2})(?:[.,]\d+)?\s+(.*)$', 2))) ELSE struct_pack(ts := NULL, t := trim(x)) END)
- WHEN format = 'rolling' AND len(list_filter(l, lambda x: NOT regexp_matches(x, '^\s*\d{1,2}:\d{2}'))) = 0 AND list_sort(list_transform(l, lambda x: regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT * 60 + regexp_extract(x, '^\s*\d{1,2}:(\d{2})', 1)::INT)) = list_transform(l, lambda x: regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT * 60 + regexp_extract(x, '^\s*\d{1,2}:(\d{2})', 1)::INT)
- THEN list_transform(l, lambda x: struct_pack(ts := printf('%02d:%02d:%02d', regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT // 60, regexp_extract(x, '^\s*(\d{1,2}):', 1)::INT % 60, regexp_extract(x, '^\s*\d{1,2}:(\d{2})', 1)::INT), t := trim(regexp_extract(x, '^\s*\d{1,2}:\d{2}[ \t]*(.*)$', 1))))
+_BLANK = "' ' || chr(9) || chr(11) || chr(12)"
+_PARSED = rf"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda x: trim(x) <> '') AS l FROM documents),
+li AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM b), w AS (SELECT doc_id, i, x, ltrim(x, {_BLANK}) AS y FROM li),
+v AS (SELECT doc_id, i, trim(x) AS x, y, split_part(translate(y, chr(9), ' '), ' ', 1) AS tok FROM w),
+z AS (SELECT *, length(tok) < length(y) AND regexp_full_match(tok, '[0-9][0-9]?(:[0-9][0-9]){{2}}([.,][0-9]+)?') AS long, regexp_extract(y, '^[0-9][0-9]?:[0-9][0-9]') AS ms FROM v),
+ln AS (SELECT doc_id, list(struct_pack(x := x, long := long, h := lpad(split_part(replace(tok, ',', '.'), '.', 1), 8, '0'), r := trim(substr(y, length(tok) + 1)), short := ms <> '', sec := TRY_CAST(split_part(ms, ':', 1) AS INT) * 60 + TRY_CAST(split_part(ms, ':', 2) AS INT), s := trim(ltrim(substr(y, length(ms) + 1), {_BLANK}))) ORDER BY i) AS p FROM z GROUP BY doc_id),
+f AS (SELECT b.*, coalesce(p, []) AS p, CASE WHEN len(l) = 0 THEN 'empty' WHEN len(list_filter(p, lambda q: q.long)) >= greatest(1, len(l) // 2) THEN 'inline' WHEN len(list_filter(p, lambda q: q.short)) >= greatest(1, len(l) // 2) THEN 'rolling' ELSE 'paragraphs' END AS format FROM b LEFT JOIN ln USING (doc_id)),
+s AS (SELECT doc_id, format, CASE WHEN format = 'inline' THEN list_transform(p, lambda q: CASE WHEN q.long THEN struct_pack(ts := q.h, t := q.r) ELSE struct_pack(ts := NULL, t := q.x) END)
+ WHEN format = 'rolling' AND len(list_filter(p, lambda q: NOT q.short)) = 0 AND list_sort(list_transform(p, lambda q: q.sec)) = list_transform(p, lambda q: q.sec) THEN list_transform(p, lambda q: struct_pack(ts := printf('%02d:%02d:%02d', q.sec // 3600, q.sec % 3600 // 60, q.sec % 60), t := q.s))
  WHEN format = 'paragraphs' THEN list_transform(regexp_split_to_array(trim(t), '\n[ \t]*(?:\n[ \t]*)+'), lambda p: struct_pack(ts := NULL::VARCHAR, t := array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')), ' '))) END AS seg FROM f),
-k AS (SELECT doc_id, format, list_filter(seg, lambda x: x.t <> '') AS seg FROM s), n AS (SELECT *, coalesce(list_sum(list_transform(seg, lambda x: len(regexp_extract_all(x.t, '[^\s\x{00A0}\x{2007}\x{2009}\x{202F}]+')))), 0)::BIGINT AS n_words FROM k),
+k AS (SELECT doc_id, format, list_filter(seg, lambda x: x.t <> '') AS seg FROM s), n AS (SELECT *, coalesce(list_sum(list_transform(seg, lambda x: len(regexp_extract_all(x.t, '[^\s\x{{00A0}}\x{{2007}}\x{{2009}}\x{{202F}}]+')))), 0)::BIGINT AS n_words FROM k),
 r AS (SELECT *, CASE WHEN format = 'empty' THEN 'empty' WHEN seg IS NULL THEN 'bad captions' WHEN len(seg) = 0 THEN 'no segments' WHEN n_words < 50 THEN 'too short' END AS reason FROM n)"""
 _JOBS = "j AS (SELECT *, " + _UTC.format("updated_at") + " AS seen FROM jobs), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seen DESC, phase_index DESC NULLS LAST, status DESC) AS r FROM j) WHERE r = 1)"
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        normalized_texts, document_words, exact_duplicates, chunk_documents, chunk_context, parsed_transcripts, rejected_transcripts, parsed_subtitles, segment_clocks, entity_listing, answer_arrays, answer_items_valid,
+        normalized_texts, document_words, exact_duplicates, chunk_documents, chunk_context, parsed_transcripts, rejected_transcripts, parsed_subtitles, staged_transcripts, segment_clocks, entity_listing, answer_arrays, answer_items_valid,
         source_urls, upload_titles, job_latest, phase_minutes, expired_leases, vector_latest, upsert_vectors, delete_entries, event_states, clean_answers,
     )}
 
@@ -195,9 +204,11 @@ def oracle_sql() -> dict[str, str]:
 SELECT segment_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS hms, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS padded, printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS spoken FROM s""",
         "parsed_subtitles": r"""WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1)::BIGINT AS no, arg_min(struct_pack(t := text, ts := ts), segment_id) AS r FROM segments GROUP BY ALL),
 c AS (SELECT entry_id, regexp_replace(CASE WHEN length(r.ts) = 5 THEN '00:' || r.ts ELSE r.ts END, ',.*$', '') AS ts FROM k WHERE trim(r.t) <> '' AND r.ts IS NOT NULL) SELECT entry_id, count(*) AS n_cues, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY entry_id""",
+        "staged_transcripts": r"""WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1) AS no, arg_min(struct_pack(t := text, ts := ts), segment_id) AS r FROM segments GROUP BY ALL)
+SELECT entry_id, count(*) AS n_lines, count(r.t) AS n_texts, sum(length(coalesce(r.t, '')))::BIGINT AS n_chars, count(r.ts) AS n_times FROM k GROUP BY entry_id""",
         "entity_listing": "WITH i AS (SELECT entry_id, unnest(knowledge_items) AS i FROM entries), m AS (SELECT entry_id, unnest(i.entity_mentions) AS m FROM i) SELECT m.kind AS kind, lower(m.name) AS name, count(*) AS n_mentions, count(DISTINCT entry_id) AS n_entries FROM m GROUP BY ALL",
-        "source_urls": r"""WITH u AS (SELECT DISTINCT source_url FROM jobs WHERE source_url IS NOT NULL), x AS (SELECT source_url, regexp_matches(source_url, '^https?://(www\.)?video\.example(/|$)') AS allowed, nullif(regexp_extract(source_url, '[?&]v=([^&#]*)', 1), '') AS video_id FROM u)
-SELECT source_url, allowed, video_id, CASE WHEN allowed THEN 'https://www.youtube.com/watch?v=' || video_id END AS watch_url FROM x""",
+        "source_urls": r"""WITH u AS (SELECT DISTINCT source_url FROM jobs WHERE source_url IS NOT NULL), x AS (SELECT source_url, regexp_matches(source_url, '^https?://(www\.)?video\.example(/|$)') AS allowed, nullif(regexp_extract(source_url, '[?&]v=([^&#]*)', 1), '') AS video_id, nullif(regexp_extract(source_url, '[?&]list=([^&#]*)', 1), '') AS playlist_id FROM u)
+SELECT source_url, allowed, video_id, CASE WHEN allowed THEN 'https://www.youtube.com/watch?v=' || video_id END AS watch_url, playlist_id FROM x""",
         "upload_titles": r"""WITH u AS (SELECT DISTINCT payload, title FROM jobs WHERE kind <> 'youtube'), f AS (SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(payload), '([^/]*)$', 1), '(?i)\.(txt|md|markdown|text|srt|vtt)$', ''), '\[[^\]]*\]|\([^)]*\)|\{[^}]*\}', ' ', 'g'), '[-_.\s]+', ' ', 'g'), ' -_.,'), ''), 'Pasted transcript') AS t FROM u)
 SELECT payload, t AS file_title, coalesce(nullif(trim(title), ''), t) AS shown FROM f""",
         "job_latest": "WITH " + _JOBS + " SELECT job_id, status, kind, strftime(seen AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_seen FROM l",

@@ -278,6 +278,17 @@ def test_preferences_equal_the_ordered_fold(spark):
     assert tuple(R.aversions(df).first()) == ("topics", "y", pytest.approx(0.3), 1) and [r[0] for r in R.known_topics(df).collect()] == ["z"]
 
 
+def test_forms_that_new_links_brought_in(spark):
+    schema = "entry_id string, feedback struct<score:int,reason:string,scored_at:string>, tags struct<topics:array<string>,knowledge_types:array<string>,application_forms:array<string>>, application_links array<struct<application_form:string,novelty_flag:boolean>>"
+    entry = lambda e, score, when, forms, new: (e, (score, None, when), ([], [], forms), [(f, True) for f in new] + [("old", False)])
+    rows = [entry("a", 5, "2024-01-01", ["use"], ["try", "use", None]), entry("b", 3, "2024-01-02", ["try"], ["lukewarm"]), entry("c", 4, "2024-01-03", ["late"], []), entry("d", 4, "2024-01-04", [], ["late"]), entry("e", None, None, ["x"], ["x"])]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["tag"]: round(r["weight"], 6) for r in R.seeded_affinities(R.feedback_tags(df), R.novelty_seeds(df)).collect()}
+    assert got == {"use": 0.3, "try": round(0.3 + 0.03 * 0.7, 6), "late": 0.3}
+    low = spark.createDataFrame([("e", 1, "wrong_for_me", "topics", "y"), ("f", 2, "wrong_for_me", "topics", "y"), ("g", 2, "bad_source", "topics", "y")], "entry_id string, score int, reason string, dimension string, tag string")
+    assert [tuple(r) for r in R.reason_counts(low).collect()] == [("topics", "y", {"wrong_for_me": 2})]
+
+
 def test_lint_finds_one_violation_of_each_kind(spark):
     page = lambda kind, body="", extra="": f"---\ntype: {kind}\n{extra}---\n{body}\n" if kind else f"no front matter\n{body}\n"
     good = [("sources", "s1", page("source", "## Concepts covered\n[c](../concepts/c1.md)\n## Entities covered\n[e](../entities/e1.md)")), ("raw", "s1", page("raw-transcript")), ("concepts", "c1", page("concept", "## Sources\n[s](../sources/s1.md)", "videos: [s1]\n")), ("entities", "e1", page("entity", "## Sources\n[s](../sources/s1.md)", "videos: [s1]\n"))]

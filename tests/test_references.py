@@ -67,3 +67,17 @@ def test_report_and_times(spark):
     assert got == ["2024-02-29 23:00", "2024-03-01 00:30", "2024-02-29 23:59", None, "2024-03-05 00:00", None]
     orphans = spark.createDataFrame([("v", "1", "entry_id", "missing", "2024-01"), ("v", "2", "entry_id", "missing", "2024-01")], "table_name string, row_key string, field string, kind string, period string")
     assert [tuple(r) for r in orphan_report(orphans).collect()] == [("v", "entry_id", "missing", "2024-01", 2)]
+
+
+def test_long_keys_do_not_widen_the_others():
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.operators.references import _find, _keys
+
+    short, mixed = _keys(pa.array(["b", "a", "c\x00"])), _keys(pa.array(["a", "z" * 10_000, "é", "c\x00", "c"]))
+    assert short.dtype.kind == "S" and mixed.dtype == object
+    for parents in (np.sort(short), np.sort(mixed)):
+        for probes in (short, mixed):
+            known = {bytes(k) for k in parents}
+            assert [bytes(parents[i]) if i >= 0 else None for i in _find(parents, probes)] == [bytes(k) if bytes(k) in known else None for k in probes]
