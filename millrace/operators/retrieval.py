@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +66,9 @@ class Block(NamedTuple):
     tokens: list[list[int] | None] | None
 
 
-def _searcher(block: Block, k: int, floor: float | None):
-    ids, units, kinds, tokens = block
-
+def _searcher(shared_block: Broadcast[Block], k: int, floor: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units, kinds, tokens = shared_block.value
         kept: list[tuple[np.ndarray, ...]] = []
         names = ["query_id", "id", "similarity", "score"]
         query_ids = np.array(ids)
@@ -110,15 +110,17 @@ def _searcher(block: Block, k: int, floor: float | None):
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[Block]:
-    """The queries block by block, with unit vectors."""
+def _blocks(queries: DataFrame) -> Iterator[Broadcast[Block]]:
+    """The queries block by block, with unit vectors. The driver holds one block at a time: each is broadcast, of a size
+    that the block's bounds."""
     own = [c for c in ("kind", "tokens") if c in queries.columns]
     rows = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), *own).toLocalIterator()
     while block := list(islice(rows, QUERIES_PER_BLOCK)):
         vectors = [r["vector"] for r in block]
         dim = max((len(v) for v in vectors if v is not None), default=0) or 1
         units = _matrix(pa.array([v if v is not None else [] for v in vectors], pa.list_(pa.float64())), dim)
-        yield Block([r["id"] for r in block], units, *([r[c] for r in block] if c in own else None for c in ("kind", "tokens")))
+        made = Block([r["id"] for r in block], units, *([r[c] for r in block] if c in own else None for c in ("kind", "tokens")))
+        yield queries.sparkSession.sparkContext.broadcast(made)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, floor: float | None = None) -> DataFrame:
@@ -143,8 +145,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, floor: float | Non
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _grouper(ids: list[int], units: np.ndarray):
+def _grouper(shared_block: Broadcast[Block]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units, *_ = shared_block.value
         query_ids = np.array(ids)
         best: dict[int | None, np.ndarray] = {}
 
@@ -184,7 +187,7 @@ def best_members(queries: DataFrame, members: DataFrame) -> DataFrame:
     """
     rows = members.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("group_id").cast("long").alias("group_id"))
     schema = "query_id long, group_id long, similarity double"
-    parts = [rows.mapInArrow(_grouper(b.ids, b.units), schema) for b in _blocks(queries)]
+    parts = [rows.mapInArrow(_grouper(b), schema) for b in _blocks(queries)]
     if not parts:
         return members.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, parts).groupBy("query_id", "group_id").agg(F.max("similarity").alias("similarity"))
