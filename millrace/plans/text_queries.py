@@ -181,6 +181,11 @@ s AS (SELECT doc_id, format, CASE WHEN format = 'inline' THEN list_transform(p,
  WHEN format = 'paragraphs' THEN list_transform(regexp_split_to_array(trim(t), '\n[ \t]*(?:\n[ \t]*)+'), lambda p: struct_pack(ts := NULL::VARCHAR, t := array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')), ' '))) END AS seg FROM f),
 k AS (SELECT doc_id, format, list_filter(seg, lambda x: x.t <> '') AS seg FROM s), n AS (SELECT *, coalesce(list_sum(list_transform(seg, lambda x: len(regexp_extract_all(x.t, '[^\s\x{{00A0}}\x{{2007}}\x{{2009}}\x{{202F}}]+')))), 0)::BIGINT AS n_words FROM k),
 r AS (SELECT *, CASE WHEN format = 'empty' THEN 'empty' WHEN seg IS NULL THEN 'bad captions' WHEN len(seg) = 0 THEN 'no segments' WHEN n_words < 50 THEN 'too short' END AS reason FROM n)"""
+_ANSWERS = r"""WITH a AS (SELECT run_id, item_count, response AS r, regexp_extract(response, '(?s)\[.*\]') AS whole, CASE WHEN strpos(response, '[') > 0 THEN substr(response, strpos(response, '[')) END AS tail FROM extraction_runs),
+p AS (SELECT *, whole <> '' AND json_valid(whole) AS fine, regexp_split_to_array(tail, '\}\s*,\s*\{') AS parts FROM a),
+c AS (SELECT *, list_filter(list_transform(range(1, len(parts)), lambda n: array_to_string(parts[1:n], '},{') || '}]') || [regexp_replace(tail, '[,\s`]*$', '') || ']'], lambda x: json_valid(x)) AS closed FROM p),
+t AS (SELECT run_id, item_count, fine, CASE WHEN fine THEN whole WHEN len(closed) > 0 THEN closed[len(closed)] END AS items FROM c),
+n AS (SELECT *, coalesce(json_array_length(items), 0)::BIGINT AS n_items FROM t)"""
 _JOBS = "j AS (SELECT *, " + _UTC.format("updated_at") + " AS seen FROM jobs), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seen DESC, phase_index DESC NULLS LAST, status DESC) AS r FROM j) WHERE r = 1)"
 
 
@@ -207,6 +212,9 @@ c AS (SELECT entry_id, regexp_replace(CASE WHEN length(r.ts) = 5 THEN '00:' || r
         "staged_transcripts": r"""WITH k AS (SELECT entry_id, regexp_extract(locator, '(\d+)\s*$', 1) AS no, arg_min(struct_pack(t := text, ts := ts), segment_id) AS r FROM segments GROUP BY ALL)
 SELECT entry_id, count(*) AS n_lines, count(r.t) AS n_texts, sum(length(coalesce(r.t, '')))::BIGINT AS n_chars, count(r.ts) AS n_times FROM k GROUP BY entry_id""",
         "entity_listing": "WITH i AS (SELECT entry_id, unnest(knowledge_items) AS i FROM entries), m AS (SELECT entry_id, unnest(i.entity_mentions) AS m FROM i) SELECT m.kind AS kind, lower(m.name) AS name, count(*) AS n_mentions, count(DISTINCT entry_id) AS n_entries FROM m GROUP BY ALL",
+        "answer_arrays": _ANSWERS + " SELECT run_id, n_items, coalesce(NOT fine AND n_items > 0, false) AS salvaged, NOT coalesce(fine, false) AND n_items = 0 AS error, item_count::BIGINT AS item_count FROM n",
+        "answer_items_valid": _ANSWERS + """, i AS (SELECT run_id, unnest(json_extract(items, '$[*]')) AS i FROM n), x AS (SELECT run_id, CASE WHEN i->>'type' IN ('procedural', 'conceptual', 'declarative', 'experiential', 'heuristic', 'opinion') THEN i->>'type' ELSE 'conceptual' END AS type, trim(coalesce(i->>'statement', '')) <> '' AS valid FROM i)
+SELECT run_id, count(*) AS n_items, count(*) FILTER (valid) AS n_valid, count(DISTINCT type) AS n_types, count(*) FILTER (valid) >= 0.5 * count(*) AS usable FROM x GROUP BY run_id""",
         "source_urls": r"""WITH u AS (SELECT DISTINCT source_url FROM jobs WHERE source_url IS NOT NULL), x AS (SELECT source_url, regexp_matches(source_url, '^https?://(www\.)?video\.example(/|$)') AS allowed, nullif(regexp_extract(source_url, '[?&]v=([^&#]*)', 1), '') AS video_id, nullif(regexp_extract(source_url, '[?&]list=([^&#]*)', 1), '') AS playlist_id FROM u)
 SELECT source_url, allowed, video_id, CASE WHEN allowed THEN 'https://www.youtube.com/watch?v=' || video_id END AS watch_url, playlist_id FROM x""",
         "upload_titles": r"""WITH u AS (SELECT DISTINCT payload, title FROM jobs WHERE kind <> 'youtube'), f AS (SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(payload), '([^/]*)$', 1), '(?i)\.(txt|md|markdown|text|srt|vtt)$', ''), '\[[^\]]*\]|\([^)]*\)|\{[^}]*\}', ' ', 'g'), '[-_.\s]+', ' ', 'g'), ' -_.,'), ''), 'Pasted transcript') AS t FROM u)
