@@ -18,6 +18,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ from millrace.llm.words import mix, word_hashes
 
 #: Bits by which fingerprints of the stretch's windows and of item-sized windows may differ.
 RADIUS, ITEM_RADIUS = 3, 15
-#: Widths of item-sized windows: a passage takes the widest that fits, at every half width and at its end.
-ITEM_WIDTHS = (16, 24, 32, 48, 64, 96, 128)
+#: Widths of item-sized windows: a passage takes the widest that fits, at every half width and at its end. They are one
+#: above sums of two powers of two at most, of which ``Fingerprints`` puts windows together.
+ITEM_WIDTHS = (17, 25, 33, 49, 65, 97, 129)
 #: Passage windows in one block of the item set; a larger set takes further passes over the documents.
 WINDOWS_PER_BLOCK = 400_000
 #: Keys of a window; a key holds as many pairs of words as that number allows.
@@ -67,36 +69,31 @@ class Fingerprints:
     """SimHash of windows of word hashes: a bit is set where it is in the larger part of the window's shingles by weight.
 
     Shingles are words, and pairs of neighbouring words with double weight. The 64 counters of a window are kept
-    bit-sliced; a window's sum is put together from sums over powers of two, which all widths share.
+    bit-sliced. A word and the pair it starts are added up first; a window's sum is put together from sums of these over
+    powers of two, which all widths share, and its last word.
     """
 
     def __init__(self, words: np.ndarray):
         self.n = len(words)
-        single = mix(words.view(np.uint64) if words.dtype == np.int64 else words)
-        self.powers = [[[single]], [[word_pairs(words)]] if self.n > 1 else [[single[:0]]]]
-
-    def _sum(self, which: int, width: int, n: int) -> list[np.ndarray]:
-        powers, total, done = self.powers[which], None, 0
-        for k in range(width.bit_length()):
-            size = 1 << k
-            if k == len(powers):
-                half = powers[-1]
-                m = len(half[0]) - size // 2
-                powers.append(_add([x[:m] for x in half], [x[size // 2 : size // 2 + m] for x in half]))
-            if width & size:
-                part = [x[done : done + n] for x in powers[k]]
-                total = part if total is None else _add(total, part)
-                done += size
-        return total
+        self.single = mix(words.view(np.uint64) if words.dtype == np.int64 else words)
+        both = self.single[:-1]
+        self.powers = [_add([both], [np.zeros_like(both), word_pairs(words)])] if self.n > 1 else []
 
     def windows(self, width: int) -> np.ndarray:
         """Fingerprints of every ``width`` consecutive words."""
         n = self.n - width + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        total = self._sum(0, width, n)
-        if width > 1:
-            total = _add(total, [np.zeros(n, np.uint64), *self._sum(1, width - 1, n)])
+        total, done = [self.single[width - 1 :]], 0
+        for k in range((width - 1).bit_length()):
+            size = 1 << k
+            if k == len(self.powers):
+                half = self.powers[-1]
+                m = len(half[0]) - size // 2
+                self.powers.append(_add([x[:m] for x in half], [x[size // 2 : size // 2 + m] for x in half]))
+            if (width - 1) & size:
+                total = _add(total, [x[done : done + n] for x in self.powers[k]])
+                done += size
         return _at_least(total, (3 * width - 2) // 2 + 1)
 
 
@@ -241,9 +238,9 @@ class _Passages:
                 self.large[wide] = np.concatenate(at)
 
 
-def _finder(passages: list[tuple[int, np.ndarray]], width: int, similarity: float, item_widths: tuple[int, ...] | None):
+def _finder(block: Broadcast[list[tuple[int, np.ndarray]]], width: int, similarity: float, item_widths: tuple[int, ...] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Passages(passages, width, item_widths or ())
+        own = _Passages(block.value, width, item_widths or ())
         prints = Fingerprints(own.words)
         levels = [(width, own.small, MultiIndex(prints.windows(width)[own.small], RADIUS))]
         shared = None
@@ -314,20 +311,29 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = 10, simila
         raise ValueError("windows of this width need no pair of words in common to reach the similarity")
     hashed = items.select(F.col("item_id").cast("long").alias("id"), word_hashes(F.col("passage")).alias("words")).filter(F.size("words") >= width)
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), word_hashes(F.col("text")).alias("words"))
-    blocks: list[list[tuple[int, np.ndarray]]] = []
-    room, more = 0, max((width, *item_widths))
-    for r in hashed.toLocalIterator():
-        w = np.array(r["words"], np.int64)
-        # An oversized passage is spread over blocks; consecutive parts overlap, so no window is lost.
-        for s in range(0, len(w) - width + 1, WINDOWS_PER_BLOCK):
-            part = w[s : s + WINDOWS_PER_BLOCK + more - 1]
-            if not blocks or room < len(part):
-                blocks.append([])
-                room = WINDOWS_PER_BLOCK + more
-            blocks[-1].append((r["id"], part))
-            room -= len(part)
+    more = max((width, *item_widths))
+
+    def blocks() -> Iterator[list[tuple[int, np.ndarray]]]:
+        block: list[tuple[int, np.ndarray]] = []
+        room = WINDOWS_PER_BLOCK + more
+        for r in hashed.toLocalIterator():
+            w = np.array(r["words"], np.int64)
+            # An oversized passage is spread over blocks; consecutive parts overlap, so no window is lost.
+            for s in range(0, len(w) - width + 1, WINDOWS_PER_BLOCK):
+                part = w[s : s + WINDOWS_PER_BLOCK + more - 1]
+                if block and room < len(part):
+                    yield block
+                    block, room = [], WINDOWS_PER_BLOCK + more
+                block.append((r["id"], part))
+                room -= len(part)
+        if block:
+            yield block
+
     schema = "doc_id long, item_id long, similarity double, exact boolean"
-    if not blocks:
-        return documents.sparkSession.createDataFrame([], schema)
-    found = reduce(DataFrame.unionAll, [docs.mapInArrow(_finder(b, width, similarity, item_widths if altered else None), schema) for b in blocks])
+    spark = documents.sparkSession
+    # The driver holds one block at a time; each is broadcast, of a size that WINDOWS_PER_BLOCK bounds.
+    parts = [docs.mapInArrow(_finder(spark.sparkContext.broadcast(b), width, similarity, item_widths if altered else None), schema) for b in blocks()]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    found = reduce(DataFrame.unionAll, parts)
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -129,18 +130,18 @@ def test_item_sized_windows_against_brute_force(monkeypatch):
     """Without the keys of shared pairs: fingerprints alone find the item-sized windows at the similarity and above."""
     rng = random.Random(13)
     words = [f"v{i}" for i in range(5_000)]
-    passages = [rng.choices(words, k=48) for _ in range(60)]
+    passages = [rng.choices(words, k=49) for _ in range(60)]
     docs, want = [], set()
     for i in range(400):
         p = passages[i % 60][:]
-        for k in range(rng.randrange(12), 48, rng.choice((12, 16, 24))):
+        for k in range(rng.randrange(12), 49, rng.choice((12, 16, 24))):
             p[k] = rng.choice(words)
         docs.append((i, " ".join(rng.choices(words, k=20) + p + rng.choices(words, k=20))))
         a, b = (np.array([[hash(w) for w in x]]) for x in (p, passages[i % 60]))
         if weighted_shingle_similarity(a, b)[0] >= 0.8:
             want.add((i, i % 60))
     monkeypatch.setattr(leaks.SharedPairs, "candidates", lambda self, words: (np.empty(0, np.int64),) * 2)
-    own = leaks._finder([(i, np.array([hash(w) for w in p])) for i, p in enumerate(passages)], 47, 0.8, leaks.ITEM_WIDTHS)
+    own = leaks._finder(SimpleNamespace(value=[(i, np.array([hash(w) for w in p])) for i, p in enumerate(passages)]), 48, 0.8, leaks.ITEM_WIDTHS)
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([[hash(w) for w in t.split()] for _, t in docs], pa.list_(pa.int64()))], names=["id", "words"])

@@ -107,3 +107,13 @@ def test_long_transcripts_are_cut_as_one_text():
         text = "\n".join(lines)
         for per_section in (1_024, 37):
             assert packed(lines, per_section, 12_000, 1_200) == split_ranges(text)
+
+
+def test_transcript_edges(spark):
+    rows = [(1, None, "of no entry", "seg:0"), (2, None, None, "seg:1"), (3, "e", None, None), (4, "e", "", None), (4, "e", "", None), (5, "f", None, "seg:9"), (6, "g", "x" * 30_000, "seg:1"), (7, "g", "语 " * 9_000, "seg:0")]
+    got = transcript_pieces(spark.createDataFrame([(*r, 1, 1) for r in rows], SEGMENT)).orderBy("entry_id", "piece").collect()
+    text = {None: "of no entry\n", "e": "\n", "f": "", "g": "语 " * 9_000 + "\n" + "x" * 30_000}
+    assert {e: [r["piece_text"] for r in got if r["entry_id"] == e] for e in text} == {e: [t[a:b] for a, b, _ in split_ranges(t)] for e, t in text.items()}
+    assert transcript_pieces(spark.createDataFrame([], SEGMENT)).count() == 0
+    with pytest.raises(ValueError):
+        transcript_pieces(spark.createDataFrame([], SEGMENT), 10, 10)
