@@ -58,6 +58,17 @@ def test_similarity():
     assert s[0] == 1 and s[2] == 0 and abs(s[1] - (3 + 2 * 2) / (2 * 10 - 7)) < 1e-12
 
 
+def test_similarity_against_counting():
+    rng = np.random.default_rng(7)
+    for width in (2, 9, 33):
+        a, b = (mix(rng.integers(0, 2 + width // 2, (50, width)).astype(np.uint64)).view(np.int64) for _ in range(2))
+        count = lambda w: Counter(w) + Counter(zip(w, w[1:])) + Counter(zip(w, w[1:]))
+        for s, x, y in zip(weighted_shingle_similarity(a, b), map(tuple, a.tolist()), map(tuple, b.tolist())):
+            shared = sum((count(x) & count(y)).values())
+            assert abs(s - shared / (2 * (3 * width - 2) - shared)) < 1e-12
+    assert len(weighted_shingle_similarity(a[:0], b[:0])) == 0
+
+
 def test_against_brute_force(spark):
     rng = random.Random(6)
     items = [(i, " ".join(rng.choices(WORDS, k=rng.choice([5, 9, 10, 30])))) for i in range(40)]
