@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import first_words, normalize_text, split_words, word_count
-from millrace.plans.session import cut_lineage
+from millrace.plans.session import cut_lineage, written
 
 #: Lines of a transcript in one section.
 SECTION_LINES = 4_096
@@ -119,6 +119,8 @@ def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
     mentions once for each name and kind. Values are made distinct before they are collected, so the size of a group
     doesn't matter, only that of its distinct values.
     """
+    # Read four times, and what led to the rows may be long.
+    rows = written(rows.select(*keys, "pos", "item_id", "rationale", "scope", "gotchas", "preconditions", "entity_mentions"))
     out = rows.groupBy(*keys).agg(
         F.min_by("item_id", "pos").alias("item_id"), F.min_by("rationale", F.when(F.col("rationale").isNotNull(), F.col("pos"))).alias("rationale"),
         F.min_by("scope", F.when(F.col("scope").isNotNull(), F.col("pos"))).alias("scope"), F.count(F.lit(1)).alias("n"),
